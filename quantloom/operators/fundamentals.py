@@ -49,8 +49,8 @@ def fill_by_year(bar_years: DataFrame, yearly: DataFrame) -> DataFrame:
     )
 
 
-def with_fundamentals(bars: DataFrame, statements: DataFrame, years: Sequence[int], lag_years: int = 0) -> DataFrame:
-    """Bars with the filled amounts of their calendar year; tickers without an account are dropped.
+def filled_amounts(bars: DataFrame, statements: DataFrame, years: Sequence[int], lag_years: int = 0) -> DataFrame:
+    """(ticker, year, accounts) filled over the years with bars; tickers without an account are dropped.
 
     `lag_years=1` uses the statement of the year before, which was public by then; the default uses
     the same calendar year.
@@ -58,9 +58,29 @@ def with_fundamentals(bars: DataFrame, statements: DataFrame, years: Sequence[in
     yearly = pivot_statements(statements.where(F.col("year").isin(list(years))), ["ticker", "year"])
     if lag_years:
         yearly = yearly.withColumn("year", F.col("year") + lag_years)
-    dated = bars.withColumn("year", F.year("date"))
-    filled = fill_by_year(dated.select("ticker", "year").distinct(), yearly).dropna(subset=ACCOUNTS)
-    return dated.join(filled, ["ticker", "year"])
+    bar_years = bars.select("ticker", F.year("date").alias("year")).distinct()
+    return fill_by_year(bar_years, yearly).dropna(subset=ACCOUNTS)
+
+
+def amounts_by_ticker(filled: DataFrame) -> DataFrame:
+    """(ticker, amounts): the filled years of a ticker as one small map."""
+    entry = F.struct("year", F.struct(*ACCOUNTS))
+    return filled.groupBy("ticker").agg(F.map_from_entries(F.collect_list(entry)).alias("amounts"))
+
+
+def with_amounts(df: DataFrame) -> DataFrame:
+    """Replace `amounts` by the accounts of the row's calendar year."""
+    found = F.element_at("amounts", F.year("date"))
+    return df.withColumns({c: found[c] for c in ACCOUNTS}).drop("amounts")
+
+
+def with_fundamentals(bars: DataFrame, filled: DataFrame) -> DataFrame:
+    """Bars with the filled amounts of their calendar year.
+
+    The join key is the ticker alone, so the feature windows reuse its partitioning and the bars
+    are shuffled once.
+    """
+    return with_amounts(bars.join(amounts_by_ticker(filled), "ticker"))
 
 
 def with_history_ratios(df: DataFrame) -> DataFrame:
@@ -91,6 +111,11 @@ def finite_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in columns})
 
 
+def with_mapped_code(listing: DataFrame, code_map: DataFrame) -> DataFrame:
+    """Instruments that have a filing code; a repeated code repeats nothing."""
+    return listing.join(code_map.select("ticker"), "ticker", "left_semi")
+
+
 def mapped_universe(listing: DataFrame, code_map: DataFrame) -> DataFrame:
     """Instruments whose statements can be requested."""
     return listing.join(code_map, "ticker")

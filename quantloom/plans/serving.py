@@ -51,7 +51,7 @@ def valued_universe(
     window = in_range(bars, days_before(as_of, SERVE_DAYS), as_of)
     latest = latest_features(window, SERVE_DAYS + 1 if one_bar_a_day else None)
     filed = fund.pivot_statements(statements.where(F.col("year") == as_of.year - 1))
-    instruments = fund.mapped_universe(tradable(listing, excluded), code_map).join(filed, "ticker")
+    instruments = fund.with_mapped_code(tradable(listing, excluded), code_map).join(filed, "ticker")
     valued = fund.with_latest_ratios(latest.join(instruments, "ticker"))
     columns = ["ticker", "name", "date", *_NUMERIC]
     return fund.finite_columns(valued.withColumn("volume", F.col("volume").cast("double")), _MEASURES).select(*columns)

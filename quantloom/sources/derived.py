@@ -80,6 +80,13 @@ def last_day(spark: SparkSession, sf_dir: str) -> dt.date:
     return newest.date()
 
 
+def span_days(spark: SparkSession, sf_dir: str) -> int:
+    """Calendar days from the first to the last bar, both counted."""
+    ship = F.col("l_shipdate").cast("date")
+    row = _table(spark, sf_dir, "lineitem").agg(F.min(ship).alias("first"), F.max(ship).alias("last")).first()
+    return (row["last"] - row["first"]).days + 1
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All companies; every tenth has no ticker."""
     key = F.col("s_suppkey")
