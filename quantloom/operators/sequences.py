@@ -9,12 +9,12 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import round_half_even
 from quantloom.operators.order import row_positions
-from quantloom.operators.series import AHEAD, BY, WARMUP, latest
+from quantloom.operators.series import AHEAD, BY, PLAIN_ROWS, WARMUP, latest, longest_series, per_series
 
 # Sequence length, label distance, hidden layer, tickers, held-out tail share.
 LOOK_BACK, LOOK_FORWARD = 60, 20
@@ -33,14 +33,33 @@ def top_by_market_cap(listing: DataFrame, last_closes: DataFrame, limit: int = T
     )
 
 
-def with_scaled_close(bars: DataFrame) -> DataFrame:
+def _scaled(low: Column, high: Column) -> Column:
+    return F.when(low == high, 0.0).otherwise((F.col("close") - low) / (high - low))
+
+
+def with_scaled_close(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Add `scaled`: the close between its ticker's minimum and maximum; a constant series gives 0."""
+    whole = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return bars.withColumn("scaled", _scaled(F.min("close").over(whole), F.max("close").over(whole)))
+
+
+def scaled_by_join(bars: DataFrame) -> DataFrame:
+    """The same for series that are computed in segments: the range of a ticker is pre-aggregated."""
     span = bars.groupBy("ticker").agg(F.min("close").alias("_min"), F.max("close").alias("_max"))
-    flat = F.col("_max") == F.col("_min")
-    scaled = F.when(flat, 0.0).otherwise((F.col("close") - F.col("_min")) / (F.col("_max") - F.col("_min")))
+    scaled = _scaled(F.col("_min"), F.col("_max"))
     return bars.join(span, "ticker").withColumn("scaled", scaled).drop("_min", "_max")
 
 
+def sequences(bars: DataFrame, longest: int | None = None, **sizes: int) -> DataFrame:
+    """Every bar with its scaled sequence and later value; `longest` as in `per_series`."""
+    if longest is None:
+        longest = longest_series(bars)
+    plain = sizes.get("plain_rows", PLAIN_ROWS)
+    if longest <= plain:
+        return per_series(bars, lambda frame, by: with_sequence(with_scaled_close(frame, by), by), longest, **sizes)
+    return per_series(scaled_by_join(bars), with_sequence, longest, **sizes)
+
+
 def with_sequence(
     scaled: DataFrame, by: Sequence[str] = BY, look_back: int = LOOK_BACK, look_forward: int = LOOK_FORWARD
 ) -> DataFrame:

@@ -48,7 +48,8 @@ def _to_here(by: Sequence[str]) -> WindowSpec:
 
 
 def _all(by: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*by)
+    """The whole series, ordered like every other window so that no second sort is planned."""
+    return _window(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def longest_series(bars: DataFrame) -> int:
@@ -102,50 +103,45 @@ def history_gate(bars: DataFrame, min_rows: int, by: Sequence[str] = BY) -> Data
     return bars.withColumn("_rows", F.count("*").over(_all(by))).where(F.col("_rows") >= min_rows).drop("_rows")
 
 
-def with_padded_close(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Add `_close`: the last known close, so that a gap does not break a return."""
-    return bars.withColumn("_close", F.last("close", ignorenulls=True).over(_to_here(by)))
+def _base(by: Sequence[str]) -> dict[str, Column]:
+    """Helper columns of the features: row number, last known close, and change to the row before."""
+    return {
+        "_row": F.row_number().over(_window(by)) - 1,
+        "_close": F.last("close", ignorenulls=True).over(_to_here(by)),
+        "_move": F.col("close") - F.lag("close").over(_window(by)),
+    }
 
 
-def change(periods: int, by: Sequence[str] = BY, column: str = "_close") -> Column:
-    """Relative change against the row `periods` earlier."""
-    return ratio(F.col(column), F.lag(column, periods).over(_window(by))) - 1
+_HELPERS = ("_row", "_close", "_move")
 
 
-def with_returns(bars: DataFrame, by: Sequence[str] = BY, names: Sequence[str] = tuple(RETURN_PERIODS)) -> DataFrame:
-    padded = with_padded_close(bars, by)
-    return padded.withColumns({n: change(RETURN_PERIODS[n], by) for n in names}).drop("_close")
+def _change(periods: int, by: Sequence[str]) -> Column:
+    """Relative change of the last known close against the row `periods` earlier."""
+    return ratio(F.col("_close"), F.lag("_close", periods).over(_window(by))) - 1
 
 
-def with_volatility(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def _volatility(by: Sequence[str]) -> Column:
     """Sample deviation over mean of the last rows; NULL until the window is full."""
     frame = _window(by).rowsBetween(-(VOLATILITY_ROWS - 1), Window.currentRow)
     spread = ratio(F.stddev_samp("close").over(frame), F.avg("close").over(frame))
-    return bars.withColumn("vol_20", F.when(F.count("close").over(frame) == VOLATILITY_ROWS, spread))
+    return F.when(F.count("close").over(frame) == VOLATILITY_ROWS, spread)
 
 
-def _weight(base: float, row: Column | str) -> Column:
-    return F.pow(F.lit(base), F.col(row) - _CENTRE if isinstance(row, str) else row - _CENTRE)
+def _weight(base: float, row: Column) -> Column:
+    return F.pow(F.lit(base), row - _CENTRE)
 
 
-def with_rsi(bars: DataFrame, by: Sequence[str] = BY, length: int = RSI_LENGTH) -> DataFrame:
+def _rsi(by: Sequence[str], length: int = RSI_LENGTH) -> Column:
     """Share of exponentially weighted gains in all moves, times 100.
 
     Both averages have the same normalisation, so it cancels and two running sums of weighted moves
     are enough. NULL until `length` moves are known, and while there is no move at all.
     """
-    growth = length / (length - 1)
-    moved = bars.withColumns(
-        {
-            "_row": F.row_number().over(_window(by)) - 1,
-            "_move": F.col("close") - F.lag("close").over(_window(by)),
-        }
-    ).withColumn("_moved", F.col("_move") * _weight(growth, "_row"))
+    moved = F.col("_move") * _weight(length / (length - 1), F.col("_row"))
     here = _to_here(by)
-    gains = F.sum(F.greatest(F.col("_moved"), F.lit(0.0))).over(here)
-    moves = F.sum(F.abs("_moved")).over(here)
-    rsi = F.when(F.count("_move").over(here) >= length, 100 * ratio(gains, moves))
-    return moved.withColumn(f"rsi_{length}", rsi).drop("_row", "_move", "_moved")
+    gains = F.sum(F.greatest(moved, F.lit(0.0))).over(here)
+    moves = F.sum(F.abs(moved)).over(here)
+    return F.when(F.count("_move").over(here) >= length, 100 * ratio(gains, moves))
 
 
 def _ema(value: str, length: int, start: int, by: Sequence[str]) -> Column:
@@ -157,33 +153,55 @@ def _ema(value: str, length: int, start: int, by: Sequence[str]) -> Column:
     alpha = 2.0 / (length + 1)
     decay = 1.0 - alpha
     seed_row = start + length - 1
+    row = F.col("_row")
     term = (
-        F.when(F.col("_row").between(start, seed_row), F.col(value) / length * _weight(1 / decay, F.lit(seed_row)))
-        .when(F.col("_row") > seed_row, alpha * F.col(value) * _weight(1 / decay, "_row"))
+        F.when(row.between(start, seed_row), F.col(value) / length * _weight(1 / decay, F.lit(seed_row)))
+        .when(row > seed_row, alpha * F.col(value) * _weight(1 / decay, row))
     )
-    return F.when(F.col("_row") >= seed_row, F.sum(term).over(_to_here(by)) * _weight(decay, "_row"))
+    return F.when(row >= seed_row, F.sum(term).over(_to_here(by)) * _weight(decay, row))
 
 
-def with_macd(
-    bars: DataFrame,
-    by: Sequence[str] = BY,
-    fast: int = MACD_FAST,
-    slow: int = MACD_SLOW,
-    signal: int = MACD_SIGNAL,
-) -> DataFrame:
-    """Difference of two exponential averages, its own average, and their difference."""
-    numbered = with_padded_close(bars, by).withColumn("_row", F.row_number().over(_window(by)) - 1)
-    line = numbered.withColumn("macd", _ema("_close", fast, 0, by) - _ema("_close", slow, 0, by))
-    return (
-        line.withColumn("macd_signal", _ema("macd", signal, slow - 1, by))
-        .withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-        .drop("_row", "_close")
+def _macd_line(by: Sequence[str]) -> Column:
+    return _ema("_close", MACD_FAST, 0, by) - _ema("_close", MACD_SLOW, 0, by)
+
+
+def _with_signal(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumn("macd_signal", _ema("macd", MACD_SIGNAL, MACD_SLOW - 1, by)).withColumn(
+        "macd_hist", F.col("macd") - F.col("macd_signal")
     )
 
 
-def with_features(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """All price features; the windows share one exchange and one sort."""
-    return with_macd(with_rsi(with_volatility(with_returns(bars, by), by), by), by)
+def _computed(bars: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    return bars.withColumns(_base(by)).withColumns(columns)
+
+
+def with_returns(bars: DataFrame, by: Sequence[str] = BY, names: Sequence[str] = tuple(RETURN_PERIODS)) -> DataFrame:
+    return _computed(bars, by, {n: _change(RETURN_PERIODS[n], by) for n in names}).drop(*_HELPERS)
+
+
+def with_volatility(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    return bars.withColumn("vol_20", _volatility(by))
+
+
+def with_rsi(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    return _computed(bars, by, {"rsi_14": _rsi(by)}).drop(*_HELPERS)
+
+
+def with_macd(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Difference of two exponential averages, its own average, and their difference."""
+    return _with_signal(_computed(bars, by, {"macd": _macd_line(by)}), by).drop(*_HELPERS)
+
+
+def with_features(bars: DataFrame, by: Sequence[str] = BY, min_rows: int = 0) -> DataFrame:
+    """All price features of the series with at least `min_rows` rows.
+
+    Three window steps over one exchange and one sort: helpers and row count, then everything that
+    needs the helpers, then the signal line, which needs the MACD line.
+    """
+    based = bars.withColumns({"_rows": F.count("*").over(_all(by)), **_base(by)}).where(F.col("_rows") >= min_rows)
+    first = {name: _change(periods, by) for name, periods in RETURN_PERIODS.items()}
+    measured = based.withColumns({**first, "vol_20": _volatility(by), "rsi_14": _rsi(by), "macd": _macd_line(by)})
+    return _with_signal(measured, by).drop("_rows", *_HELPERS)
 
 
 def with_label(

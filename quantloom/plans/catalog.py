@@ -477,12 +477,11 @@ def top_market_cap(i: Inputs) -> DataFrame:
 
 @query
 def minmax_by_ticker(i: Inputs) -> DataFrame:
-    return rounded(seq.with_scaled_close(i.bars).select("ticker", "date", "scaled"), 6, "scaled")
+    return rounded(i.every_series(seq.with_scaled_close, ["scaled"]), 6, "scaled")
 
 
 def _samples(i: Inputs) -> DataFrame:
-    scaled = seq.with_scaled_close(i.bars)
-    return seq.labelled(series.per_series(scaled, seq.with_sequence, i.span))
+    return seq.labelled(seq.sequences(i.bars, i.span))
 
 
 @query

@@ -26,7 +26,7 @@ def latest_features(bars: DataFrame, longest: int | None = None) -> DataFrame:
     """One row per ticker with enough bars: last date, close, volume and all price features."""
 
     def compute(frame: DataFrame, by) -> DataFrame:
-        return series.with_features(series.history_gate(frame, series.SERVE_MIN_ROWS, by), by)
+        return series.with_features(frame, by, series.SERVE_MIN_ROWS)
 
     featured = series.per_series(bars, compute, longest)
     return series.latest(featured, ["close", "volume", *series.PRICE_FEATURES]).withColumnRenamed(

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators import fundamentals as fund
+from quantloom.operators import sequences as seq
 from quantloom.operators import series
-from quantloom.operators.sequences import labelled, with_scaled_close, with_sequence
 from quantloom.sources.readers import EXCLUDED_NAMES, TRAIN_DAYS, days_before, in_range, tradable
 
 # The model's features, in order.
@@ -45,8 +45,7 @@ def feature_history(
     )
 
     def compute(frame: DataFrame, by) -> DataFrame:
-        gated = series.history_gate(frame, series.TRAIN_MIN_ROWS, by)
-        return series.with_label(series.with_features(gated, by), by)
+        return series.with_label(series.with_features(frame, by, series.TRAIN_MIN_ROWS), by)
 
     joined = fund.with_amounts(window.join(universe, "ticker"))
     featured = series.per_series(joined, compute, TRAIN_DAYS + 1 if one_bar_a_day else None)
@@ -62,7 +61,7 @@ def sequence_samples(
     bars: DataFrame, tickers: DataFrame | None, as_of: dt.date, one_bar_a_day: bool = False
 ) -> DataFrame:
     """Labelled sequences of the last three years, of the given tickers (all without)."""
-    return labelled(sequences(bars, tickers, as_of, one_bar_a_day))
+    return seq.labelled(sequences(bars, tickers, as_of, one_bar_a_day))
 
 
 def sequences(
@@ -71,5 +70,4 @@ def sequences(
     window = in_range(bars, days_before(as_of, TRAIN_DAYS), as_of).select("ticker", "date", "close")
     if tickers is not None:
         window = window.join(tickers.select("ticker"), "ticker", "left_semi")
-    scaled = with_scaled_close(window)
-    return series.per_series(scaled, with_sequence, TRAIN_DAYS + 1 if one_bar_a_day else None)
+    return seq.sequences(window, TRAIN_DAYS + 1 if one_bar_a_day else None)
