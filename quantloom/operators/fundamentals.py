@@ -67,6 +67,15 @@ def amounts_by_ticker(filled: DataFrame) -> DataFrame:
     return filled.groupBy("ticker").agg(F.map_from_entries(F.collect_list(entry)).alias("amounts"))
 
 
+def join_by_ticker(bars: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Bars with the columns of their instrument, partitioned by ticker.
+
+    A shuffled hash join with the instruments as the built side: the bars are exchanged once for the
+    join and all windows after it, sorted once, and never broadcast, however few they are.
+    """
+    return bars.join(instruments.hint("shuffle_hash"), "ticker")
+
+
 def with_amounts(df: DataFrame) -> DataFrame:
     """Replace `amounts` by the accounts of the row's calendar year."""
     found = F.element_at("amounts", F.year("date"))
@@ -76,10 +85,9 @@ def with_amounts(df: DataFrame) -> DataFrame:
 def with_fundamentals(bars: DataFrame, filled: DataFrame) -> DataFrame:
     """Bars with the filled amounts of their calendar year.
 
-    The join key is the ticker alone, so the feature windows reuse its partitioning and the bars
-    are shuffled once.
+    The join key is the ticker alone, so that windows after it reuse its partitioning.
     """
-    return with_amounts(bars.join(amounts_by_ticker(filled), "ticker"))
+    return with_amounts(join_by_ticker(bars, amounts_by_ticker(filled)))
 
 
 def with_history_ratios(df: DataFrame) -> DataFrame:

@@ -8,23 +8,28 @@ exact, and distances are computed in blocks inside one cell and never emitted as
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.storage import materialise
 
-CELL_ROWS = 4_096
+# The helpers travel with the tasks, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CELL_ROWS = 2_048
 MAX_CELLS = 8_192
 _SAMPLE_PER_CELL = 24
 # Vectors visiting one cell are spread over groups of this size.
 _VISITORS = 50_000
 _BLOCK = 512
 
-_NEAR = "array<struct<d: double, id: long, x: array<double>, copies: long>>"
+_FOUND = "near_d array<double>, near_id array<long>, near_copies array<long>"
 
 
 def _cut_space(sample: np.ndarray, cells: int) -> list[tuple]:
@@ -72,28 +77,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
 
-def _search(query: pd.DataFrame, stored: pd.DataFrame, k: int) -> list[list[dict]]:
+def _search(query: pd.DataFrame, stored: pd.DataFrame, k: int) -> dict[str, list[np.ndarray]]:
     """The k nearest stored vectors of every query vector, itself left out."""
-    points, ids = _matrix(stored["x"]), stored["id"].to_numpy()
-    copies, vectors = stored["copies"].to_numpy(), stored["x"].to_numpy()
+    points, ids, copies = _matrix(stored["x"]), stored["id"].to_numpy(), stored["copies"].to_numpy()
     wanted, own = _matrix(query["x"]), query["id"].to_numpy()
-    out = []
+    out: dict[str, list[np.ndarray]] = {"near_d": [], "near_id": [], "near_copies": []}
+    take = min(k, len(ids))
     for start in range(0, len(wanted), _BLOCK):
         block = wanted[start : start + _BLOCK]
         d = np.zeros((len(block), len(points)))
         for dim in range(points.shape[1]):
             d += (block[:, dim, None] - points[None, :, dim]) ** 2
         d[own[start : start + _BLOCK, None] == ids[None, :]] = np.inf
-        take = min(k, d.shape[1])
         near = np.argpartition(d, take - 1, axis=1)[:, :take]
         for row, found in enumerate(near):
-            out.append(
-                [
-                    {"d": float(d[row, j]), "id": int(ids[j]), "x": vectors[j].tolist(), "copies": int(copies[j])}
-                    for j in found
-                    if np.isfinite(d[row, j])
-                ]
-            )
+            found = found[np.isfinite(d[row, found])]
+            out["near_d"].append(d[row, found])
+            out["near_id"].append(ids[found])
+            out["near_copies"].append(copies[found])
     return out
 
 
@@ -108,8 +109,8 @@ def _route(nodes: list[tuple]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
 def nearest(vectors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add `near`, the k nearest other vectors by Euclidean distance, nearest first.
 
-    `vectors` has distinct `x` arrays, a unique `id`, and `copies`; read it cheaply, it is scanned
-    several times. `near` holds squared distances.
+    `vectors` has distinct `x` arrays, a unique `id`, and `copies`; it should be cheap to read, it is
+    scanned several times. An element of `near` has near_d (squared distance), near_id and near_copies.
     """
     total = vectors.count()
     cells = max(1, min(MAX_CELLS, -(-total // cell_rows)))
@@ -126,16 +127,19 @@ def nearest(vectors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame
     )
 
     def at_home(group: pd.DataFrame) -> pd.DataFrame:
-        near = _search(group, group, k)
-        radius = [max(n["d"] for n in ns) if len(ns) >= k else float("inf") for ns in near]
-        return group.assign(near=near, radius=radius)
+        found = _search(group, group, k)
+        radius = [d.max() if len(d) >= k else float("inf") for d in found["near_d"]]
+        return group.drop(columns="copies").assign(radius=radius, **found)
 
+    # As many partitions as cells: one cell per task, however few bytes it has.
     home = materialise(
-        placed.groupBy("cell").applyInPandas(
-            at_home, f"id long, x array<double>, copies long, cell long, near {_NEAR}, radius double"
-        ),
+        placed.repartition(cells, "cell")
+        .groupBy("cell")
+        .applyInPandas(at_home, f"id long, x array<double>, cell long, radius double, {_FOUND}"),
         "home",
     )
+    near = ["near_d", "near_id", "near_copies"]
+    lists = home.select("id", *near)
     if len(nodes) > 1:
         size = len(basic.first()["x"])
         boxes = (
@@ -174,18 +178,11 @@ def nearest(vectors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame
         hosts = placed.join(spread, "cell").select("id", "x", "copies", "cell", parts)
 
         def away(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
-            near = _search(guest, host, k) if len(host) else [[] for _ in range(len(guest))]
-            return pd.DataFrame({"id": guest["id"], "near": near})
+            return pd.DataFrame({"id": guest["id"], **_search(guest, host, k)})
 
         seen = (
-            guests.groupBy("cell", "part")
-            .cogroup(hosts.groupBy("cell", "part"))
-            .applyInPandas(away, f"id long, near {_NEAR}")
+            guests.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInPandas(away, f"id long, {_FOUND}")
         )
-        lists = home.select("id", "near").unionByName(seen)
-    else:
-        lists = home.select("id", "near")
-    merged = lists.groupBy("id").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
-    )
-    return vectors.join(merged, "id")
+        lists = lists.unionByName(seen)
+    ranked = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*near))))
+    return vectors.join(lists.groupBy("id").agg(F.slice(ranked, 1, k).alias("near")), "id")

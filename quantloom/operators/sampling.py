@@ -84,32 +84,40 @@ def smote(
     share = (F.col("_position").cast("decimal(38,0)") * need / have).cast("long") - (
         (F.col("_position") - 1).cast("decimal(38,0)") * need / have
     ).cast("long")
+    values = F.array(*[F.col(f).cast("double") for f in features])
     vectors = (
-        placed.groupBy(F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-        .agg(F.count("*").alias("copies"), F.sum(share).alias("make"))
-        .withColumn("id", F.xxhash64("x"))
+        placed.groupBy(*features)
+        .agg(F.min("_position").alias("id"), F.count("*").alias("copies"), F.sum(share).alias("make"))
+        .select("id", values.alias("x"), "copies", "make")
     )
-    found = nearest(materialise(vectors, "minority"), neighbours)
+    vectors = materialise(vectors, "minority")
+    found = nearest(vectors, neighbours)
 
-    own = F.array_repeat("x", F.least(F.col("copies") - 1, F.lit(neighbours)).cast("int"))
+    limit = F.lit(neighbours)
+    own = F.array_repeat("id", F.least(F.col("copies") - 1, limit).cast("int"))
     others = F.flatten(
-        F.transform("near", lambda n: F.array_repeat(n["x"], F.least(n["copies"], F.lit(neighbours)).cast("int")))
+        F.transform("near", lambda n: F.array_repeat(n["near_id"], F.least(n["near_copies"], limit).cast("int")))
     )
     choices = F.slice(F.concat(own, others), 1, neighbours)
     chunks = (
         found.where(F.col("make") > 0)
-        .select("x", "make", F.when(F.size(choices) > 0, choices).otherwise(F.array("x")).alias("choices"))
+        .select("id", "x", "make", F.when(F.size(choices) > 0, choices).otherwise(F.array("id")).alias("choices"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("make") - 1) / _CHUNK))))
-        .repartition("x", "chunk")
+        .repartition("id", "chunk")
     )
     last = F.least(F.col("make"), (F.col("chunk") + 1) * _CHUNK)
     drawn = chunks.withColumn("draw", F.explode(F.sequence(F.col("chunk") * _CHUNK + 1, last)))
-    pick = F.floor(unit_draw(F.lit(seed), F.col("x"), F.col("draw")) * F.size("choices")).cast("int")
-    step = unit_draw(F.lit(seed + 1), F.col("x"), F.col("draw"))
-    synthetic = drawn.select("x", F.get("choices", pick).alias("y"), step.alias("u")).select(
-        *[(F.col("x")[i] + F.col("u") * (F.col("y")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)],
-        F.lit(minor).cast("int").alias(label),
-        F.lit(True).alias("synthetic"),
+    pick = F.floor(unit_draw(F.lit(seed), F.col("id"), F.col("draw")) * F.size("choices")).cast("int")
+    step = unit_draw(F.lit(seed + 1), F.col("id"), F.col("draw"))
+    partners = vectors.select(F.col("id").alias("partner"), F.col("x").alias("y"))
+    synthetic = (
+        drawn.select("x", F.get("choices", pick).alias("partner"), step.alias("u"))
+        .join(partners, "partner")
+        .select(
+            *[(F.col("x")[i] + F.col("u") * (F.col("y")[i] - F.col("x")[i])).alias(f) for i, f in enumerate(features)],
+            F.lit(minor).cast("int").alias(label),
+            F.lit(True).alias("synthetic"),
+        )
     )
     return original.unionByName(synthetic)
 

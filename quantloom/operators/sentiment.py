@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import round_half_even
 from quantloom.sources.readers import NEWS_DAYS, days_before
 
+# The classifier wrapper travels with the tasks, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Headlines per instrument, neutral score, separator and the text without news.
 HEADLINES_PER_TICKER = 5
 NEUTRAL_POINTS = 50.0

@@ -96,6 +96,21 @@ def train_sequence_model(
     return MultilayerPerceptronClassifier(layers=[length, hidden, 2], maxIter=epochs, seed=seed).fit(data)
 
 
+def sequence_accuracy(model: MultilayerPerceptronClassificationModel, samples: DataFrame) -> DataFrame:
+    """(samples, accuracy): share of right predictions, for the held-out tail."""
+    scored = model.transform(samples.withColumn("features", array_to_vector("sequence")))
+    right = F.avg((F.col("prediction").cast("int") == F.col("target")).cast("double"))
+    return scored.agg(F.count("*").alias("samples"), right.alias("accuracy"))
+
+
+def save_sequence_model(model: MultilayerPerceptronClassificationModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_sequence_model(path: str) -> MultilayerPerceptronClassificationModel:
+    return MultilayerPerceptronClassificationModel.load(path)
+
+
 def trend_scores(model: MultilayerPerceptronClassificationModel, sequences: DataFrame) -> DataFrame:
     """(ticker, dl_trend_score): 100 * P(up) for the latest full sequence of each ticker."""
     newest = latest(sequences.where(F.col("sequence").isNotNull()), ["sequence"])

@@ -47,7 +47,7 @@ def feature_history(
     def compute(frame: DataFrame, by) -> DataFrame:
         return series.with_label(series.with_features(frame, by, series.TRAIN_MIN_ROWS), by)
 
-    joined = fund.with_amounts(window.join(universe, "ticker"))
+    joined = fund.with_amounts(fund.join_by_ticker(window, universe))
     featured = series.per_series(joined, compute, TRAIN_DAYS + 1 if one_bar_a_day else None)
     return fund.finite_columns(fund.with_history_ratios(featured), FEATURES)
 

@@ -46,7 +46,7 @@ def test_neighbours_equal_brute_force(spark, cell_rows):
     x = rng.normal(size=(700, 3)) * [1.0, 10.0, 0.1]
     rows = [(i, [float(v) for v in x[i]], 1) for i in range(len(x))]
     df = spark.createDataFrame(rows, "id long, x array<double>, copies long")
-    got = nearest(df, 5, cell_rows).select("id", F.transform("near", lambda n: n["id"]).alias("ids")).collect()
+    got = nearest(df, 5, cell_rows).select("id", F.transform("near", lambda n: n["near_id"]).alias("ids")).collect()
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1)[:, :5]
