@@ -36,7 +36,7 @@ def _cuts(df: DataFrame, columns: Sequence[str], rows: int, bucket_rows: int) ->
 
 
 def _with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """Add `<c>_bucket`: odd = equal to one cut (or infinite), even = strictly between two cuts."""
+    """Add `<c>_bucket`: odd = equal to one cut, infinite or missing; even = strictly between two cuts."""
     edges = {c: [-INF, *points, INF] for c, points in cuts.items()}
     wide = df.select("*", *[F.col(c).cast("double").alias(f"_{c}") for c in cuts])
     wide = Bucketizer(
@@ -48,7 +48,11 @@ def _with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     for c, points in edges.items():
         value, edge = F.col(f"_{c}"), F.col(f"{c}_edge").cast("int")
         on_cut = value == F.element_at(F.array(*[F.lit(e) for e in points]), F.least(edge + 1, F.lit(len(points))))
-        bucket = F.when(value == INF, 2 * len(points) + 1).otherwise(2 * edge + F.when(on_cut, 1).otherwise(2))
+        bucket = (
+            F.when(value.isNull(), 2 * len(points) + 3)
+            .when(value == INF, 2 * len(points) + 1)
+            .otherwise(2 * edge + F.when(on_cut, 1).otherwise(2))
+        )
         wide = wide.withColumn(f"{c}_bucket", bucket.cast("int"))
     return wide
 
@@ -60,12 +64,13 @@ def ranked_long(
     counts: dict[str, int],
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(carry.., metric, value, rank) of the non-missing values of every column.
+    """(carry.., metric, value, rank) with one row per input row and column.
 
-    rank = 1 + number of smaller values of the same column. A small input is one bucket per column.
-    Otherwise the rank is the rank inside the bucket plus the rows of all earlier buckets.
+    rank = 1 + number of smaller values of the same column, NULL for a missing value. A small input
+    is one bucket per column. Otherwise the rank is the rank inside the bucket plus the rows of all
+    earlier buckets.
     """
-    rows = max(counts[c] for c in columns)
+    rows = max(counts.values())
     cuts = _cuts(df, columns, rows, bucket_rows) if rows > bucket_rows else None
     source = _with_buckets(df, cuts) if cuts else df
 
@@ -73,14 +78,11 @@ def ranked_long(
         fields = [F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")]
         return F.struct(*fields, *([F.col(f"{c}_bucket").alias("bucket")] if cuts else []))
 
-    long = (
-        source.select(*carry, F.explode(F.array(*[entry(c) for c in columns])).alias("item"))
-        .select(*carry, "item.*")
-        .where(F.col("value").isNotNull())
-    )
+    long = source.select(*carry, F.explode(F.array(*[entry(c) for c in columns])).alias("item")).select(*carry, "item.*")
+    known = F.col("value").isNotNull()
     if not cuts:
-        inside = Window.partitionBy("metric").orderBy("value")
-        return long.withColumn("rank", F.rank().over(inside).cast("long"))
+        inside = Window.partitionBy("metric").orderBy(F.asc_nulls_last("value"))
+        return long.withColumn("rank", F.when(known, F.rank().over(inside).cast("long")))
     # One row per column and bucket, at most 2 * MAX_CUTS + 4 per column: safe to broadcast.
     before = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -91,7 +93,7 @@ def ranked_long(
     placed = long.join(F.broadcast(offsets), ["metric", "bucket"])
     on_cut = F.col("bucket") % 2 == 1
     inside = Window.partitionBy("metric", "bucket").orderBy("value")
-    equal = placed.where(on_cut).withColumn("rank", F.col("earlier") + 1)
+    equal = placed.where(on_cut).withColumn("rank", F.when(known, F.col("earlier") + 1))
     between = placed.where(~on_cut).withColumn("rank", F.col("earlier") + F.rank().over(inside))
     return equal.unionByName(between).drop("bucket", "earlier")
 
@@ -108,23 +110,24 @@ def min_ranks(
     columns: Sequence[str],
     counts: dict[str, int] | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(key.., <c>_rank, <c>_n for each column): minimum ranks, NULL for missing values.
+    """(key.., carry.., <c>_rank, <c>_n for each column): minimum ranks, NULL for missing values.
 
     `key` must be unique and `df` should be cheap to read again: it is scanned for the counts, for
     the cuts of a large input, and for the ranks. `<c>_n` is the number of non-missing values.
     """
     if counts is None:
         counts = counts_of(df, columns)
-    ranked = ranked_long(df, key, columns, counts, bucket_rows)
-    wide = ranked.groupBy(*key).agg(
-        *[F.max(F.when(F.col("metric") == c, F.col("rank"))).alias(f"{c}_rank") for c in columns]
-    )
-    return (
-        df.select(*key)
-        .join(wide, list(key), "left")
-        .select("*", *[F.lit(counts[c]).cast("long").alias(f"{c}_n") for c in columns])
-    )
+    ranked = ranked_long(df, [*key, *carry], columns, counts, bucket_rows)
+    if len(columns) == 1:
+        wide = ranked.select(*key, *carry, F.col("rank").alias(f"{columns[0]}_rank"))
+    else:
+        wide = ranked.groupBy(*key).agg(
+            *[F.max(c).alias(c) for c in carry],
+            *[F.max(F.when(F.col("metric") == c, F.col("rank"))).alias(f"{c}_rank") for c in columns],
+        )
+    return wide.select("*", *[F.lit(counts[c]).cast("long").alias(f"{c}_n") for c in columns])
 
 
 def pct_rank(column: str) -> Column:

@@ -46,8 +46,9 @@ def raw_factor_scores(
     if rows > bucket_rows:
         first = materialise(first, "ranks")
     sums = ["value_sum", "momentum_sum"]
-    second = min_ranks(first, ["ticker"], sums, dict.fromkeys(sums, rows), bucket_rows)
-    return first.join(second, "ticker").select(
+    single = ["quality_rank", "volatility_rank"]
+    second = min_ranks(first, ["ticker"], sums, dict.fromkeys(sums, rows), bucket_rows, carry=single)
+    return second.select(
         "ticker",
         (pct_rank("value_sum") * 100).alias("value_score"),
         _score(F.col("quality_rank"), rows).alias("quality_score"),

@@ -272,7 +272,7 @@ def rsi_14(i: Inputs) -> DataFrame:
 @query
 def macd(i: Inputs) -> DataFrame:
     columns = ["macd", "macd_signal", "macd_hist"]
-    return rounded(i.every_series(series.with_macd, columns), 4, *columns)
+    return rounded(i.every_series(series.with_macd, columns), 2, *columns)
 
 
 @query
@@ -398,7 +398,8 @@ def display_projection(i: Inputs) -> DataFrame:
 
 @query
 def training_rows(i: Inputs) -> DataFrame:
-    return rounded(i.training_rows, 4, *training.FEATURES)
+    wide = ["macd", "macd_hist", "macd_signal"]
+    return rounded(rounded(i.training_rows, 2, *wide), 4, *[c for c in training.FEATURES if c not in wide])
 
 
 @query

@@ -327,7 +327,7 @@ ORACLES = {
         indicators("numbered"),
     ),
     "macd": _sql(
-        f"SELECT ticker, date, {_r(4, 'macd', 'macd_signal', 'macd_hist')} "
+        f"SELECT ticker, date, {_r(2, 'macd', 'macd_signal', 'macd_hist')} "
         "FROM numbered JOIN indicators USING (ticker, i)",
         NUMBERED,
         indicators("numbered"),
@@ -386,7 +386,7 @@ ORACLES = {
         _IMPUTED,
         ranking("round(blend + rule * 0.2, 9)"),
     ),
-    "training_rows": _sql(f"SELECT ticker, date, {_r(4, *MEASURES)}, target FROM rows_", HISTORY),
+    "training_rows": _sql(f"SELECT ticker, date, {_r(4, *MEASURES[:7])}, {_r(2, *MEASURES[7:])}, target FROM rows_", HISTORY),
     "class_shares": _sql(
         "SELECT target, count(*) AS rows, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) + 0.0 AS share "
         "FROM rows_ GROUP BY target",
