@@ -31,9 +31,8 @@ def medians(
         out.update(df.agg(*[F.median(c).alias(c) for c in small]).first().asDict())
     for c in large:
         n = counts[c]
-        low, high = (n - 1) // 2, n // 2
-        first = _nth(df, c, low, n, finish_rows)
-        out[c] = first if high == low else (first + _nth(df, c, high, n, finish_rows)) / 2
+        first = _nth(df, c, (n - 1) // 2, n, finish_rows)
+        out[c] = first if n % 2 else (first + _after(df, c, first, n)) / 2
     return out
 
 
@@ -66,6 +65,12 @@ def _nth(df: DataFrame, column: str, index: int, rows: int, finish_rows: int) ->
     return values.agg(F.percentile("v", index / (rows - 1) if rows > 1 else 0.0).alias("p")).first()["p"]
 
 
+def _after(df: DataFrame, column: str, value: float, rows: int) -> float:
+    """The upper middle value, when `value` is the lower one of an even number of rows."""
+    larger = df.where(F.col(column) > value).agg(F.count("*").alias("n"), F.min(column).alias("v")).first()
+    return larger["v"] if larger["n"] == rows // 2 else value
+
+
 def impute(df: DataFrame, columns: Sequence[str], middle: dict[str, float | None]) -> DataFrame:
     """Missing numbers become the column's median, or 0 where there is none; missing text becomes '0'."""
     numbers = {c: F.coalesce(F.col(c), F.lit(middle[c]).cast("double"), F.lit(0.0)) for c in columns}

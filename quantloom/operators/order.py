@@ -147,9 +147,8 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     written with their index inside the partition; only one count per partition is read back, and
     the offsets are joined as a table of that size.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )

@@ -434,7 +434,7 @@ ORACLES = {
     "top_market_cap": _sql(_LAST_CLOSES),
     "minmax_by_ticker": _sql(f"SELECT ticker, date, {_r(6, 'scaled')} FROM scaled_bars", SAMPLES),
     "sequences_60": _sql(
-        "SELECT ticker, date, length, round(first_value, 6) + 0.0 AS first_value, round(scaled, 6) + 0.0 AS last_value, "
+        "SELECT ticker, date, CAST(length AS INTEGER) AS length, round(first_value, 6) + 0.0 AS first_value, round(scaled, 6) + 0.0 AS last_value, "
         "round(total, 6) + 0.0 AS total FROM samples",
         SAMPLES,
     ),
@@ -446,7 +446,7 @@ ORACLES = {
         FROM (SELECT ticker, date, row_number() OVER (ORDER BY ticker, date) AS position, count(*) OVER () AS n FROM samples)""",
         SAMPLES,
     ),
-    "latest_headlines": _sql("SELECT ticker, rn, seq, title FROM latest_news"),
+    "latest_headlines": _sql("SELECT ticker, CAST(rn AS INTEGER) AS rn, seq, title FROM latest_news"),
     "headline_labels": _sql(
         f"""SELECT ticker, seq, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS label,
           round(coalesce(greatest(up, down) / nullif(up + down, 0), 1), 6) + 0.0 AS score
