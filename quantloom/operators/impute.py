@@ -43,25 +43,22 @@ def _nth(df: DataFrame, column: str, index: int, rows: int, finish_rows: int) ->
         margin = 2.0 / _ACCURACY
         probs = [max(0.0, index / rows - margin), min(1.0, (index + 1) / rows + margin)]
         low, high = values.agg(F.percentile_approx("v", probs, _ACCURACY).alias("q")).first()["q"]
-        below, at_low, inside = values.agg(
-            F.count_if(F.col("v") < low), F.count_if(F.col("v") == low), F.count_if(F.col("v").between(low, high))
+        v = F.col("v")
+        below, at_low, at_high, inside = values.agg(
+            F.count_if(v < low), F.count_if(v == low), F.count_if(v == high), F.count_if(v.between(low, high))
         ).first()
         if not below <= index < below + inside:
             raise AssertionError("the sketch did not bracket the wanted value")
         if index < below + at_low:
             return low
-        # Values equal to the lower bound are settled: leave them out, so a repeated value cannot stall.
-        values = values.where((F.col("v") > low) & (F.col("v") <= high))
-        index -= below + at_low
-        left = inside - at_low
+        if index >= below + inside - at_high:
+            return high
+        # Values equal to a bound are settled: leave them out, so a repeated value cannot stall.
+        left = inside - at_low - at_high
         if left == rows:
             raise AssertionError("the bracket did not shrink")
-        rows = left
-        if low == high:
-            return low
-        at_high = values.where(F.col("v") == high).count()
-        if index >= rows - at_high:
-            return high
+        values = values.where((v > low) & (v < high))
+        index, rows = index - below - at_low, left
     return values.agg(F.percentile("v", index / (rows - 1) if rows > 1 else 0.0).alias("p")).first()["p"]
 
 

@@ -1 +1 @@
-"""Readers with fixed schemas, and the reference-shaped views derived from the test tables."""
+"""Readers with fixed schemas, and the same tables derived from the test data."""

@@ -57,3 +57,25 @@ def test_positions_equal_pandas(spark, parts):
     order = pdf.sort_values(["a", "id"], ascending=[False, True])
     want = pd.Series(range(1, len(pdf) + 1), index=order["id"]).sort_index()
     np.testing.assert_array_equal(got["position"].to_numpy(), want.to_numpy())
+
+
+def test_positions_over_several_coalesced_partitions(spark):
+    pdf, df = _frame(spark, 20_000)
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {name: spark.conf.get(name, None) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        placed = row_positions(df, ["b", "id"])
+        got = placed.toPandas().sort_values("id")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert len(placed.inputFiles()) > 1
+    order = pdf.sort_values(["b", "id"])
+    want = pd.Series(range(1, len(pdf) + 1), index=order["id"]).sort_index()
+    np.testing.assert_array_equal(got["position"].to_numpy(), want.to_numpy())
