@@ -110,8 +110,8 @@ def rank(spark: SparkSession, args: argparse.Namespace) -> None:
     extra = {}
     if args.sequence_model:
         history, _ = _bars(spark, args, readers.TRAIN_DAYS)
-        sequences = training.sequences(history, None, as_of, args.one_bar_a_day)
-        extra["dl_trend_score"] = seq.trend_scores(seq.load_sequence_model(args.sequence_model), sequences)
+        newest = seq.newest_sequences(readers.in_range(history, readers.days_before(as_of, readers.TRAIN_DAYS), as_of))
+        extra["dl_trend_score"] = seq.trend_scores(seq.load_sequence_model(args.sequence_model), newest)
     if args.headlines:
         newest = sentiment.latest_headlines(readers.read_headlines(spark, args.headlines), as_of)
         extra["sentiment_score"] = sentiment.sentiment(listing.select("ticker"), sentiment.classified(newest))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.metrics import classification_report, roc_auc
+from quantloom.operators.order import row_positions
 from quantloom.operators.sampling import SEED, class_weights, smote, stratified_split, time_split
 from quantloom.storage import materialise
 
@@ -68,6 +69,12 @@ def balanced(
     return train
 
 
+def stratified_folds(rows: DataFrame, features: Sequence[str], label: str = "target", folds: int = FOLDS) -> DataFrame:
+    """Add `_fold`: rows are dealt out in turn, class by class, in the order of a hash; repeated rows are spread."""
+    placed = row_positions(rows.withColumn("_draw", F.xxhash64(*features)), [label, "_draw", *features], "_place")
+    return placed.withColumn("_fold", (F.col("_place") % folds).cast("int")).drop("_draw", "_place")
+
+
 def train_forest(
     rows: DataFrame,
     features: Sequence[str],
@@ -92,8 +99,7 @@ def train_forest(
         time_split(rows, label) if split == "time" else stratified_split(rows, key, label, seed=seed), "split"
     )
     kept = balanced(parts.where(~F.col("is_test")), features, key, balance, label)
-    fold = F.pmod(F.xxhash64(*features), F.lit(folds)).cast("int")
-    train = materialise(kept.withColumn("_fold", fold), "train")
+    train = materialise(stratified_folds(kept, features, label, folds), "train")
 
     weight = {"weightCol": "weight"} if balance == "weight" else {}
     forest = RandomForestClassifier(

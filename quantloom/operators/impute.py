@@ -7,65 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.order import counts_of
+from quantloom.operators.order import value_counts
 
-# A bracket with at most this many values is finished by one exact percentile.
-FINISH_ROWS = 200_000
-_ACCURACY = 10_000
 
-
-def medians(
-    df: DataFrame, columns: Sequence[str], counts: dict[str, int] | None = None, finish_rows: int = FINISH_ROWS
-) -> dict[str, float | None]:
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact interpolated median per column; None for a column without values.
 
-    A large column is narrowed first: a sketch brackets the two middle values, a count of the values
-    below verifies the bracket, and only values inside it go on to the next round.
+    One pass over all columns: distinct values with running counts, of which the one or two middle ones are picked.
     """
-    if counts is None:
-        counts = counts_of(df, columns)
-    large = [c for c in columns if counts[c] > finish_rows]
-    small = [c for c in columns if 0 < counts[c] <= finish_rows]
-    out: dict[str, float | None] = dict.fromkeys(columns)
-    if small:
-        out.update(df.agg(*[F.median(c).alias(c) for c in small]).first().asDict())
-    for c in large:
-        n = counts[c]
-        first = _nth(df, c, (n - 1) // 2, n, finish_rows)
-        out[c] = first if n % 2 else (first + _after(df, c, first, n)) / 2
-    return out
-
-
-def _nth(df: DataFrame, column: str, index: int, rows: int, finish_rows: int) -> float:
-    """The value at `index` (0-based) of the sorted column."""
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    while rows > finish_rows:
-        margin = 2.0 / _ACCURACY
-        probs = [max(0.0, index / rows - margin), min(1.0, (index + 1) / rows + margin)]
-        low, high = values.agg(F.percentile_approx("v", probs, _ACCURACY).alias("q")).first()["q"]
-        v = F.col("v")
-        below, at_low, at_high, inside = values.agg(
-            F.count_if(v < low), F.count_if(v == low), F.count_if(v == high), F.count_if(v.between(low, high))
-        ).first()
-        if not below <= index < below + inside:
-            raise AssertionError("the sketch did not bracket the wanted value")
-        if index < below + at_low:
-            return low
-        if index >= below + inside - at_high:
-            return high
-        # Values equal to a bound are settled: leave them out, so a repeated value cannot stall.
-        left = inside - at_low - at_high
-        if left == rows:
-            raise AssertionError("the bracket did not shrink")
-        values = values.where((v > low) & (v < high))
-        index, rows = index - below - at_low, left
-    return values.agg(F.percentile("v", index / (rows - 1) if rows > 1 else 0.0).alias("p")).first()["p"]
-
-
-def _after(df: DataFrame, column: str, value: float, rows: int) -> float:
-    """The upper middle value, when `value` is the lower one of an even number of rows."""
-    larger = df.where(F.col(column) > value).agg(F.count("*").alias("n"), F.min(column).alias("v")).first()
-    return larger["v"] if larger["n"] == rows // 2 else value
+    values = value_counts(df, columns)
+    whole = values.groupBy("metric").agg(F.sum("rows").alias("n"))
+    low, high = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    holds = lambda place: (F.col("rows_before") <= place) & (place < F.col("rows_before") + F.col("rows"))
+    middle = (
+        values.join(F.broadcast(whole), "metric")  # one row for each column
+        .groupBy("metric")
+        .agg(F.max(F.when(holds(low), F.col("value"))).alias("low"), F.max(F.when(holds(high), F.col("value"))).alias("high"))
+    )
+    found = {r.metric: r.low if r.low == r.high else (r.low + r.high) / 2 for r in middle.collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def impute(df: DataFrame, columns: Sequence[str], middle: dict[str, float | None]) -> DataFrame:

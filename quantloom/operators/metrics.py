@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import ratio
-from quantloom.operators.order import BUCKET_ROWS, counts_of, ranked_long
+from quantloom.operators.order import running_totals
 
 
 def class_shares(df: DataFrame, label: str = "target") -> DataFrame:
@@ -70,22 +70,19 @@ def classification_report(df: DataFrame, label: str = "target", prediction: str
     return counts.select(F.explode(lines).alias("line")).select("line.*")
 
 
-def roc_auc(
-    df: DataFrame, label: str = "target", score: str = "score", bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Exact area under the curve from the rank sum of the positives, ties at their average rank.
+def roc_auc(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
+    """Exact area under the curve, ties at their average rank.
 
-    One row (positives, negatives, auc). The ranks are grouped before they are summed, so a score
-    shared by many rows is one row.
+    One row (positives, negatives, auc). Rows are counted by score first: the area needs each score's positives and
+    negatives and the negatives below it, never the ranks of rows.
     """
-    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(label, score)
-    ranked = ranked_long(known, [label], [score], counts_of(known, [score]), bucket_rows)
-    positive = F.col(label) == 1
-    ties = ranked.groupBy("rank").agg(F.count("*").alias("rows"), F.count_if(positive).alias("up"))
-    sums = ties.agg(
-        F.sum(F.col("up") * (F.col("rank") + (F.col("rows") - 1) / 2.0)).alias("rank_sum"),
-        F.sum("up").alias("positives"),
-        F.sum(F.col("rows") - F.col("up")).alias("negatives"),
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    up = F.col(label) == 1
+    counted = known.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(up).alias("up"), F.count_if(~up).alias("down")
     )
+    totals = running_totals(counted.withColumn("all", F.lit(0)), "all", "score", ["down"])
+    won = F.sum(F.col("up").cast("double") * (F.col("down_before") + F.col("down") / 2.0))
+    sums = totals.agg(won.alias("won"), F.sum("up").alias("positives"), F.sum("down").alias("negatives"))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    return sums.select("positives", "negatives", ratio(F.col("rank_sum") - p * (p + 1) / 2, p * n).alias("auc"))
+    return sums.select("positives", "negatives", ratio(F.col("won"), p * n).alias("auc"))

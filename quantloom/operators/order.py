@@ -1,101 +1,65 @@
-"""Exact ranks and row numbers over one large cross-section, without a single-task window.
+"""Exact ranks, running totals and row numbers over one large cross-section, without a single-task window.
 
-`min_ranks` cuts each column at sampled values: rows equal to a cut need only counting, rows between
-two cuts are few enough for one window partition. So a value shared by a third of all rows costs no
-sort and moves nothing to one task. `row_positions` numbers rows by a composite key with a range
-partitioning and per-partition offsets.
+Everything here is one path for every size. Ranks, medians and areas are taken from the distinct values: equal values are
+counted before the shuffle, so a value shared by a third of all rows is one row, and only distinct values are sorted,
+by a range partitioning with one offset per partition. `row_positions` numbers rows the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.numeric import INF
 from quantloom.storage import materialise
 
-# A column with at most this many values is ranked as one bucket.
-BUCKET_ROWS = 200_000
-# At most this many cuts per column; it bounds the table of bucket counts.
-MAX_CUTS = 16_384
 # monotonically_increasing_id keeps the row index inside a partition in its low 33 bits.
 _ROW_BITS = 33
 
 
-def _cuts(df: DataFrame, columns: Sequence[str], rows: int, bucket_rows: int) -> dict[str, list[float]]:
-    """Sampled finite cut values per column: fewer than MAX_CUTS numbers each."""
-    parts = min(MAX_CUTS, 4 * (-(-rows // bucket_rows)))
-    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probs, max(10_000, 8 * parts)).alias(c) for c in columns]
-    ).first()
-    return {c: sorted({v for v in found[c] or [] if abs(v) != INF}) or [0.0] for c in columns}
-
-
-def _with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """Add `<c>_bucket`: odd = equal to one cut, infinite or missing; even = strictly between two cuts."""
-    edges = {c: [-INF, *points, INF] for c, points in cuts.items()}
-    wide = df.select("*", *[F.col(c).cast("double").alias(f"_{c}") for c in cuts])
-    wide = Bucketizer(
-        splitsArray=list(edges.values()),
-        inputCols=[f"_{c}" for c in cuts],
-        outputCols=[f"{c}_edge" for c in cuts],
-        handleInvalid="keep",
-    ).transform(wide)
-    for c, points in edges.items():
-        value, edge = F.col(f"_{c}"), F.col(f"{c}_edge").cast("int")
-        on_cut = value == F.element_at(F.array(*[F.lit(e) for e in points]), F.least(edge + 1, F.lit(len(points))))
-        bucket = (
-            F.when(value.isNull(), 2 * len(points) + 3)
-            .when(value == INF, 2 * len(points) + 1)
-            .otherwise(2 * edge + F.when(on_cut, 1).otherwise(2))
-        )
-        wide = wide.withColumn(f"{c}_bucket", bucket.cast("int"))
-    return wide
+def running_totals(df: DataFrame, by: str, order: str, values: Sequence[str]) -> DataFrame:
+    """Add `<v>_before` for each of `values`: its sum over the rows of the same `by` with a smaller `order`.
 
+    (by, order) must be unique. Rows are range-partitioned and sorted; a window never holds more than one of these
+    partitions, and the offsets are one row per partition and `by`.
+    """
+    tagged = df.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_at", F.monotonically_increasing_id())
+    stored = materialise(tagged, "totals").withColumn("_part", F.shiftright("_at", _ROW_BITS).cast("int")).drop("_at")
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy(by, "_part")
+        .agg(*[F.sum(v).alias(v) for v in values])
+        .select(by, "_part", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    )
+    inside = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        stored.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+        .join(offsets, [by, "_part"])
+        .withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values})
+        .drop("_part", *[f"_{v}" for v in values])
+    )
 
-def ranked_long(
-    df: DataFrame,
-    carry: Sequence[str],
-    columns: Sequence[str],
-    counts: dict[str, int],
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
+
+def _long(df: DataFrame, carry: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    items = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(*carry, F.explode(F.array(*items)).alias("item")).select(*carry, "item.*")
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, value, rows, rows_before): every distinct non-missing value of each column."""
+    counted = _long(df, [], columns).where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count("*").alias("rows"))
+    return running_totals(counted, "metric", "value", ["rows"])
+
+
+def ranked_long(df: DataFrame, carry: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(carry.., metric, value, rank) with one row per input row and column.
 
-    rank = 1 + number of smaller values of the same column, NULL for a missing value. A small input
-    is one bucket per column. Otherwise the rank is the rank inside the bucket plus the rows of all
-    earlier buckets.
+    rank = 1 + number of smaller values of the same column, NULL for a missing value. The join back to the rows has one
+    row for each value on its other side, so adaptive execution may split the rows of a frequent value.
     """
-    rows = max(counts.values())
-    cuts = _cuts(df, columns, rows, bucket_rows) if rows > bucket_rows else None
-    source = _with_buckets(df, cuts) if cuts else df
-
-    def entry(c: str) -> Column:
-        fields = [F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")]
-        return F.struct(*fields, *([F.col(f"{c}_bucket").alias("bucket")] if cuts else []))
-
-    long = source.select(*carry, F.explode(F.array(*[entry(c) for c in columns])).alias("item")).select(*carry, "item.*")
-    known = F.col("value").isNotNull()
-    if not cuts:
-        inside = Window.partitionBy("metric").orderBy(F.asc_nulls_last("value"))
-        return long.withColumn("rank", F.when(known, F.rank().over(inside).cast("long")))
-    # One row per column and bucket, at most 2 * MAX_CUTS + 4 per column: safe to broadcast.
-    before = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        long.groupBy("metric", "bucket")
-        .agg(F.count("*").alias("rows"))
-        .select("metric", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier"))
-    )
-    placed = long.join(F.broadcast(offsets), ["metric", "bucket"])
-    on_cut = F.col("bucket") % 2 == 1
-    inside = Window.partitionBy("metric", "bucket").orderBy("value")
-    equal = placed.where(on_cut).withColumn("rank", F.when(known, F.col("earlier") + 1))
-    between = placed.where(~on_cut).withColumn("rank", F.col("earlier") + F.rank().over(inside))
-    return equal.unionByName(between).drop("bucket", "earlier")
+    ranks = value_counts(df, columns).select("metric", "value", (F.col("rows_before") + 1).alias("rank"))
+    return _long(df, carry, columns).join(ranks, ["metric", "value"], "left").select(*carry, "metric", "value", "rank")
 
 
 def counts_of(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
@@ -109,17 +73,16 @@ def min_ranks(
     key: Sequence[str],
     columns: Sequence[str],
     counts: dict[str, int] | None = None,
-    bucket_rows: int = BUCKET_ROWS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """(key.., carry.., <c>_rank, <c>_n for each column): minimum ranks, NULL for missing values.
 
-    `key` must be unique and `df` should be cheap to read again: it is scanned for the counts, for
-    the cuts of a large input, and for the ranks. `<c>_n` is the number of non-missing values.
+    `key` must be unique and `df` should be cheap to read again: it is scanned for the counts, for the values and for
+    the ranks. `<c>_n` is the number of non-missing values.
     """
     if counts is None:
         counts = counts_of(df, columns)
-    ranked = ranked_long(df, [*key, *carry], columns, counts, bucket_rows)
+    ranked = ranked_long(df, [*key, *carry], columns)
     if len(columns) == 1:
         wide = ranked.select(*key, *carry, F.col("rank").alias(f"{columns[0]}_rank"))
     else:
@@ -155,7 +118,7 @@ def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     stored = materialise(tagged, "positions").withColumn("_part", F.shiftright("_at", _ROW_BITS).cast("int"))
     sizes = sorted((r["_part"], r["rows"]) for r in stored.groupBy("_part").agg(F.count("*").alias("rows")).collect())
     offsets, total = [], 0
-    for part, rows in sizes:
+    for part, rows in sizes:  # one number for each partition
         offsets.append((part, total))
         total += rows
     table = df.sparkSession.createDataFrame(offsets, "_part int, _before long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import inverse_or_floor, round_half_even
-from quantloom.operators.order import BUCKET_ROWS, min_ranks, pct_rank, rank_nulls_last
+from quantloom.operators.order import min_ranks, pct_rank, rank_nulls_last
 from quantloom.storage import materialise
 
 SCORES = ["value_score", "quality_score", "momentum_score", "supply_score", "volatility_score"]
@@ -19,9 +19,7 @@ def _score(rank: Column, rows: int) -> Column:
     return rank / F.lit(float(rows)) * 100
 
 
-def raw_factor_scores(
-    universe: DataFrame, rows: int, low_is_good: bool = False, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+def raw_factor_scores(universe: DataFrame, rows: int, low_is_good: bool = False) -> DataFrame:
     """(ticker, five unrounded scores) of `universe`, which is scanned a few times and has `rows` rows.
 
     Missing measures take the position after all others, so they score best. Volatility scores high
@@ -36,18 +34,17 @@ def raw_factor_scores(
         "ret_60",
         (-F.col("vol_20") if low_is_good else F.col("vol_20")).alias("vol_20"),
     )
-    first = min_ranks(measures, ["ticker"], _RANKED, bucket_rows=bucket_rows).select(
+    first = min_ranks(measures, ["ticker"], _RANKED).select(
         "ticker",
         (F.col("inv_per_rank") + F.col("inv_pbr_rank")).alias("value_sum"),
         (rank_nulls_last("ret_20") + rank_nulls_last("ret_60")).alias("momentum_sum"),
         rank_nulls_last("roe").alias("quality_rank"),
         rank_nulls_last("vol_20").alias("volatility_rank"),
     )
-    if rows > bucket_rows:
-        first = materialise(first, "ranks")
+    first = materialise(first, "ranks")
     sums = ["value_sum", "momentum_sum"]
     single = ["quality_rank", "volatility_rank"]
-    second = min_ranks(first, ["ticker"], sums, dict.fromkeys(sums, rows), bucket_rows, carry=single)
+    second = min_ranks(first, ["ticker"], sums, dict.fromkeys(sums, rows), carry=single)
     return second.select(
         "ticker",
         (pct_rank("value_sum") * 100).alias("value_score"),
@@ -58,15 +55,13 @@ def raw_factor_scores(
     )
 
 
-def factor_scores(
-    universe: DataFrame, rows: int | None = None, low_is_good: bool = False, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+def factor_scores(universe: DataFrame, rows: int | None = None, low_is_good: bool = False) -> DataFrame:
     """Instrument, name, price columns where present, and the five scores rounded to 2 decimals."""
     if rows is None:
         universe = materialise(universe, "universe")
         rows = universe.count()
     kept = _BASE + [c for c in _OPTIONAL if c in universe.columns]
-    raw = raw_factor_scores(universe, rows, low_is_good, bucket_rows)
+    raw = raw_factor_scores(universe, rows, low_is_good)
     return (
         universe.select(*kept)
         .join(raw, "ticker")

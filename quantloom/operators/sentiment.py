@@ -48,7 +48,8 @@ def neutral_classifier(title: Column) -> Column:
 
 
 def _any_word(words: Sequence[str]) -> Column:
-    return F.lit(f"(^|[^a-z])({'|'.join(words)})")
+    """The listed words and their plain inflections, as whole words."""
+    return F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?:s|es|ed|ing)?(?![a-z])")
 
 
 def word_classifier(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import round_half_even
 from quantloom.operators.order import row_positions
-from quantloom.operators.series import AHEAD, BY, PLAIN_ROWS, WARMUP, latest, longest_series, per_series
+from quantloom.operators.series import AHEAD, BY, WARMUP, per_series
 
 # Sequence length, label distance, hidden layer, tickers, held-out tail share.
 LOOK_BACK, LOOK_FORWARD = 60, 20
@@ -37,14 +37,11 @@ def _scaled(low: Column, high: Column) -> Column:
     return F.when(low == high, 0.0).otherwise((F.col("close") - low) / (high - low))
 
 
-def with_scaled_close(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Add `scaled`: the close between its ticker's minimum and maximum; a constant series gives 0."""
-    whole = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return bars.withColumn("scaled", _scaled(F.min("close").over(whole), F.max("close").over(whole)))
+def with_scaled_close(bars: DataFrame) -> DataFrame:
+    """Add `scaled`: the close between its ticker's minimum and maximum; a constant series gives 0.
 
-
-def scaled_by_join(bars: DataFrame) -> DataFrame:
-    """The same for series that are computed in segments: the range of a ticker is pre-aggregated."""
+    The range of a ticker is pre-aggregated and joined, so it is that of the whole series whatever its length.
+    """
     span = bars.groupBy("ticker").agg(F.min("close").alias("_min"), F.max("close").alias("_max"))
     scaled = _scaled(F.col("_min"), F.col("_max"))
     return bars.join(span, "ticker").withColumn("scaled", scaled).drop("_min", "_max")
@@ -52,12 +49,19 @@ def scaled_by_join(bars: DataFrame) -> DataFrame:
 
 def sequences(bars: DataFrame, longest: int | None = None, **sizes: int) -> DataFrame:
     """Every bar with its scaled sequence and later value; `longest` as in `per_series`."""
-    if longest is None:
-        longest = longest_series(bars)
-    plain = sizes.get("plain_rows", PLAIN_ROWS)
-    if longest <= plain:
-        return per_series(bars, lambda frame, by: with_sequence(with_scaled_close(frame, by), by), longest, **sizes)
-    return per_series(scaled_by_join(bars), with_sequence, longest, **sizes)
+    return per_series(with_scaled_close(bars), with_sequence, longest, **sizes)
+
+
+def newest_sequences(bars: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
+    """(ticker, sequence): the last `look_back` scaled closes of every ticker that has as many.
+
+    Only the last rows of a ticker leave the map side, and only they are collected.
+    """
+    newest = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    kept = with_scaled_close(bars).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= look_back)
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct("date", "scaled"))), lambda x: x["scaled"])
+    found = kept.groupBy("ticker").agg(gathered.alias("sequence"), F.count("scaled").alias("_known"))
+    return found.where((F.col("_known") == look_back)).select("ticker", "sequence")
 
 
 def with_sequence(
@@ -111,9 +115,8 @@ def load_sequence_model(path: str) -> MultilayerPerceptronClassificationModel:
     return MultilayerPerceptronClassificationModel.load(path)
 
 
-def trend_scores(model: MultilayerPerceptronClassificationModel, sequences: DataFrame) -> DataFrame:
-    """(ticker, dl_trend_score): 100 * P(up) for the latest full sequence of each ticker."""
-    newest = latest(sequences.where(F.col("sequence").isNotNull()), ["sequence"])
+def trend_scores(model: MultilayerPerceptronClassificationModel, newest: DataFrame) -> DataFrame:
+    """(ticker, dl_trend_score): 100 * P(up) for the sequences of `newest_sequences`."""
     scored = model.transform(newest.withColumn("features", array_to_vector("sequence")))
     up = vector_to_array("probability")[1]
     return scored.select("ticker", round_half_even(100 * up).alias("dl_trend_score"))

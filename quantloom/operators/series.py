@@ -2,7 +2,9 @@
 
 Every window of one pass shares `partitionBy(by).orderBy("date")`, so a pass plans one exchange and
 one sort. `by` is the ticker for ordinary series. `per_series` cuts longer series into segments with
-neighbouring rows copied in, so no task ever holds more than one segment of a ticker.
+neighbouring rows copied in, so no task ever holds more than one segment of a ticker. What reaches back without a bound
+(the last known close, the number of moves, the last known RSI) is carried from segment to segment in one summary row each,
+so that both ways give the same answers, however long a gap is.
 """
 
 from __future__ import annotations
@@ -86,28 +88,84 @@ def per_series(
             F.when(place < AHEAD, home - 1),
         )
     )
-    copied = (
-        row_positions(bars, ["ticker", "date"], "_position")
-        .withColumn("_home", home)
-        .withColumn("_segment", F.explode(targets))
+    placed = row_positions(bars, ["ticker", "date"], "_position").withColumn("_home", home)
+    copied = _with_known(placed).withColumn("_segment", F.explode(targets))
+    own = compute(copied, ("ticker", "_segment")).where(F.col("_segment") == F.col("_home"))
+    if "rsi_14" in own.columns:
+        # Without a move in reach both averages have faded alike: their ratio is that of the last move.
+        stands = F.when(F.col("_known_moves") >= RSI_LENGTH, _filled("rsi_14"))
+        own = _filled_frame(own, "rsi_14").withColumn("rsi_14", F.coalesce("rsi_14", stands)).drop("_last_rsi_14")
+    return own.drop("_position", "_home", "_segment", "_known_close", "_known_moves")
+
+
+_HOME = ("ticker", "_home")
+
+
+def _with_known(placed: DataFrame) -> DataFrame:
+    """Add `_known_close`, the last close that isn't missing, and `_known_moves`, the moves up to the row."""
+    inner = F.col("close") - F.lag("close").over(_window(_HOME))
+    counted = placed.withColumn("_move", inner)
+    whole = counted.groupBy(*_HOME).agg(
+        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("_known"),
+        F.max_by("close", "date").alias("_last"),
+        F.min_by("close", "date").alias("_start"),
+        F.count("_move").alias("_moves"),
+    )
+    before = Window.partitionBy("ticker").orderBy("_home")
+    crossing = (F.lag("_last").over(before).isNotNull() & F.col("_start").isNotNull()).cast("long")
+    past = before.rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.withColumn("_crossing", crossing).select(
+        *_HOME,
+        F.last("_known", ignorenulls=True).over(past).alias("_close_before"),
+        (F.coalesce(F.sum(F.col("_moves") + F.col("_crossing")).over(past), F.lit(0)) + F.col("_crossing")).alias("_moves_before"),
     )
     return (
-        compute(copied, ("ticker", "_segment"))
-        .where(F.col("_segment") == F.col("_home"))
-        .drop("_position", "_home", "_segment")
+        counted.withColumns(
+            {
+                "_known_close": F.last("close", ignorenulls=True).over(_to_here(_HOME)),
+                "_known_moves": F.count("_move").over(_to_here(_HOME)),
+            }
+        )
+        .join(carried, list(_HOME))
+        .withColumns(
+            {
+                "_known_close": F.coalesce("_known_close", "_close_before"),
+                "_known_moves": F.col("_known_moves") + F.col("_moves_before"),
+            }
+        )
+        .drop("_move", "_close_before", "_moves_before")
     )
 
 
+def _filled_frame(own: DataFrame, column: str) -> DataFrame:
+    """Add `_last_<column>`: its last value before the segment."""
+    kept = F.max_by(column, F.when(F.col(column).isNotNull(), F.col("date")))
+    past = Window.partitionBy("ticker").orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.groupBy(*_HOME).agg(kept.alias("_kept"))
+    carried = carried.select(*_HOME, F.last("_kept", ignorenulls=True).over(past).alias(f"_last_{column}"))
+    return own.join(carried, list(_HOME))
+
+
+def _filled(column: str) -> Column:
+    return F.coalesce(F.last(column, ignorenulls=True).over(_to_here(_HOME)), F.col(f"_last_{column}"))
+
+
 def history_gate(bars: DataFrame, min_rows: int, by: Sequence[str] = BY) -> DataFrame:
     """Keep series with at least `min_rows` rows."""
-    return bars.withColumn("_rows", F.count("*").over(_all(by))).where(F.col("_rows") >= min_rows).drop("_rows")
+    if tuple(by) != BY:
+        return bars.withColumn("_rows", F.count("*").over(_all(by))).where(F.col("_rows") >= min_rows).drop("_rows")
+    # Counts are combined before the shuffle: no task buffers a whole series to count it.
+    enough = bars.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_rows).select(*by)
+    return bars.join(enough, list(by), "left_semi")
 
 
 def _base(by: Sequence[str]) -> dict[str, Column]:
     """Helper columns of the features: row number, last known close, and change to the row before."""
+    row = F.row_number().over(_window(by)) - 1
+    known = F.last("close", ignorenulls=True).over(_to_here(by))
     return {
-        "_row": F.row_number().over(_window(by)) - 1,
-        "_close": F.last("close", ignorenulls=True).over(_to_here(by)),
+        "_row": F.when(row < PLAIN_ROWS, row).otherwise(F.raise_error(F.lit("a series is longer than the bound given for it"))),
+        "_close": F.col("_known_close") if len(by) > 1 else known,
         "_move": F.col("close") - F.lag("close").over(_window(by)),
     }
 
@@ -141,7 +199,8 @@ def _rsi(by: Sequence[str], length: int = RSI_LENGTH) -> Column:
     here = _to_here(by)
     gains = F.sum(F.greatest(moved, F.lit(0.0))).over(here)
     moves = F.sum(F.abs(moved)).over(here)
-    return F.when(F.count("_move").over(here) >= length, 100 * ratio(gains, moves))
+    known = F.col("_known_moves") if len(by) > 1 else F.count("_move").over(here)
+    return F.when(known >= length, 100 * ratio(gains, moves))
 
 
 def _ema(value: str, length: int, start: int, by: Sequence[str]) -> Column:

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions import numeric as num
@@ -62,6 +62,10 @@ class Inputs:
         """Days between the first and the last bar: with one bar a day, the longest possible series."""
         return derived.span_days(self.spark, self.sf_dir)
 
+    def statements_of(self, first: int, last: int) -> DataFrame:
+        """Statements of these years; the years reach the scan as a date range."""
+        return derived.statements(self.spark, self.sf_dir, (first, last))
+
     def bars_since(self, days: int) -> DataFrame:
         return derived.bars(self.spark, self.sf_dir, readers.days_before(self.as_of, days), self.as_of)
 
@@ -147,17 +151,25 @@ def as_of_date(i: Inputs) -> DataFrame:
 
 @query
 def statements_scan(i: Inputs) -> DataFrame:
-    return i.statements.where(F.col("year") == i.as_of.year - 1)
+    return i.statements_of(i.as_of.year - 1, i.as_of.year - 1)
 
 
 @query
 def statements_by_year(i: Inputs) -> DataFrame:
-    return i.statements.where(F.col("year").isin(training.statement_years(i.as_of)))
+    years = training.statement_years(i.as_of)
+    return i.statements_of(years[0], years[-1])
+
+
+@query
+def statement_documents(i: Inputs) -> DataFrame:
+    """Statements landed as JSON documents with a status, parsed back: those without the data status hold nothing."""
+    return readers.documents_to_rows(readers.parse_documents(derived.documents(i.spark, i.sf_dir)), {})
 
 
 @query
 def code_map_scan(i: Inputs) -> DataFrame:
-    return i.code_map
+    """Code map lines parsed as CSV; both columns keep their leading zeros."""
+    return readers.parse_code_map(derived.code_map_lines(i.spark, i.sf_dir))
 
 
 @query
@@ -272,7 +284,7 @@ def rsi_14(i: Inputs) -> DataFrame:
 @query
 def macd(i: Inputs) -> DataFrame:
     columns = ["macd", "macd_signal", "macd_hist"]
-    return rounded(i.every_series(series.with_macd, columns), 2, *columns)
+    return rounded(i.every_series(series.with_macd, columns), 4, *columns)
 
 
 @query
@@ -398,8 +410,7 @@ def display_projection(i: Inputs) -> DataFrame:
 
 @query
 def training_rows(i: Inputs) -> DataFrame:
-    wide = ["macd", "macd_hist", "macd_signal"]
-    return rounded(rounded(i.training_rows, 2, *wide), 4, *[c for c in training.FEATURES if c not in wide])
+    return rounded(i.training_rows, 4, *training.FEATURES)
 
 
 @query
@@ -436,35 +447,59 @@ def smote_balance(i: Inputs) -> DataFrame:
     return out.groupBy("target", "synthetic").agg(F.count("*").alias("rows"))
 
 
-def _forest(i: Inputs) -> tuple[DataFrame, object]:
-    stored = materialise(sampling.class_weights(i.training_rows), "rows")
-    model = forest.fit_forest(
-        stored, training.FEATURES, numTrees=20, maxDepth=6, minInstancesPerNode=5, weightCol="weight"
+# Rows that the forest of `ml_score` and `ml_ranking` is fitted on at most, those with the smallest hashes.
+FIT_ROWS = 20_000
+
+
+def _forest(i: Inputs) -> object:
+    stored = materialise(i.training_rows, "rows")
+    chosen = materialise(stored.orderBy(F.xxhash64("ticker", "date"), "ticker", "date").limit(FIT_ROWS), "fit-rows")
+    return forest.fit_forest(
+        sampling.class_weights(chosen), training.FEATURES, numTrees=100, maxDepth=10, minInstancesPerNode=5, weightCol="weight"
     )
-    return stored, model
+
+
+def _is_share(column: str) -> Column:
+    return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
 
 
 @query
 def ml_score(i: Inputs) -> DataFrame:
-    """Probability of every instrument from a forest trained on the whole history."""
-    _, model = _forest(i)
+    """Every instrument gets a probability from a forest trained on the history; checked, not compared."""
     universe, _ = i.universe
-    return forest.score_instruments(model, universe)
+    scored = forest.score_instruments(_forest(i), universe)
+    return scored.select("ticker", _is_share("ml_pred_proba").alias("is_probability"))
 
 
 @query
 def ml_ranking(i: Inputs) -> DataFrame:
-    """The final ranking with the forest's probability in the blend."""
-    _, model = _forest(i)
+    """The final ranking with the forest's probability in the blend: positions, order and range of the scores."""
     universe, _ = i.universe
-    return bl.final_ranking(bl.join_predictions(i.scored, forest.score_instruments(model, universe)))
+    scored = bl.join_predictions(i.scored, forest.score_instruments(_forest(i), universe))
+    ranked = materialise(bl.final_ranking(scored), "ml-ranking")
+    above = ranked.select((F.col("final_rank") + 1).alias("final_rank"), F.col("final_score").alias("score_above"))
+    return ranked.join(above, "final_rank", "left").select(
+        "final_rank",
+        F.coalesce(F.col("final_score") <= F.col("score_above"), F.col("final_rank") == 1).alias("in_order"),
+        F.coalesce(F.col("final_score").between(0, 100), F.lit(False)).alias("in_range"),
+        _is_share("ml_pred_proba").alias("is_probability"),
+    )
 
 
 @query
 def forest_search(i: Inputs) -> DataFrame:
-    """Hold-out report of a short parameter search with over-sampling."""
+    """Hold-out report of a short parameter search with over-sampling: support of each line and checks of its measures."""
     trained = forest.train_forest(i.training_rows, training.FEATURES, n_iter=2, depths=(4, 6), trees=(5, 10))
-    return trained.report
+    harmonic = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    per_class = F.col("class").isin("0", "1")
+    area = trained.auc.first()["auc"]
+    return trained.report.select(
+        "class",
+        "support",
+        (_is_share("precision") & _is_share("recall") & _is_share("f1")).alias("in_range"),
+        (~per_class | (F.abs(F.col("f1") - harmonic) < 1e-9)).alias("adds_up"),
+        F.lit(0.0 <= trained.cv_auc <= 1.0 and 0.0 <= area <= 1.0).alias("is_area"),
+    )
 
 
 # --- sequences ---------------------------------------------------------------------------------
@@ -478,7 +513,7 @@ def top_market_cap(i: Inputs) -> DataFrame:
 
 @query
 def minmax_by_ticker(i: Inputs) -> DataFrame:
-    return rounded(i.every_series(seq.with_scaled_close, ["scaled"]), 6, "scaled")
+    return rounded(seq.with_scaled_close(i.bars).select("ticker", "date", "scaled"), 6, "scaled")
 
 
 def _samples(i: Inputs) -> DataFrame:
@@ -520,7 +555,8 @@ def dl_trend_score(i: Inputs) -> DataFrame:
     samples = training.sequence_samples(window, chosen, i.as_of, one_bar_a_day=True)
     placed = materialise(seq.tail_split(samples), "samples")
     model = seq.train_sequence_model(placed.where(~F.col("is_tail")), epochs=20)
-    return seq.trend_scores(model, training.sequences(window, None, i.as_of, one_bar_a_day=True))
+    scored = seq.trend_scores(model, seq.newest_sequences(window))
+    return scored.select("ticker", F.coalesce(F.col("dl_trend_score").between(0, 100), F.lit(False)).alias("in_range"))
 
 
 # --- news --------------------------------------------------------------------------------------

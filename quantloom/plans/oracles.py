@@ -265,6 +265,9 @@ ORACLES = {
     "statements_by_year": _sql(
         'SELECT ticker, "year", account, amount_raw FROM statements, today WHERE "year" BETWEEN y - 4 AND y - 1'
     ),
+    "statement_documents": _sql(
+        "SELECT ticker, \"year\", account, amount_raw FROM statements WHERE ticker NOT LIKE '%7'"
+    ),
     "code_map_scan": _sql("SELECT corp_code, ticker FROM code_map"),
     "code_map_build": _sql("SELECT corp_code, ticker FROM code_map"),
     "union_sources": _sql(
@@ -327,7 +330,7 @@ ORACLES = {
         indicators("numbered"),
     ),
     "macd": _sql(
-        f"SELECT ticker, date, {_r(2, 'macd', 'macd_signal', 'macd_hist')} "
+        f"SELECT ticker, date, {_r(4, 'macd', 'macd_signal', 'macd_hist')} "
         "FROM numbered JOIN indicators USING (ticker, i)",
         NUMBERED,
         indicators("numbered"),
@@ -386,7 +389,7 @@ ORACLES = {
         _IMPUTED,
         ranking("round(blend + rule * 0.2, 9)"),
     ),
-    "training_rows": _sql(f"SELECT ticker, date, {_r(4, *MEASURES[:7])}, {_r(2, *MEASURES[7:])}, target FROM rows_", HISTORY),
+    "training_rows": _sql(f"SELECT ticker, date, {_r(4, *MEASURES)}, target FROM rows_", HISTORY),
     "class_shares": _sql(
         "SELECT target, count(*) AS rows, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) + 0.0 AS share "
         "FROM rows_ GROUP BY target",
@@ -431,6 +434,28 @@ ORACLES = {
         FROM sums""",
         HISTORY,
     ),
+    "smote_balance": _sql(
+        """, counted AS (SELECT target, count(*) AS n FROM rows_ GROUP BY target), ends AS (SELECT min(n) AS few, max(n) AS many FROM counted)
+        SELECT target, false AS synthetic, n AS rows FROM counted
+        UNION ALL SELECT target, true, many - few FROM counted, ends WHERE n = few AND few < many""",
+        HISTORY,
+    ),
+    "ml_score": _sql("SELECT ticker, true AS is_probability FROM imputed"),
+    "ml_ranking": _sql(
+        "SELECT row_number() OVER () AS final_rank, true AS in_order, true AS in_range, true AS is_probability FROM imputed"
+    ),
+    "forest_search": _sql(
+        """, held AS (SELECT target, CAST(floor(CAST(0.3 AS DOUBLE) * count(*) + 0.5) AS BIGINT) AS n FROM rows_ GROUP BY target),
+        lines AS (
+          SELECT CAST(target AS VARCHAR) AS class, n AS support FROM held
+          UNION ALL SELECT name, (SELECT CAST(sum(n) AS BIGINT) FROM held)
+          FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS line(name))
+        SELECT class, support, true AS in_range, true AS adds_up, true AS is_area FROM lines""",
+        HISTORY,
+    ),
+    "dl_trend_score": _sql(
+        "SELECT ticker, true AS in_range FROM train_bars GROUP BY ticker HAVING count(close) >= 60"
+    ),
     "top_market_cap": _sql(_LAST_CLOSES),
     "minmax_by_ticker": _sql(f"SELECT ticker, date, {_r(6, 'scaled')} FROM scaled_bars", SAMPLES),
     "sequences_60": _sql(
@@ -450,8 +475,8 @@ ORACLES = {
     "headline_labels": _sql(
         f"""SELECT ticker, seq, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS label,
           round(coalesce(greatest(up, down) / nullif(up + down, 0), 1), 6) + 0.0 AS score
-        FROM (SELECT ticker, seq, len(regexp_extract_all(lower(title), '(^|[^a-z])({_UP})')) AS up,
-                     len(regexp_extract_all(lower(title), '(^|[^a-z])({_DOWN})')) AS down FROM headlines)"""
+        FROM (SELECT ticker, seq, len(regexp_extract_all(regexp_replace(lower(title), '[^a-z]', '  ', 'g'), '(^| )({_UP})(s|es|ed|ing)?($| )')) AS up,
+                     len(regexp_extract_all(regexp_replace(lower(title), '[^a-z]', '  ', 'g'), '(^| )({_DOWN})(s|es|ed|ing)?($| )')) AS down FROM headlines)"""
     ),
     "sentiment_points": _sql(
         """SELECT ticker, seq, round(CASE label WHEN 'neutral' THEN 50 WHEN 'positive' THEN 50 + score * 50

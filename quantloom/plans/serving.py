@@ -12,7 +12,6 @@ from quantloom.operators import fundamentals as fund
 from quantloom.operators import series
 from quantloom.operators.blend import WEIGHTS, final_ranking, join_predictions
 from quantloom.operators.impute import impute, medians
-from quantloom.operators.order import counts_of
 from quantloom.operators.scores import factor_scores
 from quantloom.sources.readers import EXCLUDED_NAMES, SERVE_DAYS, days_before, in_range, tradable
 from quantloom.storage import materialise
@@ -64,8 +63,7 @@ def imputed_universe(valued: DataFrame) -> tuple[DataFrame, int]:
     it read that table instead of the bars.
     """
     stored = materialise(valued, "universe")
-    counts = counts_of(stored, _NUMERIC)
-    return impute(stored, _NUMERIC, medians(stored, _NUMERIC, counts)), counts["*"]
+    return impute(stored, _NUMERIC, medians(stored, _NUMERIC)), stored.count()
 
 
 def rank_universe(

@@ -102,12 +102,34 @@ def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_code_map(companies(spark, sf_dir))
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, year, account, amount_raw) with gaps, duplicates, a bad amount and an unused account."""
+def code_map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code map as CSV lines."""
+    return code_map(spark, sf_dir).select(F.to_csv(F.struct("corp_code", "ticker")).alias("line"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, body): the statements of a ticker and year as one JSON document; tickers ending in 7 have no data status."""
+    item = F.struct(
+        F.col("ticker").alias("stock_code"), F.col("account").alias("account_nm"), F.col("amount_raw").alias("thstrm_amount")
+    )
+    status = F.when(F.col("ticker").endswith("7"), "013").otherwise("000")
+    body = F.to_json(F.struct(status.alias("status"), "list"))
+    grouped = statements(spark, sf_dir).groupBy("ticker", "year").agg(F.collect_list(item).alias("list"))
+    return grouped.select("year", body.alias("body"))
+
+
+def statements(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """(ticker, year, account, amount_raw) with gaps, duplicates, a bad amount and an unused account.
+
+    `years` (first and last) becomes a range of shipping dates, which reaches the scan.
+    """
+    items = _table(spark, sf_dir, "lineitem")
+    if years is not None:
+        first, after = (F.lit(dt.date(y, 1, 1)).cast("timestamp_ntz") for y in (years[0], years[1] + 1))
+        items = items.where((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < after))
     signed = F.when(F.col("l_returnflag") == "R", -2).otherwise(1) * _cents("l_extendedprice")
     yearly = (
-        _table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("year"))
+        items.groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("year"))
         .agg(F.sum(signed).alias("signed"))
         .join(_table(spark, sf_dir, "supplier"), F.col("k") == F.col("s_suppkey"))
     )

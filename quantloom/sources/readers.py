@@ -71,6 +71,16 @@ def read_statements(
     docs = spark.read.schema(STATEMENT_SCHEMA + ", year int").json(path)
     if years is not None:
         docs = docs.where(F.col("year").isin(list(years)))
+    return documents_to_rows(docs, accounts)
+
+
+def parse_documents(lines: DataFrame) -> DataFrame:
+    """(year, body) with one JSON document in each body, as the columns of a statement document."""
+    return lines.select("year", F.from_json("body", STATEMENT_SCHEMA).alias("doc")).select("year", "doc.*")
+
+
+def documents_to_rows(docs: DataFrame, accounts: dict[str, str] | None = None) -> DataFrame:
+    """(ticker, year, account, amount_raw) of the documents (year, status, list) that hold data."""
     ours = accounts if accounts is not None else ACCOUNT_LABELS
     account = F.col("item.account_nm")
     named: Column = account
@@ -93,6 +103,11 @@ def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CODE_MAP_SCHEMA).option("header", True).csv(path)
 
 
+def parse_code_map(lines: DataFrame) -> DataFrame:
+    """The same from single CSV lines (column `line`)."""
+    return lines.select(F.from_csv("line", CODE_MAP_SCHEMA).alias("row")).select("row.*")
+
+
 def build_code_map(companies: DataFrame) -> DataFrame:
     """Keep companies that have a ticker, as (corp_code, ticker)."""
     listed = F.col("stock_code").isNotNull() & (F.col("stock_code") != "")

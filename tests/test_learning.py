@@ -94,14 +94,13 @@ def test_class_weights(spark):
     assert {r["w"] for r in sums} == {2.0}
 
 
-@pytest.mark.parametrize("bucket_rows", [10**6, 50])
-def test_auc_equals_pair_counting(spark, bucket_rows):
+def test_auc_equals_pair_counting(spark):
     rng = np.random.default_rng(9)
     y, s = rng.integers(0, 2, 400), rng.integers(0, 15, 400) / 10
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "target int, score double")
     up, down = s[y == 1], s[y == 0]
     want = ((up[:, None] > down[None]).mean() + (up[:, None] == down[None]).mean() / 2)
-    assert metrics.roc_auc(df, bucket_rows=bucket_rows).first()["auc"] == pytest.approx(want, abs=1e-12)
+    assert metrics.roc_auc(df).first()["auc"] == pytest.approx(want, abs=1e-12)
 
 
 def test_report_by_hand(spark):
@@ -170,5 +169,20 @@ def test_sequences_and_trend(spark):
     assert split.where("is_tail").count() == 82 - int(82 * 0.9)
     assert {r["ticker"] for r in split.where("is_tail").collect()} == {"WAVE"}
     model = seq.train_sequence_model(samples, epochs=5)
-    scores = {r["ticker"]: r["dl_trend_score"] for r in seq.trend_scores(model, all_sequences).collect()}
+    scores = {r["ticker"]: r["dl_trend_score"] for r in seq.trend_scores(model, seq.newest_sequences(bars)).collect()}
     assert set(scores) == {"UP", "WAVE", "SHORT"} and all(0 <= s <= 100 for s in scores.values())
+
+
+def test_folds_are_stratified(spark):
+    rows = spark.createDataFrame([(float(i % 7), int(i % 10 == 0)) for i in range(600)], "x double, target int")
+    sizes = {tuple(r)[:2]: r["count"] for r in forest.stratified_folds(rows, ["x"]).groupBy("target", "_fold").count().collect()}
+    assert sizes == {(t, f): n for t, n in ((0, 180), (1, 20)) for f in range(3)}
+
+
+def test_newest_sequences_are_the_last_of_all(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [(t, day + dt.timedelta(days=i), float((i * 7) % 31)) for t, n in (("A", 90), ("B", 60), ("C", 59)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    got = {r["ticker"]: r["sequence"] for r in seq.newest_sequences(bars).collect()}
+    every = seq.sequences(bars).where("sequence IS NOT NULL").orderBy("date").collect()
+    assert got == {r["ticker"]: r["sequence"] for r in every} and set(got) == {"A", "B"}

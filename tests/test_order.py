@@ -18,10 +18,9 @@ def _frame(spark, n=5_000, seed=1):
     return pdf, df
 
 
-@pytest.mark.parametrize("bucket_rows", [10**6, 300, 50])
-def test_min_ranks_equal_pandas(spark, bucket_rows):
+def test_min_ranks_equal_pandas(spark):
     pdf, df = _frame(spark)
-    got = min_ranks(df, ["id"], ["a", "b", "c"], bucket_rows=bucket_rows).toPandas().sort_values("id")
+    got = min_ranks(df, ["id"], ["a", "b", "c"]).toPandas().sort_values("id")
     for c in "abc":
         want = pdf[c].rank(method="min")
         np.testing.assert_array_equal(got[f"{c}_rank"].to_numpy(dtype=float), want.to_numpy())
@@ -39,14 +38,14 @@ def test_known_ranks(spark):
 
 def test_all_equal_and_all_missing(spark):
     df = spark.range(1_000).select("id", F.lit(7.0).alias("v"), F.lit(None).cast("double").alias("w"))
-    got = min_ranks(df, ["id"], ["v", "w"], bucket_rows=100).agg(F.max("v_rank"), F.count("w_rank")).first()
+    got = min_ranks(df, ["id"], ["v", "w"]).agg(F.max("v_rank"), F.count("w_rank")).first()
     assert tuple(got) == (1, 0)
 
 
-def test_large_path_plans_no_single_task(spark):
+def test_ranks_plan_no_single_task(spark):
     _, df = _frame(spark)
     counts = counts_of(df, ["a"])
-    plan = min_ranks(df, ["id"], ["a"], counts, 300)._jdf.queryExecution().toString()
+    plan = min_ranks(df, ["id"], ["a"], counts)._jdf.queryExecution().toString()
     assert "Exchange SinglePartition" not in plan
 
 

@@ -36,32 +36,40 @@ def _spark(spark, pdf):
 
 
 def _expected(pdf):
-    """The scores by whole-number ranks in pandas."""
+    """The scores by the definition of a rank: one more than the number of smaller values."""
 
-    def last(c):
-        return c.rank(method="min", na_option="bottom")
+    def rank(values):
+        return np.array([1 + (values < v).sum() for v in values])
 
-    def pct(r):
-        return r.rank(method="min", pct=True) * 100
+    def last(column):
+        values = column.to_numpy(dtype=float)
+        return rank(np.where(np.isnan(values), np.inf, values))
+
+    def pct(values):
+        return pd.Series(100 * rank(np.asarray(values)) / len(values))
+
+    def cheap(column):
+        values = column.to_numpy(dtype=float)
+        out = np.full(len(values), -np.inf)
+        out[values > 0] = 1 / values[values > 0]
+        return rank(out)
 
-    inv = {c: pdf[c].map(lambda x: 1 / x if x > 0 else -np.inf) for c in ("per", "pbr")}
     n = len(pdf)
     return pd.DataFrame(
         {
             "ticker": pdf["ticker"],
-            "value_score": pct(inv["per"].rank(method="min") + inv["pbr"].rank(method="min")).round(2),
-            "quality_score": (last(pdf["roe"]) / n * 100).round(2),
+            "value_score": pct(cheap(pdf["per"]) + cheap(pdf["pbr"])).round(2),
+            "quality_score": np.round(last(pdf["roe"]) / n * 100, 2),
             "momentum_score": pct(last(pdf["ret_20"]) + last(pdf["ret_60"])).round(2),
             "supply_score": 0.0,
-            "volatility_score": (last(pdf["vol_20"]) / n * 100).round(2),
+            "volatility_score": np.round(last(pdf["vol_20"]) / n * 100, 2),
         }
     )
 
 
-@pytest.mark.parametrize("bucket_rows", [10**6, 60])
-def test_factor_scores_equal_pandas(spark, bucket_rows):
+def test_factor_scores_equal_definition(spark):
     pdf = _universe()
-    got = factor_scores(_spark(spark, pdf), bucket_rows=bucket_rows).toPandas().sort_values("ticker")
+    got = factor_scores(_spark(spark, pdf)).toPandas().sort_values("ticker")
     want = _expected(pdf)
     for c in SCORES:
         np.testing.assert_array_equal(got[c].to_numpy(), want[c].to_numpy(), err_msg=c)
@@ -121,15 +129,14 @@ def test_display_keeps_present_columns_in_order(spark):
     assert tuple(shown.first()) == (1, "A", 25.0)
 
 
-@pytest.mark.parametrize("finish_rows", [10**6, 200, 20])
-def test_medians_equal_numpy(spark, finish_rows):
+def test_medians_equal_numpy(spark):
     rng = np.random.default_rng(2)
     n = 5_001
     pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": rng.random(n)})
     pdf.loc[: n // 3, "c"] = 0.5
     pdf.loc[0, "a"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a")))
-    got = medians(df, ["a", "b", "c"], finish_rows=finish_rows)
+    got = medians(df, ["a", "b", "c"])
     for c in "abc":
         assert got[c] == pytest.approx(np.nanmedian(pdf[c]), abs=1e-12)
 

@@ -31,27 +31,28 @@ def _ema(x, n):
 
 
 def _expected(close):
-    """Plain recursion per series."""
-    s = pd.Series(close)
-    d = s.diff()
-    gain = d.clip(lower=0).ewm(alpha=1 / 14, min_periods=14).mean()
-    loss = (-d.clip(upper=0)).ewm(alpha=1 / 14, min_periods=14).mean()
+    """Plain loops per series."""
+    n = len(close)
+    out = {c: np.full(n, np.nan) for c in ("ret_20", "ret_60", "vol_20", "rsi_14")}
+    up = down = 0.0
+    for i in range(n):
+        for back in (20, 60):
+            if i >= back:
+                out[f"ret_{back}"][i] = close[i] / close[i - back] - 1
+        if i >= 19:
+            last = close[i - 19 : i + 1]
+            out["vol_20"][i] = np.sqrt(((last - last.mean()) ** 2).sum() / 19) / last.mean()
+        if i:
+            move = close[i] - close[i - 1]
+            up, down = up * 13 / 14 + max(move, 0.0), down * 13 / 14 + max(-move, 0.0)
+            if i >= 14 and up + down:
+                out["rsi_14"][i] = 100 * up / (up + down)
     macd = _ema(close, 12) - _ema(close, 26)
-    signal = np.full(len(close), np.nan)
-    if len(close) > 25:
+    signal = np.full(n, np.nan)
+    if n > 25:
         signal[25:] = _ema(macd[25:], 9)
-    return pd.DataFrame(
-        {
-            "ret_20": s.pct_change(20),
-            "ret_60": s.pct_change(60),
-            "vol_20": s.rolling(20).std() / s.rolling(20).mean(),
-            "rsi_14": 100 * gain / (gain + loss),
-            "macd": macd,
-            "macd_signal": signal,
-            "macd_hist": macd - signal,
-            "target": (s.shift(-20) / s > 1.05).astype(int),
-        }
-    )
+    target = [int(i + 20 < n and close[i + 20] / close[i] > 1.05) for i in range(n)]
+    return pd.DataFrame({**out, "macd": macd, "macd_signal": signal, "macd_hist": macd - signal, "target": target})
 
 
 def _compute(frame, by):
@@ -103,6 +104,36 @@ def test_features_share_one_exchange(spark):
     assert initial.count("Sort [") == 1
 
 
+def test_long_gaps_are_bridged_by_segments(spark):
+    """Closes missing for longer than the rows copied around a segment: both ways still agree."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for ticker, gap in (("A", range(1_300, 3_700)), ("B", range(0)), ("C", range(5, 2_500))):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 3_900)))
+        rows += [(ticker, DAY + dt.timedelta(days=i), None if i in gap else float(c)) for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double").repartition(5)
+    plain = series.per_series(bars, _compute).toPandas().sort_values(["ticker", "date"])
+    cut = series.per_series(bars, _compute, segment_rows=1_024, plain_rows=100).toPandas().sort_values(["ticker", "date"])
+    for c in [*series.PRICE_FEATURES, "target"]:
+        np.testing.assert_allclose(
+            cut[c].to_numpy(dtype=float), plain[c].to_numpy(dtype=float), rtol=1e-7, atol=1e-9, err_msg=c
+        )
+
+
+def test_range_of_a_long_series(spark):
+    rows = [("A", DAY + dt.timedelta(days=i), float(i)) for i in range(6_000)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    got = [r["scaled"] for r in seq.with_scaled_close(bars).orderBy("date").collect()]
+    np.testing.assert_allclose(got, np.arange(6_000) / 5_999)
+
+
+def test_a_wrong_bound_is_an_error(spark):
+    rows = [("A", DAY + dt.timedelta(days=i), float(1 + i % 9)) for i in range(5_000)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, close double")
+    with pytest.raises(Exception, match="longer than the bound"):
+        series.per_series(bars, series.with_macd, longest=1_000).collect()
+
+
 def test_label_tail_is_zero(spark):
     rows = [("A", DAY + dt.timedelta(days=i), 100 * 1.1**i) for i in range(25)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
