@@ -7,8 +7,8 @@ everywhere. A document's score is the mean log ratio of its n-grams, so long tex
 a fixed threshold decides on each document by itself.
 
 The weights fill one array of fixed length (2 x BUCKETS doubles) that reaches the tasks as a scalar subquery: its
-size doesn't depend on the corpus. The document side is shuffled only to meet the labels; counts are combined
-before they are shuffled.
+size doesn't depend on the corpus. The documents are shuffled once to meet the labels, which may be as many as they
+(a hash join: the texts aren't sorted); counts are combined before they are shuffled.
 
 Defined cases: a NULL or empty text has no words, fails the base rules and is rejected, its ratio is 0; labels that
 are NULL or missing count as untrusted, repeated labels count once; repeated rows are judged alike; an empty corpus
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.text import GAP, packed, whole, words
+from quantloom.llm.text import packed, whole, words
 
 #: Buckets for single words, and as many again for pairs.
 BUCKETS = 65_536
@@ -50,7 +50,7 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, smoothing: float = SMOOTHI
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(1))
     counted = (
         docs.select("doc_id", "text")
-        .join(trusted, "doc_id", "left")
+        .join(trusted.hint("shuffle_hash"), "doc_id", "left")
         .select(words(F.col("text")).alias("words"), F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
         .select(_word_hashes("words").alias("hashes"), "trusted")
         .select(n_grams("hashes").alias("grams"), "trusted")
@@ -88,31 +88,32 @@ def _covered(repeats: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """`row` (all columns of docs) with words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """`row` (all columns of docs) with hashes of the words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = whole(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     start = docs.select(
         packed(docs.columns, "row"),
         words(F.col("text")).alias("words"),
-        F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
     n = F.size("words")
-    windows = F.transform(
-        F.slice("words", 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)),
-    )
-    hashed = start.select(
+    counts = start.select(
         "row",
         "words",
+        _word_hashes("words").alias("hashes"),
         n.cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
     )
-    kept = ["row", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = ["row", "words", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    # Three word hashes of 16 bits in one number.
+    windows = F.transform(
+        F.slice("hashes", 1, F.greatest(n - 2, F.lit(0))),
+        lambda h, i: (h.cast("long") * BUCKETS + F.get(F.col("hashes"), i + 1)) * BUCKETS + F.get(F.col("hashes"), i + 2),
+    )
+    hashed = counts.select(*kept, windows.alias("windows"))
     # Hashes only tell texts without any repeat; the others are sorted by their words.
     spelt = F.transform(
         F.slice("words", 1, F.size("words") - 2),
@@ -132,6 +133,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             lambda x: x["at"],
         )
     )
+    kept.remove("words")
     return ordered.select(*kept, repeats.alias("repeats")).select(*kept, _covered(F.col("repeats")).alias("n_repeat_words"))
 
 
@@ -142,12 +144,14 @@ def quality_verdicts(
     weights = ratio_weights(docs, labels, smoothing).scalar()
     names = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # A subquery may not be written inside a lambda. As a column that is read once it is folded into the sum by the
-    # optimizer, so that the weights are never copied into a row (tests look at the plan).
     summed = F.aggregate(n_grams("hashes"), F.lit(0.0), lambda acc, g: acc + F.get(F.col("weights"), g))
+    # What a generator makes is computed once and stays a column: without it, a filter on the verdict would be pushed
+    # below the counts and written out inside the lambdas. A subquery may not be written inside a lambda, but the optimizer
+    # folds a column that is read once into it, so that the weights are never copied into a row (tests look at the plan).
+    counted = base_counts(docs)
     return (
-        base_counts(docs)
-        .select(*names, _word_hashes("words").alias("hashes"))
+        counted.select(F.explode_outer(F.array(F.struct(*counted.columns))).alias("c"))
+        .select("c.*")
         .select(*names, "hashes", weights.alias("weights"))
         .select(*names, failed.alias("base_failed"), (summed / F.greatest(2 * F.col("n_words") - 1, F.lit(1))).alias("ratio"))
         .select(*names, "base_failed", "ratio", (~F.col("base_failed") & (F.col("ratio") >= threshold)).alias("kept"))
