@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.numeric import unit_draw
 from quantloom.operators.metrics import classification_report, roc_auc
 from quantloom.operators.order import row_positions
 from quantloom.operators.sampling import SEED, class_weights, smote, stratified_split, time_split
@@ -26,6 +27,9 @@ LEAF_ROWS = (1, 19)
 DEPTHS = (10, 20, 30)
 DRAWS = 10
 FOLDS = 3
+# Training rows of a fit at most (in expectation): what the neighbour search and a driver-side forest are sized for.
+# Larger training parts are thinned by a hash of the key; every row is still split, held out and scored.
+FIT_ROWS = 16_000_000
 
 
 @dataclass
@@ -88,6 +92,7 @@ def train_forest(
     split: str = "stratified",
     balance: str = "smote",
     seed: int = SEED,
+    fit_rows: int = FIT_ROWS,
 ) -> Trained:
     """Split, balance the training part, search by cross-validated AUC, refit, evaluate on the held-out part.
 
@@ -98,7 +103,9 @@ def train_forest(
     parts = materialise(
         time_split(rows, label) if split == "time" else stratified_split(rows, key, label, seed=seed), "split"
     )
-    kept = balanced(parts.where(~F.col("is_test")), features, key, balance, label)
+    training = parts.where(~F.col("is_test"))
+    draw = unit_draw(F.lit(seed), *[F.col(k).cast("string") for k in key])
+    kept = balanced(training.where(draw < fit_rows / max(1, training.count())), features, key, balance, label)
     train = materialise(stratified_folds(kept, features, label, folds), "train")
 
     weight = {"weightCol": "weight"} if balance == "weight" else {}

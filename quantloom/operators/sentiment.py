@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -66,13 +67,24 @@ def word_classifier(
 def model_classifier(
     load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
 ) -> Callable[[Column], Column]:
-    """Wrap a trained model: `load` runs once per task, the model gets whole Arrow batches of titles."""
+    """Wrap a trained model: `load` runs once per Python worker, the model gets whole Arrow batches of titles.
+
+    Missing titles never reach the model; they are neutral.
+    """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = load()
+        # Workers outlive tasks, and so does what hangs on a module that every worker has.
+        loaded = sys.__dict__.setdefault("_quantloom_models", {})
+        if name not in loaded:
+            loaded[name] = load()
         for titles in batches:
-            yield pd.DataFrame(model(titles.tolist()), columns=["label", "score"])
+            known = titles.notna()
+            out = pd.DataFrame({"label": "neutral", "score": 1.0}, index=titles.index)
+            if known.any():
+                out.loc[known, ["label", "score"]] = loaded[name](titles[known].tolist())
+            yield out
 
     return classify
 

@@ -70,6 +70,15 @@ def test_model_is_pluggable(spark):
     assert sentiment.sentiment(_listing(spark, "A"), neutral).first()["sentiment_score"] == 50.0
 
 
+def test_model_never_sees_a_missing_title(spark):
+    def load():
+        return lambda titles: [("positive", float(len(t))) for t in titles]
+
+    heads = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "seq long, title string")
+    got = {r["seq"]: (r["label"], r["score"]) for r in sentiment.classified(heads, sentiment.model_classifier(load)).collect()}
+    assert got == {1: ("positive", 2.0), 2: ("neutral", 1.0), 3: ("positive", 0.0)}
+
+
 def test_one_busy_ticker(spark):
     heads = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), F.col("id") % 500)).alias("ticker"),
