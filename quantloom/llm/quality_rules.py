@@ -26,6 +26,9 @@ from quantloom.llm.text import packed, whole, words
 BUCKETS = 65_536
 #: Mean log ratio that a document has to reach.
 THRESHOLD = -0.2
+#: Places of words that fit beside a hash.
+PLACE_BITS = 20
+PLACES = 1 << PLACE_BITS
 #: Strength of the corpus in the target's multinomial, in n-grams for each bucket.
 SMOOTHING = 1.0
 
@@ -108,33 +111,51 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     kept = ["row", "words", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    # Three word hashes of 16 bits in one number.
     windows = F.transform(
-        F.slice("hashes", 1, F.greatest(n - 2, F.lit(0))),
-        lambda h, i: (h.cast("long") * BUCKETS + F.get(F.col("hashes"), i + 1)) * BUCKETS + F.get(F.col("hashes"), i + 2),
+        F.slice("words", 1, F.greatest(n - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)),
     )
     hashed = counts.select(*kept, windows.alias("windows"))
-    # Hashes only tell texts without any repeat; the others are sorted by their words.
-    spelt = F.transform(
-        F.slice("words", 1, F.size("words") - 2),
-        lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)).alias("w"), i.alias("at")
-        ),
-    )
-    none = F.array().cast("array<struct<w:string,at:int>>")
+    # Windows with equal hashes, by hash and place: the high bits of the hash and the place in one number.
+    placed = F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(-PLACES)).bitwiseOR(i.cast("long"))))
+    none = F.array().cast("array<bigint>")
     ordered = hashed.select(
-        *kept,
-        F.when(F.size("windows") > F.size(F.array_distinct("windows")), F.sort_array(spelt)).otherwise(none).alias("ordered"),
+        *kept, F.when(F.size("windows") > F.size(F.array_distinct("windows")), placed).otherwise(none).alias("placed")
     )
-    near = lambda i: F.get(F.col("ordered"), i)["w"]
-    repeats = F.sort_array(
-        F.transform(
-            F.filter("ordered", lambda x, i: F.coalesce((x["w"] == near(i - 1)) | (x["w"] == near(i + 1)), near(i - 1) == x["w"], near(i + 1) == x["w"], F.lit(False))),
-            lambda x: x["at"],
-        )
+    run = lambda x: F.shiftright(x, PLACE_BITS)
+    beside = lambda name, i: run(F.get(F.col(name), i))
+    in_run = lambda x, i: F.coalesce(run(x) == beside("placed", i - 1), F.lit(False)) | F.coalesce(
+        run(x) == beside("placed", i + 1), F.lit(False)
+    )
+    runs = ordered.select(*kept, F.filter("placed", in_run).alias("runs"))
+    place = lambda x: x.bitwiseAND(F.lit(PLACES - 1)).cast("int")
+    word = lambda at: F.get(F.col("words"), at)
+
+    def differs(x: Column, i: Column) -> Column:
+        """The window and the one before it have the same hash but not the same words."""
+        here, there = place(x), place(F.get(F.col("runs"), i - 1))
+        same = (word(here) == word(there)) & (word(here + 1) == word(there + 1)) & (word(here + 2) == word(there + 2))
+        return F.coalesce((run(x) == beside("runs", i - 1)) & ~same, F.lit(False))
+
+    # Hashes stand for words unless two different windows share one; then (or in endless texts) the words are sorted.
+    unsure = F.exists(F.transform("runs", differs), lambda x: x) | (n >= PLACES)
+    spelt = F.transform(
+        F.slice("words", 1, F.greatest(n - 2, F.lit(0))),
+        lambda w, i: F.struct(F.concat_ws(" ", w, word(i + 1), word(i + 2)).alias("w"), i.alias("at")),
+    )
+    empty = F.array().cast("array<struct<w:string,at:int>>")
+    checked = runs.select(*kept, "runs", F.when(unsure, F.sort_array(spelt)).alias("spelt"))
+    near = lambda i: F.get(F.col("spelt"), i)["w"]
+    by_words = F.transform(
+        F.filter(
+            F.coalesce("spelt", empty),
+            lambda x, i: F.coalesce(x["w"] == near(i - 1), F.lit(False)) | F.coalesce(x["w"] == near(i + 1), F.lit(False)),
+        ),
+        lambda x: x["at"],
     )
+    repeats = F.sort_array(F.when(F.col("spelt").isNull(), F.transform("runs", place)).otherwise(by_words))
     kept.remove("words")
-    return ordered.select(*kept, repeats.alias("repeats")).select(*kept, _covered(F.col("repeats")).alias("n_repeat_words"))
+    return checked.select(*kept, repeats.alias("repeats")).select(*kept, _covered(F.col("repeats")).alias("n_repeat_words"))
 
 
 def quality_verdicts(

@@ -43,6 +43,16 @@ def test_quality_plan_never_copies_the_weights(spark, odd, odd_labels):
         assert "scalar-subquery" in plan and not re.search(r"\[\] AS weights", plan)
 
 
+def test_repeats_by_words_equal_repeats_by_hashes(spark, odd, monkeypatch):
+    texts = spark.createDataFrame([(1, "a b c x a b c"), (2, "a a a a"), (3, "a b c d e f g h a b c d")], "doc_id long, text string")
+    counts = lambda: sorted((r.row.doc_id or 0, r.n_repeat_words) for r in quality_rules.base_counts(texts.unionByName(odd.select("doc_id", "text"))).collect())
+    by_hashes = counts()
+    assert {(1, 6), (2, 4), (3, 8)} <= set(by_hashes)
+    monkeypatch.setattr(quality_rules, "PLACES", 4)
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", 2)
+    assert counts() == by_hashes
+
+
 def test_exact_groups(odd, none):
     found = _rows(exact.exact_groups(odd, salts=4))
     want = {}
