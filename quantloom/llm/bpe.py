@@ -23,14 +23,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# The helpers travel with the tasks, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Characters of text that are cut into words at once.
 BLOCK_CHARS = 2_000_000
 #: Words whose ids a worker keeps.
@@ -189,16 +194,14 @@ class WordEndTokenizer:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[int, WordEndTokenizer] = {}
-
-
 def _tokenizer(shared) -> WordEndTokenizer:
-    """One tokenizer for each Python worker."""
+    """One tokenizer for each Python worker: workers outlive tasks, and so does what hangs on a module they all have."""
+    loaded = sys.__dict__.setdefault("_quantloom_tokenizers", {})
     key = hash(shared.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordEndTokenizer(shared.value)
-    return _loaded[key]
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = WordEndTokenizer(shared.value)
+    return loaded[key]
 
 
 def _over_texts(docs: DataFrame, path: str, columns: str, rows) -> DataFrame:

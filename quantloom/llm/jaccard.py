@@ -1,15 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds the hashes (64 bits) of its distinct shingles. Documents with the same set are one class,
+A document's set holds the hashes (64 bits, of which overlaps are counted on 48) of its distinct shingles. Documents with the same set are one class,
 represented by its smallest id; the join works on classes.
 
 1. *Order.* One pass counts all tokens into a fixed number of buckets. Tokens of crowded buckets (passages that many
    documents share) come last in the order of tokens; any order gives the same links, this one keeps lists short.
 2. *Groups.* Classes with the same smallest hash, which similar sets have with the probability of their similarity,
-   form a group, cut into parts of about `GROUP` members, so that a huge family becomes many small groups.
-3. *Matrix.* (token, group) for each token of the prefixes of a group's members. Two sets above the threshold share a
-   token of their prefixes, so a pair of groups without a common entry can't hold a link. Pairs of groups are formed,
-   never pairs of documents.
+   form a group, cut into parts of about `GROUP` members or `GROUP_TOKENS` tokens, so that a huge family becomes many small groups.
+3. *Matrix.* (token, group) for each token of the prefixes of a group's members. A prefix is so long that two sets above
+   the threshold share k tokens of their prefixes, k being a share of their size (`SHARED`), so a pair of groups with fewer
+   common entries can't hold a link. Pairs of groups are formed, never pairs of documents.
 4. *Bound and open.* A task gets the members of two groups, builds the groups' token unions, bounds every member's
    overlap with the other union, and opens the pair only for members that may reach the threshold. Their overlaps are
    counted exactly, by products of 0/1 matrices over blocks of shared tokens. Out come a spanning set of links and
@@ -17,7 +17,8 @@ represented by its smallest id; the join works on classes.
 5. *Components* of the links, joined back to all documents through their class.
 
 Every pair of classes meets in exactly one pair of groups, so no link is lost or counted twice; there is no cap on
-groups, lists or candidates. The driver sees only the crowded buckets (at most `BUCKETS` numbers).
+groups, lists or candidates. The driver sees only the crowded buckets (at most `BUCKETS` numbers) and a bit map of fixed
+size (`MARKS` bits) that marks the members of open pairs, so that the last pass over the texts leaves others out early.
 
 Defined cases: NULL, empty and blank texts have no shingles, no class and no link; texts shorter than a shingle are
 one shingle; rows with a NULL id keep a NULL component and link with nothing; rows that repeat an id and text count as
@@ -26,19 +27,29 @@ one class with several rows; an empty table gives no rows; extra columns are ign
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
 from quantloom.llm.text import packed
 from quantloom.storage import discard, materialise
 
+# The helpers travel with the tasks, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BUCKETS = 1 << 18
-GROUP = 64
+#: A group has at most about so many members, or fewer that have so many tokens.
+GROUP, GROUP_TOKENS = 512, 1 << 19
+#: Part of a set that two similar sets share in their prefixes at least; the longer the prefixes, the fewer the pairs.
+SHARED = 0.03
+#: Bits that mark documents; two documents on one bit only cost work.
+MARKS = 1 << 26
 #: Bytes of text that are hashed at once; columns of the 0/1 matrices at once.
 BLOCK_BYTES, BLOCK_COLUMNS = 1 << 20, 1 << 14
 
@@ -149,22 +160,19 @@ def crowded_buckets(docs: DataFrame, width: int) -> np.ndarray:
     """For each bucket, whether its tokens come last in the order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + 1, np.int64)
-        for part, token, _ in _batches(batches, width):
-            total[:BUCKETS] += np.bincount(_bucket(token), minlength=BUCKETS)
-            total[BUCKETS] += part.num_rows
+        total = np.zeros(BUCKETS, np.int64)
+        for _, token, _ in _batches(batches, width):
+            total += np.bincount(_bucket(token), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
     counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "jaccard-buckets")
-    whole = counts.agg(
-        F.sum(F.when(F.col("bucket") < BUCKETS, F.col("n"))).alias("tokens"),
-        F.sum(F.when(F.col("bucket") == BUCKETS, F.col("n"))).alias("rows"),
-    ).first()
+    whole = counts.agg(F.sum("n").alias("tokens")).first()
     flags = np.zeros(BUCKETS, bool)
-    limit = 2 * (whole.tokens or 0) / BUCKETS + max(32, (whole.rows or 0) / 512)
-    for row in counts.where((F.col("bucket") < BUCKETS) & (F.col("n") > limit)).select("bucket").toLocalIterator():
+    mean = (whole.tokens or 0) / BUCKETS
+    limit = mean + 6 * mean**0.5 + 16  # beyond what chance puts into a bucket
+    for row in counts.where(F.col("n") > limit).select("bucket").toLocalIterator():
         flags[row.bucket] = True
     discard(counts)
     return flags
@@ -176,7 +184,10 @@ def _least_overlap(n: np.ndarray | int, percent: int):
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame:
-    """doc_id, n, two sums that name the set, its smallest hash, its prefix."""
+    """doc_id, n, two sums that name the set, its smallest hash, k, its prefix (of which similar sets share k).
+
+    Of a token in a prefix 48 bits are enough: prefixes only find pairs of groups.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = crowded.value
@@ -191,29 +202,66 @@ def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame
                 sums[1, some] = np.add.reduceat(_mix(token ^ _STEP), first)
                 sums[2, some] = token[first]
             order = np.argsort((2 * doc + late[_bucket(token)]).astype(np.uint16), kind="stable")
-            length = np.where(n > 0, n - _least_overlap(n, percent) + 1, 0)
+            overlap = _least_overlap(n, percent)
+            k = np.minimum(1 + (SHARED * n).astype(np.int64), overlap)
+            length = np.where(n > 0, n - overlap + k, 0)
             place = np.arange(len(token)) - np.repeat(ends - n, n)
             prefix = token[order][place < np.repeat(length, n)]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), _signed(prefix))
-            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "least", "prefix"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), _signed(prefix >> _U(16)))
+            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), pa.array(k), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "least", "k", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, sum1 long, sum2 long, least long, prefix array<long>"
+        sign, "doc_id long, n long, sum1 long, sum2 long, least long, k long, prefix array<long>"
     )
 
 
-def _token_rows(docs: DataFrame, width: int) -> DataFrame:
-    """g, doc_id, weight and the whole set as bytes."""
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A map of `MARKS` bits with the bits of these ids set; `bit` is computed by `_bit`."""
+    maps = ids.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for row in maps.toLocalIterator():  # at most MARKS / 32768 rows of 4 KB
+        start = (row["at"] - 1) * 4096
+        marks[start : start + 4096] = np.frombuffer(row["map"], np.uint8)
+    return marks
+
+
+def _bit(doc_id: str) -> Column:
+    return (F.pmod(F.xxhash64(doc_id), F.lit(MARKS)) + 1).cast("long")
+
+
+def _token_rows(docs: DataFrame, width: int, marked) -> DataFrame:
+    """doc_id, n, sum1, sum2 and the whole set as bytes, of the marked documents (doc_id, text, bit)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, token, doc in _batches(batches, width):
-            ends = np.cumsum(np.bincount(doc, minlength=part.num_rows))
-            data = [t.tobytes() for t in np.split(token, ends[:-1])]
-            columns = [part.column(c) for c in ("g", "doc_id", "weight")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], ["g", "doc_id", "weight", "tokens"])
+        marks = marked.value
+        for batch in batches:
+            place = batch.column("bit").to_numpy() - 1
+            chosen = batch.filter(pa.array((marks[place // 8] >> (place % 8).astype(np.uint8)) & 1 == 1))
+            for part, token, doc in _batches([chosen], width):
+                n = np.bincount(doc, minlength=part.num_rows)
+                ends = np.cumsum(n)
+                some = np.flatnonzero(n)
+                sums = np.zeros((2, part.num_rows), _U)
+                if len(some):
+                    sums[0, some] = np.add.reduceat(_mix(token), (ends - n)[some])
+                    sums[1, some] = np.add.reduceat(_mix(token ^ _STEP), (ends - n)[some])
+                data = [_packed(t) for t in np.split(token, ends[:-1])]
+                columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "tokens"])
+
+    return docs.mapInArrow(rows, "doc_id long, n long, sum1 long, sum2 long, tokens binary")
 
-    return docs.mapInArrow(rows, "g long, doc_id long, weight long, tokens binary")
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each token, little-endian."""
+    return (tokens >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(_U)
 
 
 def _incidence(tokens: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -229,15 +277,18 @@ def _incidence(tokens: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
 def open_groups(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links between the sets of two groups, or inside one group (right is None), as pairs of places."""
     others = left if right is None else right
-    unions = [np.unique(np.concatenate(side)) for side in (left, others)]
-    shared = np.intersect1d(*unions, assume_unique=True) if right is not None else unions[0]
+    if right is None:
+        union, times = np.unique(np.concatenate(left), return_counts=True)
+        shared = union[times > 1]
+    else:
+        shared = np.intersect1d(*[np.unique(np.concatenate(side)) for side in (left, others)], assume_unique=True)
     if not len(shared):
         return []
     sizes = [np.array([len(t) for t in side]) for side in (left, others)]
     # Bound: what a member shares with the other group's union.
     keep = []
     for side, n in ((left, sizes[0]), (others, sizes[1])):
-        bound = np.array([int(np.isin(t, shared, assume_unique=True).sum()) for t in side]) if right is not None else n
+        bound = np.array([int(np.isin(t, shared, assume_unique=True).sum()) for t in side])
         keep.append(np.flatnonzero(bound >= _least_overlap(n, percent)))
     if not len(keep[0]) or not len(keep[1]):
         return []
@@ -259,7 +310,7 @@ def _opened(pairs: DataFrame, percent: int) -> DataFrame:
 
     def results(a: int, b: int, rows: list[tuple]) -> tuple[list, list, list]:
         sides = [[r for r in rows if r[0] == side] for side in (a, b)]
-        sets = [[np.frombuffer(r[3], _U) for r in side] for side in sides]
+        sets = [[_unpacked(r[3]) for r in side] for side in sides]
         found = open_groups(sets[0], None if a == b else sets[1], percent)
         count: dict[int, int] = {}
         parent: dict[int, int] = {}
@@ -321,36 +372,46 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     classes = materialise(classes, "jaccard-classes")
     # Groups: the parts of a crowded smallest hash are dealt by id.
-    many = classes.groupBy("least").agg(F.ceil(F.count("*") / GROUP).alias("parts")).where("parts > 1")
+    parts = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS))
+    many = classes.groupBy("least").agg(parts.alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
     members = materialise(
-        classes.join(many, "least", "left").select(*name, "rep", "weight", F.xxhash64("least", part).alias("g")), "jaccard-members"
+        classes.join(many, "least", "left").select(*name, "rep", "weight", F.shiftrightunsigned(F.xxhash64("least", part), 24).alias("g")), "jaccard-members"
     )
-    matrix = (
+    entries = (
         signed.where("n > 0")
-        .select(F.col("doc_id").alias("rep"), *name, "prefix")
+        .select(F.col("doc_id").alias("rep"), *name, "k", "prefix")
         .join(members.select("rep", *name, "g"), ["rep", *name])
         .dropDuplicates(["rep", *name])
-        .select("g", F.explode("prefix").alias("token"))
-        .groupBy("token", "g")
-        .agg(F.count("*").alias("docs"))
+        .select("rep", "g", "k", F.explode("prefix").alias("token"))
+    )
+    matrix = (
+        entries.groupBy("token", "g")
+        .agg(F.count("*").alias("docs"), F.min("k").alias("k"))
     )
-    # Rows of the matrix with one document link nothing: they go before the join.
+    # A token of one document links nothing: nine in ten rows of the matrix go here. What is left of a token has one
+    # row for each group, not for each document.
+    matrix = matrix.withColumn("all", F.sum("docs").over(Window.partitionBy("token"))).where("all > 1").drop("all")
     matrix = materialise(matrix, "jaccard-matrix")
-    shared = matrix.groupBy("token").agg(F.sum("docs").alias("all")).where("all > 1").select("token")
-    matrix_shared = matrix.join(shared, "token")
     pairs = (
-        matrix_shared.alias("x")
-        .join(matrix_shared.alias("y"), F.expr("x.token = y.token AND (x.g < y.g OR (x.g = y.g AND x.docs > 1))"))
-        .select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
-        .distinct()
+        matrix.alias("x")
+        .join(matrix.alias("y"), F.expr("x.token = y.token AND (x.g < y.g OR (x.g = y.g AND x.docs > 1))"))
+        .groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
+        .agg(F.count("*").alias("common"), F.min(F.least("x.k", "y.k")).alias("k"))
+        .where("common >= k")
+        .select("a", "b")
     )
     pairs = materialise(pairs, "jaccard-pairs")
     discard(matrix)
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("g"))
-    wanted = members.join(sides.select("g").distinct(), "g").select(F.col("rep").alias("doc_id"), "g", "weight")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id", "g"])
-    opened = _opened(_token_rows(texts.select("g", "doc_id", "weight", "text"), width).join(sides, "g"), percent)
+    wanted = materialise(
+        members.join(sides, "g").select(F.col("rep").alias("doc_id"), *name, "a", "b", "g", "weight"), "jaccard-wanted"
+    )
+    marked = spark.sparkContext.broadcast(_marks(wanted.select(_bit("doc_id").alias("bit"))))
+    tokens = _token_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text", _bit("doc_id").alias("bit")), width, marked)
+    # Rows that repeat an id and a set are one member.
+    tokens = tokens.dropDuplicates(["doc_id", *name])
+    opened = _opened(tokens.join(wanted, ["doc_id", *name]).drop(*name), percent)
     opened = materialise(opened, "jaccard-links")
     found = components(opened.where("v IS NOT NULL").select("u", "v"))
     counts = opened.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
