@@ -10,11 +10,13 @@ represented by its smallest id; the join works on classes.
 3. *Matrix.* (token, group) for each token of the prefixes of a group's members. A prefix is so long that two sets above
    the threshold share k tokens of their prefixes, k being a share of their size (`SHARED`), so a pair of groups with fewer
    common entries can't hold a link. Pairs of groups are formed, never pairs of documents.
-4. *Bound and open.* A task gets the members of two groups, builds the groups' token unions, bounds every member's
+4. *Bound.* A task gets maps of the sets (`SKETCH_BITS` bits each) of two groups and keeps the members that may have a
+   partner in the other group.
+5. *Open.* A task gets the sets of the members kept, builds the groups' token unions, bounds every member's
    overlap with the other union, and opens the pair only for members that may reach the threshold. Their overlaps are
    counted exactly, by products of 0/1 matrices over blocks of shared tokens. Out come a spanning set of links and
    each member's number of links, at most one row for each member, never all pairs.
-5. *Components* of the links, joined back to all documents through their class.
+6. *Components* of the links, joined back to all documents through their class.
 
 Every pair of classes meets in exactly one pair of groups, so no link is lost or counted twice; there is no cap on
 groups, lists or candidates. The driver sees only the crowded buckets (at most `BUCKETS` numbers) and a bit map of fixed
@@ -48,6 +50,8 @@ BUCKETS = 1 << 18
 GROUP, GROUP_TOKENS = 512, 1 << 19
 #: Part of a set that two similar sets share in their prefixes at least; the longer the prefixes, the fewer the pairs.
 SHARED = 0.03
+#: Bits of the map of a set by which overlaps are bounded before sets are sent.
+SKETCH_BITS = 2048
 #: Bits that mark documents; two documents on one bit only cost work.
 MARKS = 1 << 26
 #: Bytes of text that are hashed at once; columns of the 0/1 matrices at once.
@@ -208,11 +212,14 @@ def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame
             place = np.arange(len(token)) - np.repeat(ends - n, n)
             prefix = token[order][place < np.repeat(length, n)]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), _signed(prefix >> _U(16)))
-            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), pa.array(k), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "least", "k", "prefix"])
+            bits = np.zeros((part.num_rows, SKETCH_BITS), bool)
+            bits[doc, (token & _U(SKETCH_BITS - 1)).astype(np.int64)] = True
+            sketches = [row.tobytes() for row in np.packbits(bits, axis=1)]
+            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), pa.array(k), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "least", "k", "prefix", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, sum1 long, sum2 long, least long, k long, prefix array<long>"
+        sign, "doc_id long, n long, sum1 long, sum2 long, least long, k long, prefix array<long>, sketch binary"
     )
 
 
@@ -332,7 +339,6 @@ def _opened(pairs: DataFrame, percent: int) -> DataFrame:
         return [*u, *count], [*v, *[None] * len(count)], [*n, *count.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
         out: list[list] = [[], [], []]
 
         def batch() -> pa.RecordBatch:
@@ -341,26 +347,70 @@ def _opened(pairs: DataFrame, percent: int) -> DataFrame:
                 c.clear()
             return made
 
-        for part in batches:
-            columns = [part.column(c).to_pylist() for c in ("a", "b", "g", "doc_id", "weight", "tokens")]
-            for a, b, *row in zip(*columns, strict=True):
-                if (a, b) != now:
-                    if rows:
-                        for c, more in zip(out, results(*now, rows), strict=True):
-                            c.extend(more)
-                    now, rows = (a, b), []
-                rows.append(row)
+        for (a, b), rows in _runs(batches, ("g", "doc_id", "weight", "tokens")):
+            for c, more in zip(out, results(a, b, rows), strict=True):
+                c.extend(more)
             if len(out[0]) > 10_000:
                 yield batch()
-        if rows:
-            for c, more in zip(out, results(*now, rows), strict=True):
-                c.extend(more)
         yield batch()
 
     dealt = pairs.repartition("a", "b").sortWithinPartitions("a", "b")
     return dealt.mapInArrow(run, "u long, v long, n long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+    """The rows of each pair (a, b) in turn; rows come sorted by pair."""
+    now, rows = None, []
+    for part in batches:
+        columns = [part.column(c).to_pylist() for c in ("a", "b", *names)]
+        for a, b, *row in zip(*columns, strict=True):
+            if (a, b) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (a, b), []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+_MEMBER = ("g", "doc_id", "n", "sum1", "sum2", "weight")
+
+
+def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """The members of pairs of groups that the maps of their sets leave a possible partner in the other group.
+
+    A bit that is set in one map only stands for at least one token of that set only, and of those a pair above the
+    threshold has few: so no link is lost.
+    """
+
+    def possible(left: list[list], right: list[list], inside: bool) -> np.ndarray:
+        maps = [np.unpackbits(np.frombuffer(b"".join(r[-1] for r in side), np.uint8)).reshape(len(side), -1).astype(np.float32) for side in (left, right)]
+        n = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
+        common = (maps[0] @ maps[1].T).astype(np.int64)
+        least = (percent * (n[0][:, None] + n[1][None, :]) + 99 + percent) // (100 + percent)
+        only = [m.sum(axis=1).astype(np.int64) for m in maps]
+        found = (only[0][:, None] - common <= n[0][:, None] - least) & (only[1][None, :] - common <= n[1][None, :] - least)
+        if inside:
+            np.fill_diagonal(found, False)
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (a, b), rows in _runs(batches, (*_MEMBER, "sketch")):
+            left, right = ([r for r in rows if r[0] == side] for side in (a, b))
+            if not left or not right:
+                continue
+            found = possible(left, right, a == b)
+            kept = [r for r, hit in zip(left, found.any(axis=1), strict=True) if hit]
+            if a != b:
+                kept += [r for r, hit in zip(right, found.any(axis=0), strict=True) if hit]
+            columns = [pa.array([x] * len(kept), pa.int64()) for x in (a, b)]
+            columns += [pa.array([r[i] for r in kept], pa.int64()) for i in range(len(_MEMBER))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", *_MEMBER])
+
+    dealt = pairs.repartition("a", "b").sortWithinPartitions("a", "b")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in ("a", "b", *_MEMBER)))
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, n_links."""
     spark = docs.sparkSession
@@ -404,9 +454,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs = materialise(pairs, "jaccard-pairs")
     discard(matrix)
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("g"))
-    wanted = materialise(
-        members.join(sides, "g").select(F.col("rep").alias("doc_id"), *name, "a", "b", "g", "weight"), "jaccard-wanted"
-    )
+    met = members.join(sides, "g").select(F.col("rep").alias("doc_id"), *name, "a", "b", "g", "weight")
+    met = met.join(signed.select("doc_id", *name, "sketch").dropDuplicates(["doc_id", *name]), ["doc_id", *name])
+    wanted = materialise(_bounded(met.select("a", "b", *_MEMBER, "sketch"), percent), "jaccard-wanted")
     marked = spark.sparkContext.broadcast(_marks(wanted.select(_bit("doc_id").alias("bit"))))
     tokens = _token_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text", _bit("doc_id").alias("bit")), width, marked)
     # Rows that repeat an id and a set are one member.
