@@ -1,7 +1,9 @@
 """License scans by sentence-rule recognition, on built-in functions only.
 
-A text is cut into sentences at line ends and behind closing punctuation. Sentences that may speak of a license are
-normalised and mapped to known identifiers. The identifiers of a document, in order, are matched against ordered
+A text is cut into pieces at line ends and behind closing punctuation. Pieces that one sentence was wrapped into are
+joined: a sentence ends with closing punctuation, at a line without ASCII letters and digits, and before a line that opens
+a known sentence. What may speak of a license is normalised and mapped to known identifiers. A joined sentence that is
+known counts as one, unless a piece of it is known as something else; else its pieces count each. The identifiers of a document, in order, are matched against ordered
 rules: a rule that finds its sequence takes those identifiers out and adds its license, so that longer rules win
 over the shorter ones behind them. All of it happens inside the row: no shuffle, no join.
 
@@ -87,7 +89,69 @@ RULES = [
     ("MPL-2.0", ["mpl-2"]),
 ]
 
+#: More fixed values, tried after those above: what stands around the sentences above in the usual license texts.
+MORE_SENTENCES = [
+    ("mit-name", r"(?:the )?mit license(?: mit)?"),
+    ("isc-name", r"(?:the )?isc license(?: isc)?"),
+    ("bsd-3-name", r"(?:the )?(?:bsd 3 clause|new bsd|modified bsd|3 clause bsd)(?: new or revised)? license"),
+    ("bsd-2-name", r"(?:the )?(?:bsd 2 clause|simplified bsd|2 clause bsd)(?: simplified)? license"),
+    ("isc-grant", r"permission to use copy modify and distribute this software for any purpose with or without fee .*"),
+    ("apache-2-name", r"apache license version 2 0 january 2004(?: https? www apache org licenses)?"),
+    ("apache-2-copy", r"you may obtain a copy of the license at(?: https? www apache org licenses license 2 0)?"),
+    ("apache-2-address", r"https? www apache org licenses license 2 0"),
+    ("apache-2-basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*"),
+    ("apache-2-limits", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("lgpl-2.1-later", r".*gnu lesser general public license.* version 2 1.* any later version"),
+    ("lgpl-3-later", r".*gnu lesser general public license.* version 3.* any later version"),
+    ("agpl-3-later", r".*gnu affero general public license.* version 3.* any later version"),
+    ("gpl-2", r"gnu general public license version 2 june 1991"),
+    ("gpl-3", r"gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3", r"gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3", r"gnu affero general public license version 3 19 november 2007"),
+    ("gpl-terms", r".*under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl-terms", r".*under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("2-later", r"either version 2 of the license or at your option any later version"),
+    ("2.1-later", r"either version 2 1 of the license or at your option any later version"),
+    ("3-later", r"either version 3 of the license or at your option any later version"),
+    ("2-only", r"version 2(?: of the license)?"),
+    ("3-only", r"version 3(?: of the license)?"),
+    ("gpl-hope", r"this (?:program|library|software) is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-details", r"see the gnu (?:lesser |affero )?general public license for more details"),
+    ("gpl-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this (?:program|library|software).*"),
+    ("gpl-address", r"if not (?:see|write to) .*"),
+    ("bsd-endorse", r"nor the names? of .* may be used to endorse .*"),  # behind "Neither the name of X Inc."
+    ("liability-theory", r"or business interruption however caused and on any theory of liability .*"),
+]
+
+#: More fixed values: rules behind those above.
+MORE_RULES = [
+    ("GPL-2.0-or-later", ["gpl-terms", "2-later"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "2.1-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "3-later"]),
+    ("GPL-2.0", ["gpl-terms", "2-only"]),
+    ("GPL-3.0", ["gpl-terms", "3-only"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-later"]),
+    ("AGPL-3.0-or-later", ["agpl-3-later"]),
+    ("BSD-3-Clause", ["bsd-3-name"]),
+    ("BSD-2-Clause", ["bsd-2-name"]),
+    ("ISC", ["isc-name"]),
+]
+
+#: What a normalised line begins with if a sentence of its own begins there.
+OPENINGS = (
+    r"(?:c )?copyright (?!notice|holder|owner|law|licen|and |or |statement)|permission (?:is hereby granted|to use copy)|"
+    r"(?:[0-9] )?redistributions? (?:and use in source|of source code|in binary form)|(?:[0-9] )?neither the name of|"
+    r"the above copyright notice and this permission notice|(?:this|the) software is provided|in no event shall|spdx license|"
+    r"all rights reserved|unless required by applicable law|(?:this .* is )?(?:released|licensed|distributed|available) under (?:the (?:mit|apache|gnu|mozilla)|a |cc )"
+)
+
 UNKNOWN = "unknown"
+#: Before a piece that begins a sentence, and before one that goes on with it.
+BEGINS, GOES_ON = "\x01", "\x02"
 
 
 def sentences(text: Column) -> Column:
@@ -101,19 +165,54 @@ def normalised(sentence: Column) -> Column:
 
 def _identifier(sentence: Column) -> Column:
     known = F.lit(UNKNOWN)
-    for name, pattern in reversed(SENTENCES):
+    for name, pattern in reversed(SENTENCES + MORE_SENTENCES):
         known = F.when(sentence.rlike(f"^(?:{pattern})$"), name).otherwise(known)
     return known
 
 
+def _marked(pieces: str) -> Column:
+    """The pieces in one text, each behind a mark that tells whether it begins a sentence."""
+
+    def mark(piece: Column, i: Column) -> Column:
+        before = F.get(F.col(pieces), i - 1)
+        begins = (
+            (i == 0)
+            | before.rlike(r"""[.!?;:]["')\]]*[ \t\r]*$""")
+            | ~before.rlike("[a-zA-Z0-9]")
+            | ~piece.rlike("[a-zA-Z0-9]")
+            | normalised(piece).rlike(f"^(?:{OPENINGS})")
+        )
+        return F.concat(F.when(begins, BEGINS).otherwise(GOES_ON), F.translate(piece, BEGINS + GOES_ON, "  "))
+
+    return F.array_join(F.transform(F.col(pieces), mark), "")
+
+
+def _identifiers(sentence: Column) -> Column:
+    """Identifiers of a sentence: one if it is known as a whole, else those of its pieces."""
+    speaks = lambda s: s.rlike(f"(?i){KEYWORDS}")
+    pieces = F.filter(F.split(sentence, GOES_ON), speaks)
+    each = F.transform(F.transform(pieces, normalised), _identifier)
+    joined = F.translate(sentence, GOES_ON, " ")
+    known = F.when(F.contains(sentence, F.lit(GOES_ON)) & speaks(joined), _identifier(normalised(joined)))
+    # Computed once: the fields of a one-element array.
+    both = F.array(F.struct(each.alias("each"), F.coalesce(known, F.lit(UNKNOWN)).alias("known")))
+
+    def chosen(b: Column) -> Column:
+        fits = F.forall(b["each"], lambda i: i.isin(UNKNOWN, "copyright") | (i == b["known"]) | (F.concat(i, F.lit("-later")) == b["known"]))
+        return F.when(~b["known"].isin(UNKNOWN, "copyright") & fits, F.array(b["known"])).otherwise(b["each"])
+
+    return F.flatten(F.transform(both, chosen))
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, sentence_ids, licenses (arrays), n_unknown."""
     # A text without any keyword has no sentence to cut.
     cut = F.when(whole(F.col("text")).rlike(f"(?i){KEYWORDS}"), sentences(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    spoken = F.filter(cut, lambda s: s.rlike(f"(?i){KEYWORDS}"))
-    found = docs.select("doc_id", F.transform(F.transform(spoken, normalised), _identifier).alias("sentence_ids"))
+    marked = docs.select("doc_id", cut.alias("pieces")).select("doc_id", _marked("pieces").alias("marked"))
+    spoken = F.filter(F.split("marked", BEGINS), lambda s: F.translate(s, GOES_ON, " ").rlike(f"(?i){KEYWORDS}"))
+    found = marked.select("doc_id", F.flatten(F.transform(spoken, _identifiers)).alias("sentence_ids"))
     rules = F.array(
-        *[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES]
+        *[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES + MORE_RULES]
     )
     start = F.struct(
         F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("left"),
