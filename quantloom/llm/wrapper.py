@@ -198,7 +198,7 @@ def leaves(node: Node) -> Iterator[Node]:
 
 def align(page: Node, reference: Node) -> list[tuple[Node, Node]]:
     """Leaves of the page with the leaves of the reference that simple tree matching gives them."""
-    known: dict[tuple[int, int], tuple[float, list | None]] = {}
+    known: dict[tuple[int, int], tuple[float, list]] = {}
 
     def score(a: Node, b: Node) -> float:
         """Matched nodes; the same text counts a half more, so that equal texts are preferred."""
@@ -206,25 +206,33 @@ def align(page: Node, reference: Node) -> list[tuple[Node, Node]]:
             return 0.0
         if not a.children and not b.children:
             return 1.5 if a.text == b.text else 1.0
-        key = (id(a), id(b))
-        if key not in known:
-            rows = [[0.0] * (len(b.children) + 1)]
-            each = []
-            for x in a.children:
-                above, row, scores = rows[-1], [0.0], []
-                for j, y in enumerate(b.children):
-                    s = score(x, y)
-                    scores.append(s)
-                    best = above[j] + s
-                    if above[j + 1] > best:
-                        best = above[j + 1]
-                    if row[j] > best:
-                        best = row[j]
-                    row.append(best)
-                rows.append(row)
-                each.append(scores)
-            known[key] = (1 + rows[-1][-1], [rows, each])
-        return known[key][0]
+        return known[(id(a), id(b))][0]
+
+    # Pairs below a pair are scored before it, on a stack of its own: pages may be nested deeper than Python can call.
+    stack = [(page, reference, False)] if page.tag == reference.tag and page.chrome == reference.chrome else []
+    while stack:
+        a, b, ready = stack.pop()
+        if not ready:
+            if a.children or b.children:
+                stack.append((a, b, True))
+                stack.extend((x, y, False) for x in a.children for y in b.children if x.tag == y.tag and x.chrome == y.chrome and (x.children or y.children))
+            continue
+        rows = [[0.0] * (len(b.children) + 1)]
+        each = []
+        for x in a.children:
+            above, row, scores = rows[-1], [0.0], []
+            for j, y in enumerate(b.children):
+                s = score(x, y)
+                scores.append(s)
+                best = above[j] + s
+                if above[j + 1] > best:
+                    best = above[j + 1]
+                if row[j] > best:
+                    best = row[j]
+                row.append(best)
+            rows.append(row)
+            each.append(scores)
+        known[(id(a), id(b))] = (1 + rows[-1][-1], [rows, each])
 
     pairs: list[tuple[Node, Node]] = []
     todo = [(page, reference)] if score(page, reference) else []

@@ -94,3 +94,9 @@ def test_shuffled_references_give_the_same_texts(spark, monkeypatch):
     broadcast = sorted(map(tuple, wrapper.main_texts(pages).collect()))
     monkeypatch.setattr(wrapper, "SMALL_BYTES", 0)
     assert sorted(map(tuple, wrapper.main_texts(pages).collect())) == broadcast
+
+
+def test_deeply_nested_references(spark):
+    rows = [(i, "http://deep.org/", "<div>" * 3000 + f"<p>same</p><p>own {i}</p>") for i in range(6)]
+    texts = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts == {i: f"own {i}" for i in range(6)}
