@@ -1,26 +1,32 @@
 """Main text of HTML pages by wrapper induction.
 
-The pages of a host are aligned with one of them (its smallest page_id) by simple tree matching: two nodes of the same
+Pages of a host whose leaves have the same tag paths, outside of articles, share a layout. The pages of a layout are
+aligned with one of them (its smallest page_id) by simple tree matching: two nodes of the same
 tag match, and among their children the best order-preserving matching is found by dynamic programming. A leaf of the
-reference whose text recurs in its matches in most different pages of the host is constant: template. The other
+reference whose text recurs in its matches in most different pages of the layout is constant: template. The other
 slots vary: content, unless they stand in a part of the page that is no article by its markup (menus, forms, adverts,
-notices, comments and so on).
+notices, comments and so on). Pages of layouts that have too few pages of their own are aligned with one reference for
+the whole host, and for these a leaf must recur in most pages of the host.
 
-First pass: each page is aligned and says which leaves of the reference it repeats; copies of a page count once, so
-a group of equal pages can't turn its article into template. Second pass: pages are aligned again and lose
-template. Pages stay where they are: the join with the references is a broadcast while all references together
-are proven to be small, else a shuffle that adaptive execution may split for a large host.
+First pass: each page gets its layout and is stored with it. Second pass: each page is aligned and says which leaves
+of the reference it repeats; copies of a page count once, so a group of equal pages can't turn its article into
+template. Third pass: pages that have a template are aligned again and lose it. The join with the references is a
+broadcast while all references together are proven to be small, else a shuffle that adaptive execution may split for a
+large host.
 
-Defined cases: NULL or empty html gives an empty text; a NULL or unreadable url puts the page with the other pages
+Defined cases: NULL or empty html, and pages without any text, give an empty text, are no reference and don't count as
+pages of their host; a NULL or unreadable url puts the page with the other pages
 without a host; a NULL page_id is an ordinary row and is taken as reference last; hosts with fewer than `LEAST_PAGES`
 different pages have no template; repeated rows get the same text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import sys
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +41,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: References up to this size in all are broadcast.
 SMALL_BYTES = 64 << 20
-#: Different pages of a host from which a template is induced, and the share of them that must repeat a leaf.
+#: Different pages of a layout or host from which a template is induced, and the share of them that must repeat a leaf.
 LEAST_PAGES, SHARE = 5, 0.8
+#: Stands for the whole host in the place of a layout.
+ANY_LAYOUT = 0
 
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -275,72 +283,104 @@ def _host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _references(pages: DataFrame) -> DataFrame:
-    """host and html of the page that the host's others are aligned with."""
+def layout_of(page: Node) -> int | None:
+    """A number for the set of tag paths of the page's leaves; articles are not looked into. None without leaves."""
+    paths, stack = set(), [(page, 0)]
+    while stack:
+        now, above = stack.pop()
+        path = (above * 1_000_003 + zlib.crc32(f"{now.tag} {now.chrome}".encode())) % (2**61 - 1)
+        if now.children and now.tag not in ("article", "main"):
+            stack.extend((c, path) for c in now.children)
+        elif now.children or now.text:
+            paths.add(path)
+    if not paths:
+        return None
+    named = hashlib.blake2b(",".join(map(str, sorted(paths))).encode(), digest_size=8).digest()
+    return int.from_bytes(named, "big", signed=True) or 1
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        layouts = [layout_of(parse(page.as_py() or "")) for page in batch.column("html")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(layouts, pa.int64())], [*batch.schema.names, "layout"])
+
+
+def _references(pages: DataFrame, least_pages: int) -> DataFrame:
+    """host, layout and html of the page that others are aligned with, for layouts of enough different pages.
+
+    The layout is `ANY_LAYOUT` for hosts of enough pages that have other layouts too.
+    """
+    some = pages.where("layout IS NOT NULL")
+    sizes = some.select("host", "layout", F.xxhash64("html").alias("copy")).distinct().groupBy("host", "layout").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes, "wrapper-layouts")
+    hosts = sizes.groupBy("host").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    hosts = hosts.where((F.col("n") >= least_pages) & (F.col("least") < least_pages))
     first = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.xxhash64("html").alias("h"))
-    return pages.groupBy("host").agg(F.min_by("html", first).alias("reference"))
+    of_layout = some.join(sizes.where(F.col("n") >= least_pages), ["host", "layout"], "left_semi")
+    of_host = some.join(hosts, "host", "left_semi").withColumn("layout", F.lit(ANY_LAYOUT).cast("long"))
+    return of_layout.unionByName(of_host).groupBy("host", "layout").agg(F.min_by("html", first).alias("reference"))
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[Node, list]]]]:
-    """Batches with the tree of each page and its matches."""
-    trees: dict[str, tuple[str, Node]] = {}
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            out = []
-            for host, page, reference in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
-                if host not in trees or trees[host][0] != (reference or ""):
-                    if len(trees) > 2000:
-                        trees.clear()
-                    trees[host] = (reference or "", parse(reference or ""))
-                tree = parse(page or "")
-                out.append((tree, align(tree, trees[host][1])))
-            yield part, out
+def _tree(reference: str, trees: dict[str, Node]) -> Node:
+    if reference not in trees:
+        if len(trees) > 2000:
+            trees.clear()
+        trees[reference] = parse(reference)
+    return trees[reference]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, found in _aligned(batches):
-        same = [[b.place for a, b in pairs if a.text == b.text] for _, pairs in found]
-        yield pa.RecordBatch.from_arrays(
-            [part.column("host"), part.column("copy"), pa.array(same, pa.list_(pa.int32()))], ["host", "copy", "same"]
-        )
+    trees: dict[str, Node] = {}
+    for batch in batches:
+        same = []
+        for page, reference in zip(batch.column("html"), batch.column("reference"), strict=True):
+            pairs = align(parse(page.as_py() or ""), _tree(reference.as_py(), trees))
+            same.append([b.place for a, b in pairs if a.text == b.text])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("host", "layout", "copy")], pa.array(same, pa.list_(pa.int32()))], ["host", "layout", "copy", "same"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, found in _aligned(batches):
+    trees: dict[str, Node] = {}
+    for batch in batches:
         texts = []
-        for (tree, pairs), template in zip(found, part.column("template").to_pylist(), strict=True):
-            constant = set(template or ())
-            for a, b in pairs:
-                a.template = b.place in constant and a.text == b.text
+        for page, reference, template in zip(*(batch.column(c) for c in ("html", "reference", "template")), strict=True):
+            tree, constant = parse(page.as_py() or ""), set(template.as_py() or ())
+            if constant:
+                for a, b in align(tree, _tree(reference.as_py(), trees)):
+                    a.template = b.place in constant and a.text == b.text
             texts.append(content(tree))
-        columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())]
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """One row per row of `pages` (page_id, url, html): page_id, url, text."""
-    pages = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    stored = references = materialise(_references(pages), "wrapper-references")
-    size = references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
-    if size <= SMALL_BYTES:
-        references = F.broadcast(references)
-    joined = pages.join(references, "host")
-    repeated = joined.select("host", F.xxhash64("html").alias("copy"), "html", "reference").mapInArrow(
-        _repeated, "host string, copy long, same array<int>"
-    )
-    different = repeated.groupBy("host", "copy").agg(F.first("same").alias("same"))
-    counted = different.select("host", F.explode(F.array_append("same", -1)).alias("place")).groupBy("host", "place").agg(F.count("*").alias("n"))
-    of_host = Window.partitionBy("host")
-    constant = counted.withColumn("pages", F.max(F.when(F.col("place") == -1, F.col("n"))).over(of_host)).where(
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
+    pages = pages.mapInArrow(_laid_out, "page_id long, url string, html string, host string, layout long")
+    pages = materialise(pages, "wrapper-pages")
+    references = materialise(_references(pages, least_pages), "wrapper-references")
+    small = (references.agg(F.sum(F.octet_length("reference"))).first()[0] or 0) <= SMALL_BYTES
+    near = F.broadcast if small else lambda x: x
+
+    some = pages.where("layout IS NOT NULL").select("host", "layout", F.xxhash64("html").alias("copy"), "html")
+    whole = references.where(F.col("layout") == ANY_LAYOUT)
+    joined = some.join(near(references), ["host", "layout"]).unionByName(some.drop("layout").join(near(whole), "host"))
+    repeated = joined.mapInArrow(_repeated, "host string, layout long, copy long, same array<int>")
+    different = repeated.groupBy("host", "layout", "copy").agg(F.first("same").alias("same"))
+    counted = different.select("host", "layout", F.explode(F.array_append("same", -1)).alias("place"))
+    counted = counted.groupBy("host", "layout", "place").agg(F.count("*").alias("n"))
+    of_layout = Window.partitionBy("host", "layout")
+    constant = counted.withColumn("pages", F.max(F.when(F.col("place") == -1, F.col("n"))).over(of_layout)).where(
         (F.col("place") >= 0) & (F.col("pages") >= least_pages) & (F.col("n") >= share * F.col("pages"))
     )
-    templates = constant.groupBy("host").agg(F.collect_list("place").alias("template"))
-    wrappers = stored.join(templates, "host", "left")
-    if size <= SMALL_BYTES:
-        wrappers = F.broadcast(wrappers)
+    templates = constant.groupBy("host", "layout").agg(F.collect_list("place").alias("template"))
+    wrappers = references.join(templates, ["host", "layout"], "left").withColumn("wrapper", F.struct("reference", "template")).drop("reference", "template")
+    wrappers = materialise(wrappers, "wrappers")
+    of_host = wrappers.where(F.col("layout") == ANY_LAYOUT).select("host", F.col("wrapper").alias("of_host"))
     return (
-        pages.join(wrappers, "host")
-        .select("page_id", "url", "host", "html", "reference", "template")
+        pages.join(near(wrappers), ["host", "layout"], "left")
+        .join(near(of_host), "host", "left")
+        .select("page_id", "url", "html", F.coalesce("wrapper", "of_host").alias("wrapper"))
+        .select("page_id", "url", "html", "wrapper.reference", "wrapper.template")
         .mapInArrow(_extracted, "page_id long, url string, text string")
     )

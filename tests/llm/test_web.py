@@ -100,3 +100,31 @@ def test_deeply_nested_references(spark):
     rows = [(i, "http://deep.org/", "<div>" * 3000 + f"<p>same</p><p>own {i}</p>") for i in range(6)]
     texts = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     assert texts == {i: f"own {i}" for i in range(6)}
+
+
+LAYOUTS = {
+    "one": "<html><body><div><p>Read more here</p><p>own one {i}</p><p>All rights reserved</p></div></body></html>",
+    "two": "<html><body><section><ul><li>Old menu</li><li>own two {i}</li></ul><table><tr><td>Foot</td></tr></table></section></body></html>",
+}
+
+
+def test_two_layouts_of_a_host(spark):
+    rows = [(i, "http://a.org/x", LAYOUTS["one" if i % 5 < 3 else "two"].format(i=i)) for i in range(50)]
+    texts = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts == {i: f"own {'one' if i % 5 < 3 else 'two'} {i}" for i in range(50)}
+
+
+@pytest.mark.parametrize("broken", [None, "", "<script>x</script>", "<h1>Not found</h1>"])
+def test_first_page_without_the_layout(spark, broken):
+    rows = [(i, "http://a.org/x", LAYOUTS["one"].format(i=i)) for i in range(1, 13)] + [(0, "http://a.org/y", broken)]
+    texts = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert texts == {i: f"own one {i}" for i in range(1, 13)} | {0: "Not found" if broken and "h1" in broken else ""}
+
+
+def test_pages_of_rare_layouts_use_the_host(spark, monkeypatch):
+    rows = [(i, "http://a.org/x", LAYOUTS["one"].format(i=i).replace("</div>", f"<h{1 + i % 4}>Extra {i}</h{1 + i % 4}></div>")) for i in range(12)]
+    pages = spark.createDataFrame(rows, PAGES)
+    texts = {r.page_id: r.text for r in wrapper.main_texts(pages).collect()}
+    assert texts == {i: f"own one {i}\nExtra {i}" for i in range(12)}
+    monkeypatch.setattr(wrapper, "SMALL_BYTES", 0)
+    assert {r.page_id: r.text for r in wrapper.main_texts(pages).collect()} == texts
