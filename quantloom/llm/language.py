@@ -10,7 +10,8 @@
 The three tables are grouped aggregates. A row is joined with one row of each by declaration, suffix and host;
 partial aggregation keeps a host with very many pages from meeting in one task, and adaptive execution may
 split its rows in the join, whose other side has one row for each host. Only the text model reaches the driver:
-at most 1,000 languages (those of at least a thousandth of the documents) times `BUCKETS`.
+every declared language times `BUCKETS`. A declaration is reduced to its primary subtag (`en-US` and `en_GB` are `en`)
+of two or three letters, so there are at most 18,252 of them; `und`, `zxx`, `mul` and `mis` name no language.
 
 Defined cases: NULL and empty texts have no text evidence, the prior decides; a NULL or unreadable url has an empty host
 and suffix; a missing declaration is a value of its own; without any declared language the result is NULL with
@@ -39,6 +40,11 @@ BUCKETS = 1 << 14
 #: Weight of the smoothing level above, in rows; features that a text counts for at most.
 KAPPA, TEXT_WEIGHT = 5.0, 40.0
 
+#: A declaration's primary subtag: it ends with the declaration or before what isn't a letter or digit.
+_PRIMARY = r"(?i)^[ \t\r\n]*([a-z]{2,3})(?:[^a-z0-9].*)?$"
+#: Codes that say that a language is unknown, absent, mixed or without a code.
+NO_LANGUAGE = ("und", "zxx", "mul", "mis")
+
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -68,9 +74,14 @@ def _text_of(value: str | None, markup: bool) -> bytes:
     return (_MARKUP.sub(" ", value) if markup and value else value or "").encode()
 
 
+def primary(lang: Column) -> Column:
+    """The primary subtag of a declaration in small letters, empty if it names no language."""
+    return F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), f"(?s){_PRIMARY}", 1))
+
+
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each bucket in each, from all documents (text, lang)."""
-    named = docs.select("text", F.lower("lang").alias("lang")).where(F.col("lang").rlike("^[a-z]{2,3}$"))
+    named = docs.select("text", primary(F.col("lang")).alias("lang")).where((F.col("lang") != "") & ~F.col("lang").isin(*NO_LANGUAGE))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -86,14 +97,17 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counts = named.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "language-counts")
-    rows = counts.where(F.col("bucket") == BUCKETS)
-    floor = (rows.agg(F.sum("n")).first()[0] or 0) / 1000
-    languages = sorted(r.lang for r in rows.where(F.col("n") >= floor).select("lang").collect())
-    table = np.zeros((len(languages), BUCKETS))
+    languages = sorted(r.lang for r in counts.where(F.col("bucket") == BUCKETS).select("lang").collect())
+    table = np.zeros((len(languages), BUCKETS), np.float32)
     place = {lang: i for i, lang in enumerate(languages)}
-    for r in counts.where((F.col("bucket") < BUCKETS) & F.col("lang").isin(languages)).toLocalIterator() if languages else ():
+    for r in counts.where(F.col("bucket") < BUCKETS).toLocalIterator() if languages else ():
         table[place[r.lang], r.bucket] = r.n
-    return languages, np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) if languages else table
+    # What a language lacks is as likely in each, so that unknown words don't speak for the language with the fewest texts.
+    totals = table.sum(axis=1, dtype=np.float64)
+    lacking = 0.5 / (totals.max(initial=0.0) + 0.5 * BUCKETS)
+    for row, total in zip(table, totals, strict=True):
+        row[:] = np.log(lacking + row * ((1 - BUCKETS * lacking) / max(total, 1.0)))
+    return languages, table
 
 
 def _with_text_evidence(rows: DataFrame, languages: list[str], model: np.ndarray, markup: bool) -> DataFrame:
@@ -204,7 +218,7 @@ def languages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
     from_docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.lit(None).cast("long").alias("page_id"),
-        F.concat(F.lit("table:"), F.lower(F.coalesce("lang", missing))).alias("declared"),
+        F.concat(F.lit("table:"), F.coalesce(F.nullif(primary(F.col("lang")), F.lit("")), F.lower(F.coalesce("lang", missing)))).alias("declared"),
         F.lit("").alias("suffix"),
         F.lit("documents").alias("domain"),
         source.alias("host"),
