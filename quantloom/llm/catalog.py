@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import bpe, classifier, exact, jaccard, language, licenses, mixing, quality_rules, warc, wrapper
+from quantloom.llm import (
+    bpe,
+    classifier,
+    decontamination,
+    exact,
+    jaccard,
+    language,
+    licenses,
+    merkle,
+    mixing,
+    quality_rules,
+    resampling,
+    warc,
+    wrapper,
+)
 from quantloom.llm.oracles import ORACLES
 from quantloom.storage import new_path
 
@@ -79,6 +93,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document is tampered with: its text goes to lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), tampered, merkle.lower_ascii(F.col("text")))
+    return found.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,6 +129,9 @@ CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_quality_classifier,
         op10_exact_dedup,
+        op11_importance_resampling,
+        op12_merkle_manifest,
+        op13_decontamination,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -144,6 +144,111 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM body JOIN same USING (b)
 """
 
+#: CRC-32 by its table: of `w`, whose bytes are read from the hexadecimal digits of its UTF-8 form.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT i FROM range(256) AS r(i)))"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+_PLAIN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS words FROM documents),
+word AS (SELECT r, unnest(words) AS w FROM doc),
+goal AS (SELECT unnest({_PLAIN_WORDS}) AS w FROM benchmark),
+spelt AS (SELECT w, {_CRC} % 10000 AS b FROM (SELECT w FROM word UNION SELECT w FROM goal), crc_table),
+s AS (SELECT b, count(*) AS s FROM word JOIN spelt USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM goal JOIN spelt USING (w) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM word)::DOUBLE AS s, (SELECT count(*) FROM goal)::DOUBLE AS t),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t.t, 0) + 1) * (total.s + 10000) / ((s.s + 1) * (total.t + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (b), total),
+weighed AS (SELECT r, sum(gain)::BIGINT AS weight FROM word JOIN spelt USING (w) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN weighed USING (r)),
+placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+    10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM placed
+"""
+
+_FIELD = "coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(v=v) for v in ("doc_id", "source", "lang", "n_chars"))
+#: Levels of the trees that the SQL writes out: 8 ** 9 leaves.
+_LEVELS = 9
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs <name>0.. of (tree, i, n, h, path): nodes of each level; of (tree, i, run): the hashes of each run."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(_LEVELS):
+        out.append(
+            f"{name}_run{k} AS (SELECT tree, i // 8 AS i, any_value(n) AS n, list(h ORDER BY i) AS run FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 8)"
+        )
+        out.append(f"{name}{k + 1} AS (SELECT tree, i, (n + 7) // 8 AS n, sha256(array_to_string(run, '')) AS h FROM {name}_run{k})")
+    tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(_LEVELS + 1))
+    return ",\n".join([*out, f"{name}_top AS ({tops})"])
+
+
+def _ascent(name: str, start: str, keep: str) -> str:
+    """CTEs that carry each row of `start` (keep.., tree, i, folded, proof) up to its tree's top."""
+    out, before = [], start
+    for k in range(_LEVELS):
+        left, right = "array_to_string(run[1:(c.i % 8)], '')", "array_to_string(run[(c.i % 8) + 2:], '')"
+        out.append(
+            f"{start}_{k} AS (SELECT {keep}, c.tree, c.i // 8 AS i, CASE WHEN run IS NULL THEN folded ELSE sha256({left} || folded || {right}) END AS folded, "
+            f"CASE WHEN run IS NULL THEN proof ELSE proof || {left} || {right} END AS proof "
+            f"FROM {before} c LEFT JOIN {name}_run{k} r ON r.tree = c.tree AND r.i = c.i // 8)"
+        )
+        before = f"{start}_{k}"
+    return ",\n".join(out)
+
+
+_KEEP = "c.doc_id, c.leaf"
+OP12 = rf"""
+WITH {_CRC_TABLE},
+hashed AS (
+  SELECT doc_id, lang, sha256({_LEAF} || {_FIELD.format(v="text")}) AS leaf,
+    sha256({_LEAF} || {_FIELD.format(v="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS other,
+    doc_id::VARCHAR AS w
+  FROM documents),
+langs AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM hashed)),
+leaves AS (
+  SELECT doc_id, leaf, CASE WHEN {_CRC} % 3 = 0 THEN other ELSE leaf END AS folded, '' AS proof, tree,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed JOIN langs ON hashed.lang IS NOT DISTINCT FROM langs.lang, crc_table),
+{_tree("node", "SELECT tree, i, n, leaf AS h FROM leaves")},
+{_tree("over", "SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, h FROM node_top")},
+{_ascent("node", "leaves", _KEEP)},
+roots AS (SELECT {_KEEP}, c.tree AS own, 0 AS tree, c.tree AS i, folded, proof FROM leaves_{_LEVELS - 1} c),
+{_ascent("over", "roots", _KEEP + ", c.own")}
+SELECT doc_id, leaf, node_top.h AS subroot, over_top.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = over_top.h AS verified
+FROM roots_{_LEVELS - 1} c JOIN node_top ON node_top.tree = c.own, over_top
+"""
+
+OP13 = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS words FROM documents),
+item AS (SELECT item_id, {_PLAIN_WORDS} AS words FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[pos:pos + least(len(words), 10) - 1], ' ') AS p
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 8, 2))) AS pos FROM item WHERE len(words) > 0)),
+size AS (SELECT DISTINCT n FROM phrase),
+place AS (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM doc, size WHERE len(words) >= n),
+hit AS (SELECT r, pos, place.n, item_id FROM place JOIN phrase ON phrase.n = place.n AND p = array_to_string(words[pos:pos + place.n - 1], ' ')),
+covered AS (SELECT r, count(DISTINCT pos + k) AS n_hit FROM hit, range(10) AS step(k) WHERE k < n GROUP BY r),
+owned AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN owned USING (r)
+"""
+
 ORACLES = {
     "op2_quality_rules": OP2,
     "op3_warc": OP3,
@@ -151,4 +256,7 @@ ORACLES = {
     "op6_license_scan": OP6,
     "op8_mixing": OP8,
     "op10_exact_dedup": OP10,
+    "op11_importance_resampling": OP11,
+    "op12_merkle_manifest": OP12,
+    "op13_decontamination": OP13,
 }
