@@ -80,4 +80,4 @@ def test_pipeline_equals_brute_force(spark):
 
 
 def test_catalogue_is_whole():
-    assert [n for n in CORPUS_QUERIES if n.startswith("op")] and len({n.split("_")[0] for n in CORPUS_QUERIES}) == 11
+    assert [n for n in CORPUS_QUERIES if n.startswith("op")] and len({n.split("_")[0] for n in CORPUS_QUERIES}) == 14
