@@ -1,17 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds the hashes (64 bits, of which overlaps are counted on 48) of its distinct shingles. Documents with the same set are one class,
-represented by its smallest id; the join works on classes.
+A document's set holds the 64-bit hashes of its distinct shingles. Documents with the same set are one class, represented
+by its smallest id; the join works on classes.
 
 1. *Order.* One pass counts all tokens into a fixed number of buckets. Tokens of crowded buckets (passages that many
    documents share) come last in the order of tokens; any order gives the same links, this one keeps lists short.
-2. *Groups.* Classes with the same smallest hash, which similar sets have with the probability of their similarity,
-   form a group, cut into parts of about `GROUP` members or `GROUP_TOKENS` tokens, so that a huge family becomes many small groups.
-3. *Matrix.* (token, group) for each token of the prefixes of a group's members. A prefix is so long that two sets above
-   the threshold share k tokens of their prefixes, k being a share of their size (`SHARED`), so a pair of groups with fewer
-   common entries can't hold a link. Pairs of groups are formed, never pairs of documents.
-4. *Bound.* A task gets maps of the sets (`SKETCH_BITS` bits each) of two groups and keeps the members that may have a
-   partner in the other group.
+2. *Groups of similar documents.* A class has `MINS` minimum hashes, each shared by two similar sets with the probability
+   of their similarity, and goes with the one that most classes have. So nearly all of a family of N resembling documents
+   meet in a few groups, which are cut into parts of about `GROUP` members (or `GROUP_TOKENS` tokens): N / `GROUP` groups,
+   not N. A group holds one band of set sizes.
+3. *Matrix.* (token, group) for each token of the prefixes of a group's members, with the sizes of the sets that have it.
+   A prefix is so long that two sets above the threshold share k tokens of their prefixes, k being a share of their size
+   (`SHARED`), so a pair of groups with fewer common entries, of sizes that can link, can't hold a link. Pairs of groups
+   are formed, never pairs of documents.
+4. *Bound.* A pair of groups is one row with the packed maps of the sets (`SKETCH_BITS` bits each) of both groups; the
+   members that may have a partner in the other group are kept.
 5. *Open.* A task gets the sets of the members kept, builds the groups' token unions, bounds every member's
    overlap with the other union, and opens the pair only for members that may reach the threshold. Their overlaps are
    counted exactly, by products of 0/1 matrices over blocks of shared tokens. Out come a spanning set of links and
@@ -24,7 +27,8 @@ size (`MARKS` bits) that marks the members of open pairs, so that the last pass
 
 Defined cases: NULL, empty and blank texts have no shingles, no class and no link; texts shorter than a shingle are
 one shingle; rows with a NULL id keep a NULL component and link with nothing; rows that repeat an id and text count as
-one class with several rows; an empty table gives no rows; extra columns are ignored here, `one_of_each_group` keeps them.
+one class with several rows, rows that repeat an id with another text are judged each by its own set; an empty table
+gives no rows; extra columns are ignored here, `one_of_each_group` keeps them.
 """
 
 from __future__ import annotations
@@ -58,8 +62,9 @@ MARKS = 1 << 26
 BLOCK_BYTES, BLOCK_COLUMNS = 1 << 20, 1 << 14
 
 _U = np.uint64
-_STEP, _BASE = _U(0x9E3779B97F4A7C15), 0x100000001B3
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = _U(0x9E3779B97F4A7C15)
+#: Odd factors: the smallest product of each names a set's minimum hashes.
+MINS = (_STEP, _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93))
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,23 +78,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word in these bytes."""
+    """Hash and start of each word in these bytes: the sum of one pseudo-random number for each byte and its place."""
     gap = _GAP[data]
     edges = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, _U), starts
-    summed = np.zeros(len(data) + 1, _U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * _powers(_BASE, len(data)), out=summed[1:])
-    hashes = (summed[ends] - summed[starts]) * _powers(_INVERSE, len(data))[starts]
-    return _mix(hashes + (ends - starts).astype(_U) * _STEP), starts
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(firsts, sizes)
+    drawn = _mix((place.astype(_U) << _U(8)) + _LOWER[data[~gap]].astype(_U) + _STEP)
+    return _mix(np.add.reduceat(drawn, firsts) + sizes.astype(_U) * _STEP), starts
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def _least_overlap(n: np.ndarray | int, percent: int):
 
 
 def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame:
-    """doc_id, n, two sums that name the set, its smallest hash, k, its prefix (of which similar sets share k).
+    """doc_id, n, two sums that name the set, its minimum hashes, k, its prefix (of which similar sets share k), its map.
 
     Of a token in a prefix 48 bits are enough: prefixes only find pairs of groups.
     """
@@ -200,11 +200,13 @@ def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame
             ends = np.cumsum(n)
             some = np.flatnonzero(n)
             first = (ends - n)[some]
-            sums = np.zeros((3, part.num_rows), _U)
+            sums = np.zeros((2, part.num_rows), _U)
+            mins = np.zeros((part.num_rows, len(MINS)), _U)
             if len(some):
                 sums[0, some] = np.add.reduceat(_mix(token), first)
                 sums[1, some] = np.add.reduceat(_mix(token ^ _STEP), first)
-                sums[2, some] = token[first]
+                for i, factor in enumerate(MINS):
+                    mins[some, i] = np.minimum.reduceat(token * factor, first)
             order = np.argsort((2 * doc + late[_bucket(token)]).astype(np.uint16), kind="stable")
             overlap = _least_overlap(n, percent)
             k = np.minimum(1 + (SHARED * n).astype(np.int64), overlap)
@@ -215,11 +217,12 @@ def _signatures(docs: DataFrame, width: int, percent: int, crowded) -> DataFrame
             bits = np.zeros((part.num_rows, SKETCH_BITS), bool)
             bits[doc, (token & _U(SKETCH_BITS - 1)).astype(np.int64)] = True
             sketches = [row.tobytes() for row in np.packbits(bits, axis=1)]
-            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), pa.array(k), lists, pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "least", "k", "prefix", "sketch"])
+            least = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(MINS)), _signed(mins.ravel()))
+            columns = [part.column("doc_id"), pa.array(n), *map(_signed, sums), least, pa.array(k), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sum1", "sum2", "mins", "k", "prefix", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n long, sum1 long, sum2 long, least long, k long, prefix array<long>, sketch binary"
+        sign, "doc_id long, n long, sum1 long, sum2 long, mins array<long>, k long, prefix array<long>, sketch binary"
     )
 
 
@@ -261,14 +264,11 @@ def _token_rows(docs: DataFrame, width: int, marked) -> DataFrame:
 
 
 def _packed(tokens: np.ndarray) -> bytes:
-    """The upper 48 bits of each token, little-endian."""
-    return (tokens >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return tokens.astype("<u8").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel().astype(_U)
+    return np.frombuffer(data, "<u8").astype(_U)
 
 
 def _incidence(tokens: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -373,19 +373,19 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield now, rows
 
 
-_MEMBER = ("g", "doc_id", "n", "sum1", "sum2", "weight")
+_MEMBER = ("doc_id", "n", "sum1", "sum2", "weight")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """The members of pairs of groups that the maps of their sets leave a possible partner in the other group.
 
-    A bit that is set in one map only stands for at least one token of that set only, and of those a pair above the
-    threshold has few: so no link is lost.
+    `pairs` has a, b and both groups' members as arrays (`others` is NULL inside a group). A bit that is set in one map only
+    stands for at least one token of that set only, and of those a pair above the threshold has few: so no link is lost.
     """
 
-    def possible(left: list[list], right: list[list], inside: bool) -> np.ndarray:
-        maps = [np.unpackbits(np.frombuffer(b"".join(r[-1] for r in side), np.uint8)).reshape(len(side), -1).astype(np.float32) for side in (left, right)]
-        n = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
+    def possible(left: list[dict], right: list[dict], inside: bool) -> np.ndarray:
+        maps = [np.unpackbits(np.frombuffer(b"".join(m["sketch"] for m in side), np.uint8)).reshape(len(side), -1).astype(np.float32) for side in (left, right)]
+        n = [np.array([m["n"] for m in side], np.int64) for side in (left, right)]
         common = (maps[0] @ maps[1].T).astype(np.int64)
         least = (percent * (n[0][:, None] + n[1][None, :]) + 99 + percent) // (100 + percent)
         only = [m.sum(axis=1).astype(np.int64) for m in maps]
@@ -395,20 +395,41 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (a, b), rows in _runs(batches, (*_MEMBER, "sketch")):
-            left, right = ([r for r in rows if r[0] == side] for side in (a, b))
-            if not left or not right:
-                continue
-            found = possible(left, right, a == b)
-            kept = [r for r, hit in zip(left, found.any(axis=1), strict=True) if hit]
-            if a != b:
-                kept += [r for r, hit in zip(right, found.any(axis=0), strict=True) if hit]
-            columns = [pa.array([x] * len(kept), pa.int64()) for x in (a, b)]
-            columns += [pa.array([r[i] for r in kept], pa.int64()) for i in range(len(_MEMBER))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", *_MEMBER])
-
-    dealt = pairs.repartition("a", "b").sortWithinPartitions("a", "b")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in ("a", "b", *_MEMBER)))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
+                left = batch.column("members")[i].as_py()
+                right = left if a == b else batch.column("others")[i].as_py()
+                found = possible(left, right, a == b)
+                kept = [(a, m) for m, hit in zip(left, found.any(axis=1), strict=True) if hit]
+                if a != b:
+                    kept += [(b, m) for m, hit in zip(right, found.any(axis=0), strict=True) if hit]
+                columns = [pa.array([x] * len(kept), pa.int64()) for x in (a, b)]
+                columns += [pa.array([g for g, _ in kept], pa.int64())]
+                columns += [pa.array([m[c] for _, m in kept], pa.int64()) for c in _MEMBER]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "g", *_MEMBER])
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ("a", "b", "g", *_MEMBER)))
+
+
+def grouped(classes: DataFrame, percent: int) -> DataFrame:
+    """(n, sum1, sum2, rep, weight, g): the group of each class (n, sum1, sum2, rep, weight, mins)."""
+    name = ["n", "sum1", "sum2"]
+    hashes = classes.select(*name, "rep", "weight", F.posexplode("mins").alias("which", "least"))
+    popular = hashes.groupBy("which", "least").agg(F.count("*").alias("held")).where("held > 1")
+    # Of several equally popular hashes the first; a class that shares none is a group of its own.
+    best = F.max_by(F.struct("which", "least"), F.struct("held", (-F.col("which")).alias("first"))).alias("best")
+    chosen = hashes.join(popular, ["which", "least"]).groupBy(*name).agg(best)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
+    keyed = classes.join(chosen, name, "left").select(
+        *name, "rep", "weight", F.when(F.col("best").isNull(), F.xxhash64(*name)).otherwise(F.xxhash64("best.which", "best.least")).alias("family"), band
+    )
+    parts = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS))
+    many = keyed.groupBy("family", "band").agg(parts.alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
+    return keyed.join(many, ["family", "band"], "left").select(
+        *name, "rep", "weight", F.shiftrightunsigned(F.xxhash64("family", "band", part), 24).alias("g")
+    )
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -418,34 +439,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     signed = materialise(_signatures(docs, width, percent, crowded), "jaccard-sets")
     name = ["n", "sum1", "sum2"]
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(*name).agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("least").alias("least")
+        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("mins").alias("mins")
     )
     classes = materialise(classes, "jaccard-classes")
-    # Groups: the parts of a crowded smallest hash are dealt by id.
-    parts = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS))
-    many = classes.groupBy("least").agg(parts.alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
-    members = materialise(
-        classes.join(many, "least", "left").select(*name, "rep", "weight", F.shiftrightunsigned(F.xxhash64("least", part), 24).alias("g")), "jaccard-members"
-    )
+    members = materialise(grouped(classes, percent), "jaccard-members")
+    discard(classes)
     entries = (
         signed.where("n > 0")
         .select(F.col("doc_id").alias("rep"), *name, "k", "prefix")
         .join(members.select("rep", *name, "g"), ["rep", *name])
         .dropDuplicates(["rep", *name])
-        .select("rep", "g", "k", F.explode("prefix").alias("token"))
+        .select("rep", "g", "n", "k", F.explode("prefix").alias("token"))
     )
     matrix = (
         entries.groupBy("token", "g")
-        .agg(F.count("*").alias("docs"), F.min("k").alias("k"))
+        .agg(F.count("*").alias("docs"), F.min("k").alias("k"), F.min("n").alias("low"), F.max("n").alias("high"))
     )
     # A token of one document links nothing: nine in ten rows of the matrix go here. What is left of a token has one
     # row for each group, not for each document.
     matrix = matrix.withColumn("all", F.sum("docs").over(Window.partitionBy("token"))).where("all > 1").drop("all")
     matrix = materialise(matrix, "jaccard-matrix")
+    sizes = f"{percent} * x.low <= 100 * y.high AND {percent} * y.low <= 100 * x.high"
     pairs = (
         matrix.alias("x")
-        .join(matrix.alias("y"), F.expr("x.token = y.token AND (x.g < y.g OR (x.g = y.g AND x.docs > 1))"))
+        .join(matrix.alias("y"), F.expr(f"x.token = y.token AND (x.g < y.g OR (x.g = y.g AND x.docs > 1)) AND {sizes}"))
         .groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
         .agg(F.count("*").alias("common"), F.min(F.least("x.k", "y.k")).alias("k"))
         .where("common >= k")
@@ -453,16 +470,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     )
     pairs = materialise(pairs, "jaccard-pairs")
     discard(matrix)
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("g"))
-    met = members.join(sides, "g").select(F.col("rep").alias("doc_id"), *name, "a", "b", "g", "weight")
-    met = met.join(signed.select("doc_id", *name, "sketch").dropDuplicates(["doc_id", *name]), ["doc_id", *name])
-    wanted = materialise(_bounded(met.select("a", "b", *_MEMBER, "sketch"), percent), "jaccard-wanted")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    sketches = signed.where("n > 0").select(F.col("doc_id").alias("rep"), *name, "sketch")
+    packed_groups = (
+        members.join(met, "g")
+        .join(sketches, ["rep", *name])
+        .dropDuplicates(["rep", *name])
+        .groupBy("g")
+        .agg(F.collect_list(F.struct(F.col("rep").alias("doc_id"), *name, "weight", "sketch")).alias("members"))  # about `GROUP`
+    )
+    packed_groups = materialise(packed_groups, "jaccard-groups")
+    others = packed_groups.select(F.col("g").alias("b"), F.col("members").alias("others"))
+    inside = pairs.where("a = b").withColumn("others", F.lit(None).cast(others.schema["others"].dataType))
+    across = pairs.where("a < b").join(others, "b").select("a", "b", "others")
+    rows = inside.unionByName(across).join(packed_groups.withColumnRenamed("g", "a"), "a")
+    wanted = materialise(_bounded(rows.select("a", "b", "members", "others"), percent), "jaccard-wanted")
+    discard(packed_groups)
+    discard(pairs)
     marked = spark.sparkContext.broadcast(_marks(wanted.select(_bit("doc_id").alias("bit"))))
     tokens = _token_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text", _bit("doc_id").alias("bit")), width, marked)
     # Rows that repeat an id and a set are one member.
     tokens = tokens.dropDuplicates(["doc_id", *name])
     opened = _opened(tokens.join(wanted, ["doc_id", *name]).drop(*name), percent)
     opened = materialise(opened, "jaccard-links")
+    discard(wanted)
     found = components(opened.where("v IS NOT NULL").select("u", "v"))
     counts = opened.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     labelled = (
@@ -494,4 +525,6 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.select(packed(docs.columns, "row"), F.col("doc_id").alias("row_id"))
     stay = rows.where("row_id IS NOT NULL").join(kept, F.col("row_id") == F.col("kept_id"), "left_semi")
-    return stay.dropDuplicates(["row_id"]).select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    # Rows that repeat an id and its text are one; another text under the same id stays beside it.
+    one = stay.withColumn("digest", F.sha2("row.text", 256)).dropDuplicates(["row_id", "digest"])
+    return one.select("row.*").unionByName(docs.where("doc_id IS NULL"))

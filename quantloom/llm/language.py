@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.jaccard import _mix, _powers
+from quantloom.llm.jaccard import _mix
 from quantloom.storage import materialise
 
 # The helpers travel with the tasks, so that workers need no copy of this package.
@@ -55,6 +55,12 @@ _LOWER[65:91] += 32
 _MARKUP = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def features(text: bytes) -> np.ndarray:
     """Bucket of each feature of a text."""
     data = _LOWER[np.frombuffer(text, np.uint8)]
