@@ -96,7 +96,7 @@ def train_sequences(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         closes = series.latest(bars, ["close"]).withColumnRenamed("close", "last_close")
         chosen = seq.top_by_market_cap(listing, closes)
-    samples = training.sequence_samples(bars, chosen, as_of, args.one_bar_a_day)
+    samples = training.sequence_samples(bars, chosen, as_of)
     placed = materialise(seq.tail_split(samples), "samples")
     model = seq.train_sequence_model(placed.where(~F.col("is_tail")), epochs=args.epochs)
     seq.save_sequence_model(model, args.model)

@@ -1,25 +1,28 @@
-"""Random-forest classifier: search, training, storage and scoring."""
+"""Random-forest classifier: search, training, storage and scoring.
+
+A fitted forest is a table of nodes (tree, node, feature, bound, left, right, share). It is stored, loaded and walked
+with built-in functions; the learning library is needed for fitting only.
+"""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import unit_draw
-from quantloom.operators.metrics import classification_report, roc_auc
+from quantloom.operators import model_store
+from quantloom.operators.metrics import classification_report, roc_areas, roc_auc
 from quantloom.operators.order import row_positions
 from quantloom.operators.sampling import SEED, class_weights, smote, stratified_split, time_split
-from quantloom.storage import materialise
+from quantloom.storage import materialise, new_path
 
 # Search space and folds.
 TREES = (100, 499)
@@ -32,13 +35,41 @@ FOLDS = 3
 FIT_ROWS = 16_000_000
 
 
+_NODES = "tree int, node int, feature int, bound double, left int, right int, share double"
+_ABOUT = "features array<string>, depth int"
+
+
+@dataclass
+class Forest:
+    """Nodes of all trees, the features by number, and the deepest level."""
+
+    nodes: DataFrame
+    features: list[str]
+    depth: int
+    _row: DataFrame | None = field(default=None, repr=False)
+
+    def row(self) -> DataFrame:
+        """The forest as one row: for each tree its nodes as arrays, a node's number being its place.
+
+        Its size is bounded by the trees and the rows that they were fitted on.
+        """
+        if self._row is None:
+            columns = ["feature", "bound", "left", "right", "share"]
+            tree = F.sort_array(F.collect_list(F.struct("node", *columns)))
+            trees = self.nodes.groupBy("tree").agg(tree.alias("t")).select("tree", F.struct(*[F.col(f"t.{c}").alias(c) for c in columns]).alias("t"))
+            whole = F.transform(F.sort_array(F.collect_list(F.struct("tree", "t"))), lambda x: x["t"])
+            self._row = materialise(trees.agg(whole.alias("_forest")), "forest")
+        return self._row
+
+
 @dataclass
 class Trained:
-    """The refitted best model, its cross-validated AUC, and the hold-out results."""
+    """The refitted best model, the areas of the search, and the hold-out results."""
 
-    model: PipelineModel
+    model: Forest
     cv_auc: float
     params: dict[str, int]
+    areas: DataFrame
     holdout: DataFrame
     auc: DataFrame
     report: DataFrame
@@ -79,6 +110,45 @@ def stratified_folds(rows: DataFrame, features: Sequence[str], label: str = "tar
     return placed.withColumn("_fold", (F.col("_place") % folds).cast("int")).drop("_draw", "_place")
 
 
+def _assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+
+
+def _classifier(label: str, seed: int, params: dict) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="sqrt", seed=seed, **params)
+
+
+def search_areas(
+    train: DataFrame,
+    features: Sequence[str],
+    draws: Sequence[dict[str, int]],
+    label: str = "target",
+    folds: int = FOLDS,
+    parallelism: int = 4,
+    seed: int = SEED,
+    **fixed: str,
+) -> DataFrame:
+    """(draw, fold, positives, negatives, auc): each draw fitted without one fold and judged on it.
+
+    The out-of-fold predictions of all draws go into one long table; all areas come from one grouped pass over it.
+    """
+    columns = [label, "_fold", *fixed.values()]
+    rows = _assembled(train, features).select("features", *columns)
+    path = new_path(train.sparkSession, "out-of-fold")
+
+    def judge(draw: int, fold: int) -> None:
+        model = _classifier(label, seed, draws[draw] | fixed).fit(rows.where(F.col("_fold") != fold))
+        scored = model.transform(rows.where(F.col("_fold") == fold))
+        scored.select(label, vector_to_array("probability")[1].alias("score")).write.parquet(f"{path}/draw={draw}/fold={fold}")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        for done in [pool.submit(judge, d, f) for d in range(len(draws)) for f in range(folds)]:
+            done.result()
+    kind = train.schema[label].dataType.simpleString()
+    long = train.sparkSession.read.schema(f"`{label}` {kind}, score double, draw int, fold int").parquet(path)
+    return roc_areas(long, ["draw", "fold"], label)
+
+
 def train_forest(
     rows: DataFrame,
     features: Sequence[str],
@@ -108,74 +178,86 @@ def train_forest(
     kept = balanced(training.where(draw < fit_rows / max(1, training.count())), features, key, balance, label)
     train = materialise(stratified_folds(kept, features, label, folds), "train")
 
-    weight = {"weightCol": "weight"} if balance == "weight" else {}
-    forest = RandomForestClassifier(
-        labelCol=label, featuresCol="features", featureSubsetStrategy="sqrt", seed=seed, **weight
-    )
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest])
+    fixed = {"weightCol": "weight"} if balance == "weight" else {}
     draws = draw_params(n_iter, depths, trees, seed)
-    maps = [{forest.getParam(name): value for name, value in draw.items()} for draw in draws]
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=maps,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="_fold",
-        parallelism=parallelism,
-    ).fit(train)
-    best = max(range(len(maps)), key=lambda i: search.avgMetrics[i])
-    model = search.bestModel
-
-    holdout = predict(model, parts.where(F.col("is_test")), [*key, label])
+    areas = materialise(search_areas(train, features, draws, label, folds, parallelism, seed, **fixed), "areas")
+    means = {r["draw"]: r["auc"] for r in areas.groupBy("draw").agg(F.avg("auc").alias("auc")).collect()}  # one row for each draw
+    best = max(range(n_iter), key=lambda d: means.get(d) or 0.0)
+    model = fit_forest(train, features, label, seed, **draws[best], **fixed)
+
+    holdout = materialise(predict(model, parts.where(F.col("is_test")), [*key, label]), "holdout")
     return Trained(
         model=model,
-        cv_auc=search.avgMetrics[best],
+        cv_auc=means.get(best) or 0.0,
         params=draws[best],
+        areas=areas,
         holdout=holdout,
         auc=roc_auc(holdout, label, "ml_pred_proba"),
         report=classification_report(holdout, label, "prediction"),
     )
 
 
-def fit_forest(
-    train: DataFrame, features: Sequence[str], label: str = "target", seed: int = SEED, **params: int
-) -> PipelineModel:
-    """One forest with the given parameters."""
-    forest = RandomForestClassifier(
-        labelCol=label, featuresCol="features", featureSubsetStrategy="sqrt", seed=seed, **params
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(train)
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "target", seed: int = SEED, **params) -> Forest:
+    """One forest with the given parameters, as a table."""
+    fitted = _classifier(label, seed, params).fit(_assembled(train, features))
+    return forest_of(fitted, features)
 
 
-def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep.., ml_pred_proba, prediction): probability of class 1 and the class."""
-    return model.transform(rows).select(
-        *keep,
-        vector_to_array("probability")[1].alias("ml_pred_proba"),
-        F.col("prediction").cast("int").alias("prediction"),
+def forest_of(fitted: RandomForestClassificationModel, features: Sequence[str]) -> Forest:
+    """The nodes of a fitted model, read from the table that it is written to."""
+    spark = SparkSession.getActiveSession()
+    path = new_path(spark, "fitted")
+    fitted.write().save(path)
+    counts = F.col("nodeData.impurityStats")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        F.col("nodeData.id").alias("node"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("bound"),
+        F.col("nodeData.leftChild").alias("left"),
+        F.col("nodeData.rightChild").alias("right"),
+        F.coalesce(F.try_divide(F.get(counts, F.lit(1)), F.get(counts, F.lit(0)) + F.coalesce(F.get(counts, F.lit(1)), F.lit(0.0))), F.lit(0.0)).alias("share"),
     )
+    return Forest(materialise(nodes, "nodes"), list(features), max([0, *(t.depth for t in fitted.trees)]))
+
 
+def walked(forest: Forest, values: str, trees: str = "_forest") -> Column:
+    """Probability of class 1: the mean share over the leaves that the feature array `values` reaches."""
+    x = F.col(values)
 
-def model_features(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+    def step(t: Column, at: Column) -> Column:
+        goes_left = F.get(x, F.get(t["feature"], at)) <= F.get(t["bound"], at)
+        return F.when(F.get(t["left"], at) < 0, at).when(goes_left, F.get(t["left"], at)).otherwise(F.get(t["right"], at))
+
+    levels = F.sequence(F.lit(1), F.lit(max(1, forest.depth)))
+    leaf = lambda t: F.aggregate(levels, F.lit(0), lambda at, _: step(t, at))
+    total = F.aggregate(F.col(trees), F.lit(0.0), lambda acc, t: acc + F.get(t["share"], leaf(t)))
+    return total / F.size(trees)
+
+
+def predict(forest: Forest, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep.., ml_pred_proba, prediction): probability of class 1 and the class."""
+    values = F.array(*[F.col(f).cast("double") for f in forest.features]).alias("_x")
+    met = rows.select(*keep, values).crossJoin(F.broadcast(forest.row()))
+    scored = met.select(*keep, walked(forest, "_x").alias("ml_pred_proba"))
+    return scored.withColumn("prediction", (F.col("ml_pred_proba") > 0.5).cast("int"))
 
 
-def score_instruments(model: PipelineModel, universe: DataFrame) -> DataFrame:
+def score_instruments(forest: Forest, universe: DataFrame) -> DataFrame:
     """(ticker, ml_pred_proba); 0.0 for all when the universe lacks a feature of the model."""
-    if set(model_features(model)) - set(universe.columns):
+    if set(forest.features) - set(universe.columns):
         return universe.select("ticker", F.lit(0.0).alias("ml_pred_proba"))
-    return predict(model, universe, ["ticker"]).drop("prediction")
+    return predict(forest, universe, ["ticker"]).drop("prediction")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Store the model; its feature list is part of it."""
-    model.write().overwrite().save(path)
+def save_model(forest: Forest, path: str) -> str:
+    """Store the forest and its feature list as a new version, committed last; returns the version."""
+    about = forest.nodes.sparkSession.createDataFrame([(forest.features, forest.depth)], _ABOUT)
+    return model_store.save({"nodes": forest.nodes, "about": about}, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a stored model, or say clearly that there is none."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        raise FileNotFoundError(f"no readable model at {path}; train one first") from error
+def load_model(path: str, version: str | None = None) -> Forest:
+    """Load a stored forest, or say clearly that there is none."""
+    tables = model_store.load(SparkSession.getActiveSession(), path, {"nodes": _NODES, "about": _ABOUT}, version)
+    about = tables["about"].first()
+    return Forest(tables["nodes"], list(about.features), about.depth)

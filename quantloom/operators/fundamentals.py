@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import WON_PER_EOK, finite, market_cap, parse_amount, ratio, ratio_if_positive
+from quantloom.operators import segments as seg
+from quantloom.operators.asof import asof_join
 
 ACCOUNTS = ["net_income", "total_equity"]
 RATIOS = ["per", "pbr", "roe"]
@@ -61,19 +63,21 @@ def filled_amounts(bars: DataFrame, statements: DataFrame, years: Sequence[int],
     return fill_by_year(bar_years, yearly).dropna(subset=ACCOUNTS)
 
 
-def amounts_by_ticker(filled: DataFrame) -> DataFrame:
-    """(ticker, amounts): the filled years of a ticker as one small map."""
+def amounts_by_segment(filled: DataFrame) -> DataFrame:
+    """(ticker, _segment, amounts): for each calendar segment of a ticker the filled years that it meets, as a small map."""
+    ends = [seg.segment_of(F.make_date("year", F.lit(month), F.lit(day))) for month, day in ((1, 1), (12, 31))]
     entry = F.struct("year", F.struct(*ACCOUNTS))
-    return filled.groupBy("ticker").agg(F.map_from_entries(F.collect_list(entry)).alias("amounts"))
+    met = filled.withColumn("_segment", F.explode(F.sequence(*ends)))
+    return met.groupBy(*seg.SEGMENT).agg(F.map_from_entries(F.collect_list(entry)).alias("amounts"))
 
 
-def join_by_ticker(bars: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Bars with the columns of their instrument, partitioned by ticker.
+def join_by_segment(bars: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Bars with the columns of their instrument, which has a row for each of its segments; partitioned by segment.
 
-    A shuffled hash join with the instruments as the built side: the bars are exchanged once for the
-    join and all windows after it, sorted once, and never broadcast, however few they are.
+    A shuffled hash join with the instruments as the built side: the bars are exchanged once for the join and all windows
+    after it, and a ticker with very many bars is spread over its segments.
     """
-    return bars.join(instruments.hint("shuffle_hash"), "ticker")
+    return seg.with_summary(seg.cut(bars), instruments)
 
 
 def with_amounts(df: DataFrame) -> DataFrame:
@@ -83,11 +87,16 @@ def with_amounts(df: DataFrame) -> DataFrame:
 
 
 def with_fundamentals(bars: DataFrame, filled: DataFrame) -> DataFrame:
-    """Bars with the filled amounts of their calendar year.
+    """Bars with the filled amounts of their calendar year."""
+    return with_amounts(join_by_segment(bars, amounts_by_segment(filled))).drop("_segment")
 
-    The join key is the ticker alone, so that windows after it reuse its partitioning.
+
+def with_published(bars: DataFrame, yearly: DataFrame) -> DataFrame:
+    """Bars with the amounts of the last statement published by their date: `yearly` is (ticker, published, accounts).
+
+    The point-in-time form of `with_fundamentals`: it never looks ahead, and nothing is filled backwards.
     """
-    return with_amounts(join_by_ticker(bars, amounts_by_ticker(filled)))
+    return asof_join(bars, yearly, "published", ACCOUNTS)
 
 
 def with_history_ratios(df: DataFrame) -> DataFrame:

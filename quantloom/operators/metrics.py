@@ -70,19 +70,26 @@ def classification_report(df: DataFrame, label: str = "target", prediction: str
     return counts.select(F.explode(lines).alias("line")).select("line.*")
 
 
-def roc_auc(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
-    """Exact area under the curve, ties at their average rank.
+def roc_areas(df: DataFrame, by: Sequence[str], label: str = "target", score: str = "score") -> DataFrame:
+    """Exact area under the curve of each group, ties at their average rank: (by.., positives, negatives, auc).
 
-    One row (positives, negatives, auc). Rows are counted by score first: the area needs each score's positives and
-    negatives and the negatives below it, never the ranks of rows.
+    One pass for all groups. Rows are counted by group and score first: an area needs each score's positives and
+    negatives and the negatives below it, never the ranks of rows. A group with one class has no area (NULL).
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     up = F.col(label) == 1
-    counted = known.groupBy(F.col(score).cast("double").alias("score")).agg(
+    group = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    counted = known.groupBy(group.alias("group"), F.col(score).cast("double").alias("score")).agg(
         F.count_if(up).alias("up"), F.count_if(~up).alias("down")
     )
-    totals = running_totals(counted.withColumn("all", F.lit(0)), "all", "score", ["down"])
+    totals = running_totals(counted, "group", "score", ["down"])
     won = F.sum(F.col("up").cast("double") * (F.col("down_before") + F.col("down") / 2.0))
-    sums = totals.agg(won.alias("won"), F.sum("up").alias("positives"), F.sum("down").alias("negatives"))
+    sums = [won.alias("won"), F.sum("up").alias("positives"), F.sum("down").alias("negatives")]
+    found = totals.groupBy("group").agg(*sums) if by else totals.agg(*sums).withColumn("group", F.lit(0))
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    return sums.select("positives", "negatives", ratio(F.col("won"), p * n).alias("auc"))
+    return found.select(*[F.col(f"group.{c}").alias(c) for c in by], "positives", "negatives", ratio(F.col("won"), p * n).alias("auc"))
+
+
+def roc_auc(df: DataFrame, label: str = "target", score: str = "score") -> DataFrame:
+    """One row (positives, negatives, auc) over all rows."""
+    return roc_areas(df, [], label, score)

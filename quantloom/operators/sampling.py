@@ -52,6 +52,52 @@ def time_split(rows: DataFrame, label: str = "target", test_share: float = TEST_
     return rows.withColumn("is_test", F.col("date") >= F.lit(first))
 
 
+def time_folds(rows: DataFrame, folds: int) -> DataFrame:
+    """Add `_fold` (0..): stretches of dates in order, with about equally many rows each."""
+    days = sorted((r["date"], r["rows"]) for r in rows.groupBy("date").agg(F.count("*").alias("rows")).collect())
+    total, seen, bounds = sum(n for _, n in days), 0, []
+    for day, n in days:  # one number for each date
+        while len(bounds) < folds - 1 and seen >= total * (len(bounds) + 1) / folds:
+            bounds.append(day)
+        seen += n
+    fold = sum([(F.col("date") >= F.lit(day)).cast("int") for day in bounds], F.lit(0))
+    return rows.withColumn("_fold", fold)
+
+
+# Days of a bucket: the intervals of a label window or of held-out dates meet a few of them.
+_BUCKET_DAYS = 32
+
+
+def _buckets(first: Column, last: Column) -> Column:
+    number = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS)
+    return F.sequence(number(first), number(last))
+
+
+def purged_folds(
+    rows: DataFrame, key: Sequence[str], fold: str = "_fold", end: str = "target_end", embargo_days: int = 0
+) -> DataFrame:
+    """(fold, key.., part): for each fold every row as `test`, `train` or `purged`.
+
+    A training row is purged when its label window [date, `end`] overlaps that of a held-out row, or when it begins within
+    `embargo_days` behind one: its label would tell of held-out prices. Held-out windows of a fold are merged by their first
+    date (one row for each date, with the latest end), both sides go into date buckets, and only rows and windows of one
+    bucket are compared. `key` should be unique.
+    """
+    held = rows.groupBy(F.col(fold).alias("fold"), F.col("date").alias("from")).agg(F.date_add(F.max(end), embargo_days).alias("to"))
+    held = materialise(held, "held-out")
+    folds = held.select("fold").distinct()
+    spread = held.withColumn("bucket", F.explode(_buckets(F.col("from"), F.col("to"))))
+    windows = spread.groupBy("fold", "bucket").agg(F.collect_list(F.struct("from", "to")).alias("windows"))  # a bucket's dates at most, and earlier ones that reach it
+    own = rows.select(*key, F.col("date").alias("begin"), F.col(end).alias("finish"), F.col(fold).alias("own"))
+    touched = own.withColumn("bucket", F.explode(_buckets(F.col("begin"), F.col("finish")))).join(windows, "bucket")
+    overlaps = F.exists("windows", lambda w: (F.col("begin") <= w["to"]) & (w["from"] <= F.col("finish")))
+    hit = touched.where((F.col("own") != F.col("fold")) & overlaps).select("fold", *key).distinct()
+    all_rows = own.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col("own") == F.col("fold"))
+    met = all_rows.join(hit.withColumn("is_hit", F.lit(True)), ["fold", *key], "left")
+    part = F.when(F.col("is_test"), "test").when(F.col("is_hit"), "purged").otherwise("train")
+    return met.select("fold", *key, part.alias("part"))
+
+
 def class_counts(rows: DataFrame, label: str = "target") -> dict[int, int]:
     return {r[label]: r["rows"] for r in rows.groupBy(label).agg(F.count("*").alias("rows")).collect()}
 

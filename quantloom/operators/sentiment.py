@@ -89,6 +89,67 @@ def model_classifier(
     return classify
 
 
+# --- a classifier learned from labelled headlines -----------------------------------------------
+
+# Buckets of tokens, named by the first digits of a hash: the model has at most this many rows for each label.
+TOKEN_BUCKETS = 1 << 16
+
+
+def token_counts(headlines: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., bucket, n): how often each bucket of words occurs in a headline; a missing title has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("([a-zà-ÿ]+)"), 1)
+    tokens = headlines.select(*keep, F.explode(words).alias("word"))
+    return tokens.groupBy(*keep, F.substring(F.md5("word"), 1, 4).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def learn_words(labelled: DataFrame) -> DataFrame:
+    """(label, bucket, evidence): multinomial Bayes of the labelled headlines (title, label), smoothed by one.
+
+    The row of a label without a bucket holds its log prior and the evidence of an unseen bucket (`unseen`), any other row
+    what its bucket adds to that. Counts are combined before they are shuffled; the model is bounded by the buckets.
+    """
+    counts = token_counts(labelled, "label").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
+    priors = labelled.groupBy("label").agg(F.count("*").alias("rows"))
+    all_rows = priors.agg(F.sum("rows").alias("all"))
+    unseen = -F.log(F.coalesce("total", F.lit(0)) + TOKEN_BUCKETS)
+    heads = priors.join(totals, "label", "left").crossJoin(F.broadcast(all_rows)).select(
+        "label", F.lit(None).cast("string").alias("bucket"), F.log(F.col("rows") / F.col("all")).alias("evidence"), unseen.alias("unseen")
+    )
+    seen = counts.select("label", "bucket", F.log(F.col("n") + 1).alias("evidence"), F.lit(None).cast("double").alias("unseen"))
+    return heads.unionByName(seen)
+
+
+def judged(headlines: DataFrame, model: DataFrame, key: str = "seq") -> DataFrame:
+    """(key, label, log_odds): the likeliest label of each headline, and its lead over the next in log odds.
+
+    Built-in functions only: the counted words of a headline meet the model (its size is bounded, so it is broadcast), and
+    their evidence is added up label by label where the words are. Ties go to the first label in order; a headline
+    without words is judged by the priors. Labels without a single example are never given.
+    """
+    heads = model.where("bucket IS NULL").select("label", F.col("evidence").alias("prior"), "unseen")
+    labels = heads.agg(F.sort_array(F.collect_list(F.struct("label", "prior", "unseen"))).alias("labels"))  # one entry for each label
+    seen = model.where("bucket IS NOT NULL").groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("label", "evidence"))).alias("evidence"))
+    words = token_counts(headlines, key).join(F.broadcast(seen), "bucket", "left")
+    entry = F.explode(F.map_entries(F.coalesce("evidence", F.create_map().cast("map<string,double>")))).alias("e")
+    length = words.groupBy(key).agg(F.sum("n").alias("length"))
+    told = words.select(key, "n", entry).groupBy(key, F.col("e.key").alias("label")).agg(F.sum(F.col("n") * F.col("e.value")).alias("told"))
+    told = told.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "told"))).alias("told"))
+    met = headlines.select(key).join(length, key, "left").join(told, key, "left").crossJoin(F.broadcast(labels))
+    known = F.coalesce("told", F.create_map().cast("map<string,double>"))
+    total = F.transform(
+        "labels",
+        lambda x: F.struct(
+            (x["prior"] + F.coalesce("length", F.lit(0)) * x["unseen"] + F.coalesce(F.try_element_at(known, x["label"]), F.lit(0.0))).alias("score"),
+            x["label"].alias("label"),
+        ),
+    )
+    ordered = F.array_sort(total, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["label"] < b["label"], -1).otherwise(1))
+    return met.select(key, ordered.alias("o")).select(
+        key, F.get("o", F.lit(0))["label"].alias("label"), (F.get("o", F.lit(0))["score"] - F.get("o", F.lit(1))["score"]).alias("log_odds")
+    )
+
+
 def classified(headlines: DataFrame, classifier: Callable[[Column], Column] = word_classifier) -> DataFrame:
     """Add label and score of every headline."""
     found = headlines.withColumn("_result", classifier(F.col("title")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
@@ -13,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import round_half_even
+from quantloom.operators import segments as seg
 from quantloom.operators.order import row_positions
-from quantloom.operators.series import AHEAD, BY, WARMUP, per_series
 
 # Sequence length, label distance, hidden layer, tickers, held-out tail share.
 LOOK_BACK, LOOK_FORWARD = 60, 20
@@ -47,9 +45,32 @@ def with_scaled_close(bars: DataFrame) -> DataFrame:
     return bars.join(span, "ticker").withColumn("scaled", scaled).drop("_min", "_max")
 
 
-def sequences(bars: DataFrame, longest: int | None = None, **sizes: int) -> DataFrame:
-    """Every bar with its scaled sequence and later value; `longest` as in `per_series`."""
-    return per_series(with_scaled_close(bars), with_sequence, longest, **sizes)
+def sequences(
+    bars: DataFrame, look_back: int = LOOK_BACK, look_forward: int = LOOK_FORWARD, segment_days: int = seg.SEGMENT_DAYS
+) -> DataFrame:
+    """Every bar with `sequence` (its last `look_back` scaled closes, NULL before) and the `later` value, on one path.
+
+    Inside a calendar segment by windows, across its ends by the last and first values of the segments around it.
+    """
+    own = seg.numbered(seg.cut(with_scaled_close(bars), segment_days))
+    summary = own.groupBy(*seg.SEGMENT).agg(
+        seg.last_rows(F.col("scaled"), look_back - 1).alias("_tail"), seg.first_rows(F.col("scaled"), look_forward).alias("_head")
+    )
+    summary = summary.select(
+        *seg.SEGMENT, seg.values_before("_tail", look_back - 1).alias("_behind"), seg.values_after("_head", look_forward).alias("_ahead")
+    )
+    placed = seg.with_summary(own, summary)
+    local = F.col("_local")
+    frame = seg.in_segment().rowsBetween(-(look_back - 1), Window.currentRow)
+    before = F.filter(seg.last_of(F.col("_behind"), look_back - 1 - local), lambda x: x.isNotNull())
+    nothing = F.array().cast("array<double>")
+    values = F.concat(F.when(local < look_back - 1, before).otherwise(nothing), F.collect_list("scaled").over(frame))
+    beyond = local + look_forward - F.col("_n")
+    outside = F.try_element_at(F.col("_ahead"), (F.greatest(beyond, F.lit(0)) + 1).cast("int"))
+    later = F.when(beyond < 0, F.lead("scaled", look_forward).over(seg.in_segment())).otherwise(outside)
+    return placed.withColumns({"_values": values, "later": later}).select(
+        *bars.columns, "scaled", F.when(F.size("_values") == look_back, F.col("_values")).alias("sequence"), "later"
+    )
 
 
 def newest_sequences(bars: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
@@ -64,19 +85,6 @@ def newest_sequences(bars: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
     return found.where((F.col("_known") == look_back)).select("ticker", "sequence")
 
 
-def with_sequence(
-    scaled: DataFrame, by: Sequence[str] = BY, look_back: int = LOOK_BACK, look_forward: int = LOOK_FORWARD
-) -> DataFrame:
-    """Add `sequence` (the last `look_back` scaled closes, NULL before) and `later`."""
-    if look_back > WARMUP or look_forward > AHEAD:
-        raise ValueError("a sequence must fit the rows copied around a segment")
-    ordered = Window.partitionBy(*by).orderBy("date")
-    values = F.collect_list("scaled").over(ordered.rowsBetween(-(look_back - 1), Window.currentRow))
-    return scaled.withColumns({"_values": values, "later": F.lead("scaled", look_forward).over(ordered)}).select(
-        *scaled.columns, F.when(F.size("_values") == look_back, F.col("_values")).alias("sequence"), "later"
-    )
-
-
 def labelled(sequences: DataFrame) -> DataFrame:
     """Samples: full sequences with a known later close, 1 when that is higher than the last one."""
     complete = sequences.where(F.col("sequence").isNotNull() & F.col("later").isNotNull())

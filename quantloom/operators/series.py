@@ -1,21 +1,22 @@
-"""Per-instrument time-series features.
-
-Every window of one pass shares `partitionBy(by).orderBy("date")`, so a pass plans one exchange and
-one sort. `by` is the ticker for ordinary series. `per_series` cuts longer series into segments with
-neighbouring rows copied in, so no task ever holds more than one segment of a ticker. What reaches back without a bound
-(the last known close, the number of moves, the last known RSI) is carried from segment to segment in one summary row each,
-so that both ways give the same answers, however long a gap is.
+"""Per-instrument time-series features, on one path for series of every length.
+
+Rows are cut into calendar segments (`segments.cut`) and exchanged once by (ticker, segment). Returns, volatility and the
+label look at neighbouring rows: inside a segment by windows, across its ends by the last and first values of the
+segments around it. The indicators are recursions that never forget, state = decay * state + gain * value. Each block of
+rows reduces them to an affine map (what a state before the block becomes behind it), the maps are composed along the
+ticker by a parallel scan, and the state that enters a block is applied to its rows in closed form. Nothing is cut off,
+and no weight leaves the range of a double, for exponents count from the block's own start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import ratio
-from quantloom.operators.order import row_positions
+from quantloom.operators import segments as seg
 
 # Window lengths, indicator periods, history gates and label of the features.
 RETURN_PERIODS = {"ret_20": 20, "ret_60": 60}
@@ -28,250 +29,295 @@ LABEL_AHEAD, LABEL_FACTOR = 20, 1.05
 INDICATORS = ["rsi_14", "macd", "macd_hist", "macd_signal"]
 PRICE_FEATURES = ["ret_20", "ret_60", "vol_20", *INDICATORS]
 
-# Longest series computed as one window partition. The weights of the fastest average,
-# 1.25**(row - _CENTRE), stay inside the range of a double up to here.
-PLAIN_ROWS = 4_096
-_CENTRE = PLAIN_ROWS // 2
-# A longer series is cut into segments. WARMUP earlier rows make the averages exact in double
-# precision ((25/27)**1024 < 1e-34); AHEAD later rows serve labels, gates and sequences.
-SEGMENT_ROWS = 2_048
-WARMUP = 1_024
-AHEAD = 160
-
-BY = ("ticker",)
+# Rows of a block: the weights of the fastest average stay within 1.25**1024 (1e99), far inside the range of a double.
+BLOCK_ROWS = 1_024
+BACK = max(*RETURN_PERIODS.values(), VOLATILITY_ROWS)
 
 
-def _window(by: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*by).orderBy("date")
+def longest_series(bars: DataFrame) -> int:
+    """Rows of the longest series (0 without bars): one pre-aggregated count."""
+    row = bars.groupBy("ticker").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+    return row["n"] or 0
 
 
-def _to_here(by: Sequence[str]) -> WindowSpec:
-    return _window(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def most_blocks(bars: DataFrame, segment_days: int, block_rows: int) -> int:
+    """Blocks of the longest series: one pre-aggregated count."""
+    sizes = seg.cut(bars.select("ticker", "date"), segment_days).groupBy(*seg.SEGMENT).agg(F.ceil(F.count("*") / block_rows).alias("n"))
+    return sizes.groupBy("ticker").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
 
 
-def _all(by: Sequence[str]) -> WindowSpec:
-    """The whole series, ordered like every other window so that no second sort is planned."""
-    return _window(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def history_gate(bars: DataFrame, min_rows: int) -> DataFrame:
+    """Keep series with at least `min_rows` rows; counts are combined before the shuffle."""
+    enough = bars.groupBy("ticker").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_rows).select("ticker")
+    return bars.join(enough, "ticker", "left_semi")
 
 
-def longest_series(bars: DataFrame) -> int:
-    """Rows of the longest series (0 without bars): one pre-aggregated count."""
-    row = bars.groupBy("ticker").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
+# --- neighbours across the ends of a segment ----------------------------------------------------
 
 
-def per_series(
-    bars: DataFrame,
-    compute: Callable[[DataFrame, Sequence[str]], DataFrame],
-    longest: int | None = None,
-    segment_rows: int = SEGMENT_ROWS,
-    plain_rows: int = PLAIN_ROWS,
-) -> DataFrame:
-    """Apply `compute(frame, by)`, a chain of the functions below, to every series.
-
-    `longest` is a known bound on the rows per ticker (for example the days of a date range with
-    one bar a day); without it the bound is counted. Series within `plain_rows` take one exchange
-    by ticker. Otherwise rows are numbered by (ticker, date) and computed per (ticker, segment).
-    """
-    if longest is None:
-        longest = longest_series(bars)
-    if longest <= plain_rows:
-        return compute(bars, BY)
-    if segment_rows < WARMUP:
-        raise ValueError(f"a segment needs at least {WARMUP} rows")
-    place = F.col("_position") % segment_rows
-    home = F.floor(F.col("_position") / segment_rows)
-    targets = F.array_compact(
-        F.array(
-            home,
-            F.when(place >= segment_rows - WARMUP, home + 1),
-            F.when(place < AHEAD, home - 1),
-        )
+def _surroundings(own: DataFrame) -> DataFrame:
+    """One row per segment: rows before it and of the whole series, last known close, closes around it."""
+    close, padded = F.col("close"), F.col("_padded")
+    summary = own.groupBy(*seg.SEGMENT).agg(
+        F.count("*").alias("_rows"),
+        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("_local"))).alias("_known_last"),
+        seg.last_rows(F.struct(close.alias("close"), padded.alias("padded")), BACK).alias("_tail"),
+        seg.first_rows(F.struct("close", "date"), LABEL_AHEAD).alias("_head"),
+        F.max("date").alias("_last_date"),
     )
-    placed = row_positions(bars, ["ticker", "date"], "_position").withColumn("_home", home)
-    copied = _with_known(placed).withColumn("_segment", F.explode(targets))
-    own = compute(copied, ("ticker", "_segment")).where(F.col("_segment") == F.col("_home"))
-    if "rsi_14" in own.columns:
-        # Without a move in reach both averages have faded alike: their ratio is that of the last move.
-        stands = F.when(F.col("_known_moves") >= RSI_LENGTH, _filled("rsi_14"))
-        own = _filled_frame(own, "rsi_14").withColumn("rsi_14", F.coalesce("rsi_14", stands)).drop("_last_rsi_14")
-    return own.drop("_position", "_home", "_segment", "_known_close", "_known_moves")
-
-
-_HOME = ("ticker", "_home")
-
-
-def _with_known(placed: DataFrame) -> DataFrame:
-    """Add `_known_close`, the last close that isn't missing, and `_known_moves`, the moves up to the row."""
-    inner = F.col("close") - F.lag("close").over(_window(_HOME))
-    counted = placed.withColumn("_move", inner)
-    whole = counted.groupBy(*_HOME).agg(
-        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("_known"),
-        F.max_by("close", "date").alias("_last"),
-        F.min_by("close", "date").alias("_start"),
-        F.count("_move").alias("_moves"),
-    )
-    before = Window.partitionBy("ticker").orderBy("_home")
-    crossing = (F.lag("_last").over(before).isNotNull() & F.col("_start").isNotNull()).cast("long")
-    past = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = whole.withColumn("_crossing", crossing).select(
-        *_HOME,
-        F.last("_known", ignorenulls=True).over(past).alias("_close_before"),
-        (F.coalesce(F.sum(F.col("_moves") + F.col("_crossing")).over(past), F.lit(0)) + F.col("_crossing")).alias("_moves_before"),
+    ticker = Window.partitionBy("ticker")
+    summary = summary.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_rows").over(seg.earlier()), F.lit(0)),
+            "_known": F.last("_known_last", ignorenulls=True).over(seg.earlier()),
+            "_series": F.sum("_rows").over(ticker),
+            "_end": F.max("_last_date").over(ticker),
+        }
     )
+    known = lambda x: F.struct(x["close"].alias("close"), F.coalesce(x["padded"], F.col("_known")).alias("padded"))
     return (
-        counted.withColumns(
-            {
-                "_known_close": F.last("close", ignorenulls=True).over(_to_here(_HOME)),
-                "_known_moves": F.count("_move").over(_to_here(_HOME)),
-            }
-        )
-        .join(carried, list(_HOME))
-        .withColumns(
-            {
-                "_known_close": F.coalesce("_known_close", "_close_before"),
-                "_known_moves": F.col("_known_moves") + F.col("_moves_before"),
-            }
-        )
-        .drop("_move", "_close_before", "_moves_before")
+        summary.withColumn("_tail", F.transform("_tail", known))
+        .withColumns({"_behind": seg.values_before("_tail", BACK), "_ahead": seg.values_after("_head", LABEL_AHEAD)})
+        .select(*seg.SEGMENT, "_before", "_known", "_series", "_end", "_behind", "_ahead")
     )
 
 
-def _filled_frame(own: DataFrame, column: str) -> DataFrame:
-    """Add `_last_<column>`: its last value before the segment."""
-    kept = F.max_by(column, F.when(F.col(column).isNotNull(), F.col("date")))
-    past = Window.partitionBy("ticker").orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
-    carried = own.groupBy(*_HOME).agg(kept.alias("_kept"))
-    carried = carried.select(*_HOME, F.last("_kept", ignorenulls=True).over(past).alias(f"_last_{column}"))
-    return own.join(carried, list(_HOME))
-
+def _placed(bars: DataFrame, segment_days: int) -> DataFrame:
+    own = seg.numbered(seg.cut(bars, segment_days)).withColumn("_padded", F.last("close", ignorenulls=True).over(seg.to_here()))
+    return seg.with_summary(own, _surroundings(own))
 
-def _filled(column: str) -> Column:
-    return F.coalesce(F.last(column, ignorenulls=True).over(_to_here(_HOME)), F.col(f"_last_{column}"))
 
+def _known_close() -> Column:
+    """The last known close up to the row."""
+    return F.coalesce("_padded", "_known")
 
-def history_gate(bars: DataFrame, min_rows: int, by: Sequence[str] = BY) -> DataFrame:
-    """Keep series with at least `min_rows` rows."""
-    if tuple(by) != BY:
-        return bars.withColumn("_rows", F.count("*").over(_all(by))).where(F.col("_rows") >= min_rows).drop("_rows")
-    # Counts are combined before the shuffle: no task buffers a whole series to count it.
-    enough = bars.groupBy(*by).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= min_rows).select(*by)
-    return bars.join(enough, list(by), "left_semi")
 
+def _change(periods: int) -> Column:
+    """Relative change of the last known close against the row `periods` earlier."""
+    inside = F.lag(_known_close(), periods).over(seg.in_segment())
+    outside = seg.before_row(F.col("_behind.padded"), periods - F.col("_local"))
+    return ratio(_known_close(), F.when(F.col("_local") >= periods, inside).otherwise(outside)) - 1
 
-def _base(by: Sequence[str]) -> dict[str, Column]:
-    """Helper columns of the features: row number, last known close, and change to the row before."""
-    row = F.row_number().over(_window(by)) - 1
-    known = F.last("close", ignorenulls=True).over(_to_here(by))
-    return {
-        "_row": F.when(row < PLAIN_ROWS, row).otherwise(F.raise_error(F.lit("a series is longer than the bound given for it"))),
-        "_close": F.col("_known_close") if len(by) > 1 else known,
-        "_move": F.col("close") - F.lag("close").over(_window(by)),
-    }
 
+def _volatility() -> Column:
+    """Sample deviation over mean of the last rows; NULL until the window is full."""
+    reach = VOLATILITY_ROWS - 1
+    frame = seg.in_segment().rowsBetween(-reach, Window.currentRow)
+    crosses = F.col("_local") < reach
+    spread = ratio(F.stddev_samp("close").over(frame), F.avg("close").over(frame))
+    inside = F.when(F.count("close").over(frame) == VOLATILITY_ROWS, spread)
+    # The first rows of a segment: the same over an array of closes from both sides.
+    start = F.collect_list(F.when(crosses, F.col("close"))).over(frame)
+    closes = F.concat(F.filter(seg.last_of(F.col("_behind.close"), reach - F.col("_local")), lambda x: x.isNotNull()), start)
+    added = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    mean = added(closes) / VOLATILITY_ROWS
+    square = added(F.transform(closes, lambda x: (x - mean) * (x - mean)))
+    outside = F.when(F.size(closes) == VOLATILITY_ROWS, ratio(F.sqrt(square / reach), mean))
+    return F.when(crosses, outside).otherwise(inside)
 
-_HELPERS = ("_row", "_close", "_move")
 
+def _later(column: str, ahead: int) -> Column:
+    """The column `ahead` rows later, NULL beyond the series."""
+    inside = F.lead(column, ahead).over(seg.in_segment())
+    beyond = F.col("_local") + ahead - F.col("_n")
+    outside = F.try_element_at(F.col("_ahead"), (F.greatest(beyond, F.lit(0)) + 1).cast("int"))
+    return F.when(beyond < 0, inside).otherwise(outside[column])
 
-def _change(periods: int, by: Sequence[str]) -> Column:
-    """Relative change of the last known close against the row `periods` earlier."""
-    return ratio(F.col("_close"), F.lag("_close", periods).over(_window(by))) - 1
 
+def _label(ahead: int, factor: float) -> Column:
+    """1 when the close `ahead` rows later is above `factor` times this one, else 0 (the last rows compare with nothing)."""
+    return F.coalesce(ratio(_later("close", ahead), F.col("close")) > factor, F.lit(False)).cast("int")
 
-def _volatility(by: Sequence[str]) -> Column:
-    """Sample deviation over mean of the last rows; NULL until the window is full."""
-    frame = _window(by).rowsBetween(-(VOLATILITY_ROWS - 1), Window.currentRow)
-    spread = ratio(F.stddev_samp("close").over(frame), F.avg("close").over(frame))
-    return F.when(F.count("close").over(frame) == VOLATILITY_ROWS, spread)
 
+# --- indicators as affine maps ------------------------------------------------------------------
 
-def _weight(base: float, row: Column) -> Column:
-    return F.pow(F.lit(base), row - _CENTRE)
 
+def _in_block() -> WindowSpec:
+    return Window.partitionBy(*seg.SEGMENT, "_block").orderBy("date")
 
-def _rsi(by: Sequence[str], length: int = RSI_LENGTH) -> Column:
-    """Share of exponentially weighted gains in all moves, times 100.
 
-    Both averages have the same normalisation, so it cancels and two running sums of weighted moves
-    are enough. NULL until `length` moves are known, and while there is no move at all.
-    """
-    moved = F.col("_move") * _weight(length / (length - 1), F.col("_row"))
-    here = _to_here(by)
-    gains = F.sum(F.greatest(moved, F.lit(0.0))).over(here)
-    moves = F.sum(F.abs(moved)).over(here)
-    known = F.col("_known_moves") if len(by) > 1 else F.count("_move").over(here)
-    return F.when(known >= length, 100 * ratio(gains, moves))
+def _block_to_here() -> WindowSpec:
+    return _in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _ema(value: str, length: int, start: int, by: Sequence[str]) -> Column:
-    """Exponential average of `value`, whose first value is at row `start`.
+class _Average:
+    """An exponential average whose first value, at row start + length - 1, is the mean of the first `length` values.
 
-    It is seeded with the mean of the first `length` values. Dividing every step by the decay
-    turns the recursion into one running sum of weighted terms.
+    Up to that row the state adds value / length and doesn't decay; from then on it is decay * state + alpha * value.
     """
-    alpha = 2.0 / (length + 1)
-    decay = 1.0 - alpha
-    seed_row = start + length - 1
-    row = F.col("_row")
-    term = (
-        F.when(row.between(start, seed_row), F.col(value) / length * _weight(1 / decay, F.lit(seed_row)))
-        .when(row > seed_row, alpha * F.col(value) * _weight(1 / decay, row))
-    )
-    return F.when(row >= seed_row, F.sum(term).over(_to_here(by)) * _weight(decay, row))
 
+    def __init__(self, length: int, start: int):
+        self.length, self.seed = length, start + length - 1
+        self.start, self.alpha = start, 2.0 / (length + 1)
+        self.decay = 1.0 - self.alpha
 
-def _macd_line(by: Sequence[str]) -> Column:
-    return _ema("_close", MACD_FAST, 0, by) - _ema("_close", MACD_SLOW, 0, by)
+    def gain(self, row: Column) -> Column:
+        return F.when(row < self.start, 0.0).when(row <= self.seed, 1.0 / self.length).otherwise(self.alpha)
 
+    def decays(self, row: Column) -> Column:
+        """Times that the state has decayed between the block's start and this row, this row included."""
+        return F.greatest(row - self.seed, F.lit(0)) - F.greatest(F.col("_first") - 1 - self.seed, F.lit(0))
 
-def _with_signal(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.withColumn("macd_signal", _ema("macd", MACD_SIGNAL, MACD_SLOW - 1, by)).withColumn(
-        "macd_hist", F.col("macd") - F.col("macd_signal")
-    )
+    def kept(self) -> Column:
+        """What is left, at this row, of the state before the block."""
+        return F.pow(F.lit(self.decay), self.decays(F.col("_row")))
 
+    def inner(self, value: Column) -> Column:
+        """The state at this row if it was zero before the block."""
+        grown = self.gain(F.col("_row")) * value * F.pow(F.lit(1 / self.decay), self.decays(F.col("_row")))
+        return F.coalesce(F.sum(grown).over(_block_to_here()), F.lit(0.0)) * self.kept()
 
-def _computed(bars: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    return bars.withColumns(_base(by)).withColumns(columns)
 
+_FAST, _SLOW = _Average(MACD_FAST, 0), _Average(MACD_SLOW, 0)
+_SIGNAL = _Average(MACD_SIGNAL, MACD_SLOW - 1)
+_RSI_DECAY = (RSI_LENGTH - 1) / RSI_LENGTH
 
-def with_returns(bars: DataFrame, by: Sequence[str] = BY, names: Sequence[str] = tuple(RETURN_PERIODS)) -> DataFrame:
-    return _computed(bars, by, {n: _change(RETURN_PERIODS[n], by) for n in names}).drop(*_HELPERS)
+#: Map of a block. Averages: kept_* and *_in behind a state of zero; the signal also takes fast and slow times by_*.
+#: Moves: their number, and gains and sizes weighted as of the last row that moved (`moved_at`).
+_MAP = [
+    "kept_fast", "kept_slow", "kept_signal", "fast", "slow", "signal", "by_fast", "by_slow", "moves", "gains", "sizes", "moved_at",
+]
 
 
-def with_volatility(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    return bars.withColumn("vol_20", _volatility(by))
+def _composed(x: Mapping[str, Column], y: Mapping[str, Column]) -> Mapping[str, Column]:
+    """The map of two blocks in a row, x before y."""
+    faded = F.pow(F.lit(_RSI_DECAY), y["moved_at"] - x["moved_at"])
+    joined = lambda c: F.when(x["moved_at"].isNull(), y[c]).when(y["moved_at"].isNull(), x[c]).otherwise(y[c] + x[c] * faded)
+    return {
+        "kept_fast": x["kept_fast"] * y["kept_fast"],
+        "kept_slow": x["kept_slow"] * y["kept_slow"],
+        "kept_signal": x["kept_signal"] * y["kept_signal"],
+        "fast": x["fast"] * y["kept_fast"] + y["fast"],
+        "slow": x["slow"] * y["kept_slow"] + y["slow"],
+        "signal": x["signal"] * y["kept_signal"] + y["by_fast"] * x["fast"] - y["by_slow"] * x["slow"] + y["signal"],
+        "by_fast": x["by_fast"] * y["kept_signal"] + y["by_fast"] * x["kept_fast"],
+        "by_slow": x["by_slow"] * y["kept_signal"] + y["by_slow"] * x["kept_slow"],
+        "moves": x["moves"] + y["moves"],
+        "gains": joined("gains"),
+        "sizes": joined("sizes"),
+        "moved_at": F.coalesce(y["moved_at"], x["moved_at"]),
+    }
 
 
-def with_rsi(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    return _computed(bars, by, {"rsi_14": _rsi(by)}).drop(*_HELPERS)
+def _inner_states(placed: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with their block and the states that they would have if nothing lay before it."""
+    before = F.when(F.col("_local") >= 1, F.lag("close").over(seg.in_segment())).otherwise(seg.before_row(F.col("_behind.close"), F.lit(1)))
+    block = F.floor(F.col("_local") / block_rows)
+    rows = placed.withColumns(
+        {
+            "_row": F.col("_before") + F.col("_local"),
+            "_block": block,
+            "_first": F.col("_before") + block * block_rows,
+            "_close": _known_close(),
+            "_move": F.col("close") - before,
+        }
+    )
+    here = _block_to_here()
+    weight = F.pow(F.lit(1 / _RSI_DECAY), F.col("_row") - F.col("_first"))
+    moved = F.col("_move") * weight
+    rows = rows.withColumns(
+        {
+            "fast": _FAST.inner(F.col("_close")),
+            "slow": _SLOW.inner(F.col("_close")),
+            "moves": F.count("_move").over(here),
+            "gains": F.coalesce(F.sum(F.greatest(moved, F.lit(0.0))).over(here), F.lit(0.0)),
+            "sizes": F.coalesce(F.sum(F.abs(moved)).over(here), F.lit(0.0)),
+            "moved_at": F.max(F.when(F.col("_move") != 0, F.col("_row"))).over(here),
+        }
+    )
+    return rows.withColumns(
+        {
+            "signal": _SIGNAL.inner(F.col("fast") - F.col("slow")),
+            "by_fast": _SIGNAL.inner(_FAST.kept()),
+            "by_slow": _SIGNAL.inner(_SLOW.kept()),
+        }
+    )
 
 
-def with_macd(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Difference of two exponential averages, its own average, and their difference."""
-    return _with_signal(_computed(bars, by, {"macd": _macd_line(by)}), by).drop(*_HELPERS)
+def _entering(rows: DataFrame, rounds: int) -> DataFrame:
+    """(ticker, _segment, _entering): for each block of the segment the states before it."""
+    as_moved = F.pow(F.lit(_RSI_DECAY), F.col("moved_at") - F.col("_first"))
+    end = rows.select(
+        *seg.SEGMENT,
+        "_block",
+        "_local",
+        F.struct(
+            _FAST.kept().alias("kept_fast"),
+            _SLOW.kept().alias("kept_slow"),
+            _SIGNAL.kept().alias("kept_signal"),
+            *["fast", "slow", "signal", "by_fast", "by_slow", "moves"],
+            (F.col("gains") * as_moved).alias("gains"),
+            (F.col("sizes") * as_moved).alias("sizes"),
+            "moved_at",
+        ).alias("map"),
+    )
+    blocks = end.groupBy(*seg.SEGMENT, "_block").agg(F.max_by("map", "_local").alias("map")).select(*seg.SEGMENT, "_block", "map.*")
+    states = seg.composed(blocks, _composed, _MAP, rounds)
+    entry = F.struct("_block", F.struct(*[F.col(f"_back.{c}").alias(c) for c in ("fast", "slow", "signal", "moves", "gains", "sizes", "moved_at")]))
+    return states.groupBy(*seg.SEGMENT).agg(F.map_from_entries(F.collect_list(entry)).alias("_entering"))
 
 
-def with_features(bars: DataFrame, by: Sequence[str] = BY, min_rows: int = 0) -> DataFrame:
-    """All price features of the series with at least `min_rows` rows.
+_STATES = ("_row", "_block", "_first", "_close", "_move", "_entering", "_in", "fast", "slow", "moves", "gains", "sizes", "moved_at", "signal", "by_fast", "by_slow")
 
-    Three window steps over one exchange and one sort: helpers and row count, then everything that
-    needs the helpers, then the signal line, which needs the MACD line.
-    """
-    based = bars.withColumns({"_rows": F.count("*").over(_all(by)), **_base(by)}).where(F.col("_rows") >= min_rows)
-    first = {name: _change(periods, by) for name, periods in RETURN_PERIODS.items()}
-    measured = based.withColumns({**first, "vol_20": _volatility(by), "rsi_14": _rsi(by), "macd": _macd_line(by)})
-    return _with_signal(measured, by).drop("_rows", *_HELPERS)
 
+def _with_indicators(placed: DataFrame, block_rows: int, rounds: int) -> DataFrame:
+    """Add rsi_14, macd, macd_signal and macd_hist.
 
-def with_label(
-    bars: DataFrame, by: Sequence[str] = BY, ahead: int = LABEL_AHEAD, factor: float = LABEL_FACTOR
+    RSI: share of exponentially weighted gains in all moves, times 100; both averages are normalised alike, so weighted
+    sums are enough. NULL until 14 moves are known, and while nothing has moved. MACD: difference of two averages (from
+    row 25), its own average (from row 33) and their difference; NULL while no close is known.
+    """
+    rows = _inner_states(placed, block_rows)
+    met = seg.with_summary(rows, _entering(rows, rounds)).withColumn("_in", F.element_at("_entering", F.col("_block")))
+    of = lambda c: F.coalesce(F.col(f"_in.{c}"), F.lit(0.0))
+    row, known = F.col("_row"), F.col("_close").isNotNull()
+    line = F.col("fast") - F.col("slow") + _FAST.kept() * of("fast") - _SLOW.kept() * of("slow")
+    signal = F.col("signal") + _SIGNAL.kept() * of("signal") + F.col("by_fast") * of("fast") - F.col("by_slow") * of("slow")
+    # Without a move in the block the ratio is that of the last move, however long ago it was.
+    faded = F.coalesce(F.pow(F.lit(_RSI_DECAY), F.col("_first") - F.col("_in.moved_at")), F.lit(0.0))
+    total = lambda c: F.when(F.col("moved_at").isNull(), of(c)).otherwise(F.col(c) + of(c) * faded)
+    counted = F.col("moves") + F.coalesce(F.col("_in.moves"), F.lit(0))
+    return met.withColumns(
+        {
+            "rsi_14": F.when(counted >= RSI_LENGTH, 100 * ratio(total("gains"), total("sizes"))),
+            "macd": F.when((row >= MACD_SLOW - 1) & known, line),
+            "macd_signal": F.when((row >= MACD_SLOW + MACD_SIGNAL - 2) & known, signal),
+        }
+    ).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(*_STATES)
+
+
+# --- all together -------------------------------------------------------------------------------
+
+
+def featured(
+    bars: DataFrame,
+    columns: Sequence[str] = PRICE_FEATURES,
+    longest: int | None = None,
+    min_rows: int = 0,
+    segment_days: int = seg.SEGMENT_DAYS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """1 when the close `ahead` rows later is above `factor` times this one, else 0.
+    """Add the named features (of PRICE_FEATURES, `target`, and `target_end`, the date that the label looks at) to the series with at least `min_rows` rows.
 
-    The last `ahead` rows of a series compare with nothing and get 0, not NULL.
+    `longest` is a known bound on the rows of a series with one row a day (for example the days of a date range); without
+    it the number of blocks is counted. It only sets the rounds of the scan; a wrong bound is an error, never a wrong value.
     """
-    later = ratio(F.lead("close", ahead).over(_window(by)), F.col("close"))
-    return bars.withColumn("target", F.coalesce(later > factor, F.lit(False)).cast("int"))
+    placed = _placed(bars, segment_days)
+    if min_rows:
+        placed = placed.where(F.col("_series") >= min_rows)
+    wanted: dict[str, Column] = {c: _change(RETURN_PERIODS[c]) for c in columns if c in RETURN_PERIODS}
+    if "vol_20" in columns:
+        wanted["vol_20"] = _volatility()
+    if "target" in columns:
+        wanted["target"] = _label(LABEL_AHEAD, LABEL_FACTOR)
+    if "target_end" in columns:
+        wanted["target_end"] = F.coalesce(_later("date", LABEL_AHEAD), F.col("_end"))
+    if wanted:
+        placed = placed.withColumns(wanted)
+    if set(INDICATORS) & set(columns):
+        blocks = most_blocks(bars, segment_days, block_rows) if longest is None else longest // block_rows + longest // segment_days + 2
+        placed = _with_indicators(placed, block_rows, seg.rounds_for(blocks))
+    return placed.select(*bars.columns, *columns)
 
 
 def latest(df: DataFrame, columns: Sequence[str]) -> DataFrame:

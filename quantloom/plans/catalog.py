@@ -18,7 +18,7 @@ from quantloom.operators.impute import medians
 from quantloom.operators.order import counts_of, min_ranks, pct_rank, rank_nulls_last
 from quantloom.plans import serving, training
 from quantloom.sources import derived, readers
-from quantloom.storage import materialise
+from quantloom.storage import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,9 +111,9 @@ class Inputs:
     def training_rows(self) -> DataFrame:
         return training.training_rows(self.history)
 
-    def every_series(self, compute, columns: list[str]) -> DataFrame:
-        """`compute` over the whole history of every instrument."""
-        return series.per_series(self.bars, compute, self.span).select("ticker", "date", *columns)
+    def every_series(self, *columns: str) -> DataFrame:
+        """These features over the whole history of every instrument."""
+        return series.featured(self.bars, columns, self.span).select("ticker", "date", *columns)
 
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -177,6 +177,38 @@ def code_map_build(i: Inputs) -> DataFrame:
     return readers.build_code_map(derived.companies(i.spark, i.sf_dir))
 
 
+@query
+def landed_statements(i: Inputs) -> DataFrame:
+    """Documents landed as files in year folders and read back: rows of two years, and what was put aside."""
+    path = new_path(i.spark, "landed")
+    readers.land_documents(derived.broken_documents(i.spark, i.sf_dir), path)
+    years = [i.as_of.year - 2, i.as_of.year - 1]
+    good = readers.read_statements(i.spark, path, years, {})
+    aside = readers.quarantined(readers.read_landed(i.spark, path, years)).groupBy("year", "reason").agg(F.count("*").alias("documents"))
+    nothing = F.lit(None).cast("string")
+    return good.withColumns({"reason": nothing, "documents": F.lit(None).cast("long")}).unionByName(
+        aside.withColumns({c: nothing for c in ("ticker", "account", "amount_raw")})
+    )
+
+
+@query
+def code_map_round_trip(i: Inputs) -> DataFrame:
+    """A code map with commas and quotes in its codes, written as several CSV files and one with a byte-order mark, and read back."""
+    path = new_path(i.spark, "code-map")
+    codes = derived.quoted_code_map(i.spark, i.sf_dir)
+    odd = F.col("ticker").cast("long") % 2 == 1
+    readers.write_code_map(codes.where(odd).repartition(3, "ticker"), f"{path}/plain")
+    readers.write_code_map(codes.where(~odd), f"{path}/marked", byte_order_mark=True)
+    return readers.union_sources(readers.read_code_map(i.spark, f"{path}/plain"), readers.read_code_map(i.spark, f"{path}/marked"))
+
+
+@query
+def merged_providers(i: Inputs) -> DataFrame:
+    """Bars of shipped items before those of all items: precedence, gaps and conflicts of two providers."""
+    first, second = (derived.bars(i.spark, i.sf_dir, line=line) for line in ("F", None))
+    return readers.merged_providers([first, second], ["shipped", "all"], tolerance=0.01)
+
+
 @query
 def union_sources(i: Inputs) -> DataFrame:
     open_items, closed_items = (derived.bars(i.spark, i.sf_dir, line=s) for s in ("O", "F"))
@@ -248,6 +280,15 @@ def bars_fundamentals(i: Inputs) -> DataFrame:
     return rounded(joined.select("ticker", "date", *fund.ACCOUNTS), 3, *fund.ACCOUNTS)
 
 
+@query
+def point_in_time(i: Inputs) -> DataFrame:
+    """Every bar with the last statement published by its date."""
+    yearly = fund.pivot_statements(i.statements, ["ticker", "year"])
+    published = yearly.join(derived.publications(i.spark, i.sf_dir), ["ticker", "year"]).drop("year")
+    found = fund.with_published(i.bars.select("ticker", "date"), published)
+    return rounded(found, 3, *fund.ACCOUNTS)
+
+
 @query
 def valuation_history(i: Inputs) -> DataFrame:
     return i.history.select("ticker", "date", "market_cap", *fund.RATIOS)
@@ -263,33 +304,33 @@ def valuation_latest(i: Inputs) -> DataFrame:
 
 @query
 def ret_20(i: Inputs) -> DataFrame:
-    return rounded(i.every_series(lambda f, by: series.with_returns(f, by, ["ret_20"]), ["ret_20"]), 6, "ret_20")
+    return rounded(i.every_series("ret_20"), 6, "ret_20")
 
 
 @query
 def ret_60(i: Inputs) -> DataFrame:
-    return rounded(i.every_series(lambda f, by: series.with_returns(f, by, ["ret_60"]), ["ret_60"]), 6, "ret_60")
+    return rounded(i.every_series("ret_60"), 6, "ret_60")
 
 
 @query
 def vol_20(i: Inputs) -> DataFrame:
-    return rounded(i.every_series(series.with_volatility, ["vol_20"]), 6, "vol_20")
+    return rounded(i.every_series("vol_20"), 6, "vol_20")
 
 
 @query
 def rsi_14(i: Inputs) -> DataFrame:
-    return rounded(i.every_series(series.with_rsi, ["rsi_14"]), 6, "rsi_14")
+    return rounded(i.every_series("rsi_14"), 6, "rsi_14")
 
 
 @query
 def macd(i: Inputs) -> DataFrame:
     columns = ["macd", "macd_signal", "macd_hist"]
-    return rounded(i.every_series(series.with_macd, columns), 4, *columns)
+    return rounded(i.every_series(*columns), 3, *columns)
 
 
 @query
 def label_up5(i: Inputs) -> DataFrame:
-    return i.every_series(series.with_label, ["target"])
+    return i.every_series("target")
 
 
 @query
@@ -297,6 +338,17 @@ def latest_bar(i: Inputs) -> DataFrame:
     return series.latest(i.bars, ["close", "volume"])
 
 
+@query
+def tick_features(i: Inputs) -> DataFrame:
+    """All price features of series of many thousand trades, one for each region."""
+    columns = [*series.PRICE_FEATURES, "target"]
+    found = series.featured(derived.ticks(i.spark, i.sf_dir), columns)
+    moment = F.unix_micros("date").alias("moment")
+    averages = ["macd", "macd_hist", "macd_signal"]
+    shares = [c for c in series.PRICE_FEATURES if c not in averages]
+    return rounded(rounded(found.select("ticker", moment, *columns), 4, *shares), 3, *averages)
+
+
 # --- ranks, scores and blend -------------------------------------------------------------------
 
 
@@ -311,7 +363,7 @@ def pct_min_rank(i: Inputs) -> DataFrame:
 @query
 def pct_min_rank_nulls_last(i: Inputs) -> DataFrame:
     """Every bar's 20-bar return among all bars; the first bars of a series have none and rank last."""
-    bars = materialise(i.every_series(lambda f, by: series.with_returns(f, by, ["ret_20"]), ["ret_20"]), "returns")
+    bars = materialise(i.every_series("ret_20"), "returns")
     bars = rounded(bars, 9, "ret_20")
     counts = counts_of(bars, ["ret_20"])
     last = rank_nulls_last("ret_20")
@@ -424,6 +476,19 @@ def stratified_split_sizes(i: Inputs) -> DataFrame:
     return parts.groupBy("target", "is_test").agg(F.count("*").alias("rows"), F.min("date").alias("first_date"))
 
 
+# Days behind a held-out period that no training row may begin in.
+EMBARGO_DAYS = 10
+
+
+@query
+def purged_folds(i: Inputs) -> DataFrame:
+    """Rows that each of three stretches of time holds out, trains on, and purges because labels overlap."""
+    bars = series.featured(i.bars_since(readers.TRAIN_DAYS), ["target_end"], readers.TRAIN_DAYS + 1)
+    rows = materialise(sampling.time_folds(bars.select("ticker", "date", "target_end"), forest.FOLDS), "time-folds")
+    parts = sampling.purged_folds(rows, ["ticker", "date"], embargo_days=EMBARGO_DAYS)
+    return parts.groupBy("fold", "part").agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 def _ruled(i: Inputs) -> DataFrame:
     """Label against a momentum rule: prediction = positive 20-bar return, score = that return."""
     score = F.round("ret_20", 6)
@@ -447,59 +512,52 @@ def smote_balance(i: Inputs) -> DataFrame:
     return out.groupBy("target", "synthetic").agg(F.count("*").alias("rows"))
 
 
-# Rows that the forest of `ml_score` and `ml_ranking` is fitted on at most, those with the smallest hashes.
-FIT_ROWS = 20_000
+# Rows that the searched forest is fitted on at most (in expectation): the search makes 31 fits on them.
+FIT_ROWS = 4_000
+_searched: dict[tuple[str, str], tuple[forest.Trained, str]] = {}
 
 
-def _forest(i: Inputs) -> object:
-    stored = materialise(i.training_rows, "rows")
-    chosen = materialise(stored.orderBy(F.xxhash64("ticker", "date"), "ticker", "date").limit(FIT_ROWS), "fit-rows")
-    return forest.fit_forest(
-        sampling.class_weights(chosen), training.FEATURES, numTrees=100, maxDepth=10, minInstancesPerNode=5, weightCol="weight"
-    )
+def searched(i: Inputs) -> tuple[forest.Trained, str]:
+    """The search over the whole space, and where its model is stored: done once for a session and folder."""
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
+    if key not in _searched:
+        stored = materialise(i.training_rows, "rows")
+        trained = forest.train_forest(stored, training.FEATURES, fit_rows=FIT_ROWS, parallelism=8)
+        path = new_path(i.spark, "model")
+        forest.save_model(trained.model, path)
+        _searched[key] = trained, path
+    return _searched[key]
 
 
-def _is_share(column: str) -> Column:
-    return F.coalesce(F.col(column).between(0.0, 1.0), F.lit(False))
+@query
+def forest_search(i: Inputs) -> DataFrame:
+    """Area of each draw in each fold, over the whole search space with over-sampling."""
+    trained, _ = searched(i)
+    draws = [(k, d["numTrees"], d["maxDepth"], d["minInstancesPerNode"]) for k, d in enumerate(forest.draw_params())]
+    params = i.spark.createDataFrame(draws, "draw int, trees int, max_depth int, leaf_rows int")
+    return trained.areas.join(F.broadcast(params), "draw")
 
 
 @query
-def ml_score(i: Inputs) -> DataFrame:
-    """Every instrument gets a probability from a forest trained on the history; checked, not compared."""
-    universe, _ = i.universe
-    scored = forest.score_instruments(_forest(i), universe)
-    return scored.select("ticker", _is_share("ml_pred_proba").alias("is_probability"))
+def forest_holdout(i: Inputs) -> DataFrame:
+    """Report of the searched model on the held-out rows, with its area there."""
+    trained, _ = searched(i)
+    return trained.report.crossJoin(F.broadcast(trained.auc.select("auc")))
 
 
 @query
-def ml_ranking(i: Inputs) -> DataFrame:
-    """The final ranking with the forest's probability in the blend: positions, order and range of the scores."""
+def ml_score(i: Inputs) -> DataFrame:
+    """Every instrument's probability from the stored searched model."""
     universe, _ = i.universe
-    scored = bl.join_predictions(i.scored, forest.score_instruments(_forest(i), universe))
-    ranked = materialise(bl.final_ranking(scored), "ml-ranking")
-    above = ranked.select((F.col("final_rank") + 1).alias("final_rank"), F.col("final_score").alias("score_above"))
-    return ranked.join(above, "final_rank", "left").select(
-        "final_rank",
-        F.coalesce(F.col("final_score") <= F.col("score_above"), F.col("final_rank") == 1).alias("in_order"),
-        F.coalesce(F.col("final_score").between(0, 100), F.lit(False)).alias("in_range"),
-        _is_share("ml_pred_proba").alias("is_probability"),
-    )
+    return forest.score_instruments(forest.load_model(searched(i)[1]), universe)
 
 
 @query
-def forest_search(i: Inputs) -> DataFrame:
-    """Hold-out report of a short parameter search with over-sampling: support of each line and checks of its measures."""
-    trained = forest.train_forest(i.training_rows, training.FEATURES, n_iter=2, depths=(4, 6), trees=(5, 10))
-    harmonic = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
-    per_class = F.col("class").isin("0", "1")
-    area = trained.auc.first()["auc"]
-    return trained.report.select(
-        "class",
-        "support",
-        (_is_share("precision") & _is_share("recall") & _is_share("f1")).alias("in_range"),
-        (~per_class | (F.abs(F.col("f1") - harmonic) < 1e-9)).alias("adds_up"),
-        F.lit(0.0 <= trained.cv_auc <= 1.0 and 0.0 <= area <= 1.0).alias("is_area"),
-    )
+def ml_ranking(i: Inputs) -> DataFrame:
+    """The final ranking with the searched model's probability in the blend."""
+    universe, _ = i.universe
+    scored = bl.join_predictions(i.scored, forest.score_instruments(forest.load_model(searched(i)[1]), universe))
+    return bl.final_ranking(scored)
 
 
 # --- sequences ---------------------------------------------------------------------------------
@@ -517,7 +575,7 @@ def minmax_by_ticker(i: Inputs) -> DataFrame:
 
 
 def _samples(i: Inputs) -> DataFrame:
-    return seq.labelled(seq.sequences(i.bars, i.span))
+    return seq.labelled(seq.sequences(i.bars))
 
 
 @query
@@ -552,7 +610,7 @@ def dl_trend_score(i: Inputs) -> DataFrame:
     window = i.bars_since(readers.TRAIN_DAYS)
     closes = series.latest(window, ["close"]).withColumnRenamed("close", "last_close")
     chosen = seq.top_by_market_cap(i.tradable, closes)
-    samples = training.sequence_samples(window, chosen, i.as_of, one_bar_a_day=True)
+    samples = training.sequence_samples(window, chosen, i.as_of)
     placed = materialise(seq.tail_split(samples), "samples")
     model = seq.train_sequence_model(placed.where(~F.col("is_tail")), epochs=20)
     scored = seq.trend_scores(model, seq.newest_sequences(window))
@@ -574,6 +632,30 @@ def headline_labels(i: Inputs) -> DataFrame:
     return rounded(found.select("ticker", "seq", "label", "score"), 6, "score")
 
 
+def _learned(i: Inputs) -> tuple[DataFrame, Column]:
+    """The word model of two thirds of the labelled documents, and which headlines were held out."""
+    held = F.substring(F.md5(F.col("seq").cast("string")), 1, 1).isin(list("01234"))
+    told = derived.labelled_headlines(i.spark, i.sf_dir)
+    return materialise(sentiment.learn_words(told.where(~held)), "word-model"), held
+
+
+@query
+def headline_bayes(i: Inputs) -> DataFrame:
+    """Label and log odds of every headline by the learned words."""
+    model, _ = _learned(i)
+    return rounded(sentiment.judged(i.headlines.select("seq", "title"), model), 4, "log_odds")
+
+
+@query
+def headline_accuracy(i: Inputs) -> DataFrame:
+    """Held-out headlines of each label that the learned words get right."""
+    model, held = _learned(i)
+    told = derived.labelled_headlines(i.spark, i.sf_dir).where(held)
+    found = sentiment.judged(told.select("seq", "title"), model).withColumnRenamed("label", "found")
+    met = told.select("seq", "label").join(found, "seq")
+    return met.groupBy("label").agg(F.count("*").alias("rows"), F.count_if(F.col("label") == F.col("found")).alias("right"))
+
+
 @query
 def sentiment_points(i: Inputs) -> DataFrame:
     points = sentiment.points(F.col("label"), F.col("score"))

@@ -235,6 +235,58 @@ samples AS (
 """
 
 
+_TICKS = """
+ticks AS (
+  SELECT lpad(CAST(n_regionkey AS VARCHAR), 10, '0') AS ticker,
+         epoch_us(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) + l_orderkey * 8 + l_linenumber AS moment,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) AS close
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
+numbered_ticks AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY moment) - 1 AS i FROM ticks),
+"""
+
+_DOCUMENTS = """
+landed AS (SELECT DISTINCT ticker, "year" FROM statements, today WHERE "year" BETWEEN y - 2 AND y - 1),
+"""
+
+_TIME_FOLDS = """
+ended AS (
+  SELECT ticker, date, coalesce(lead(date, 20) OVER (PARTITION BY ticker ORDER BY date), max(date) OVER (PARTITION BY ticker)) AS finish
+  FROM train_bars),
+days AS (SELECT date, count(*) AS n FROM ended GROUP BY date),
+placed_days AS (SELECT date, sum(n) OVER (ORDER BY date) - n AS before, sum(n) OVER () AS total FROM days),
+folded AS (
+  SELECT ended.*, CAST(before >= total / 3.0 AS INTEGER) + CAST(before >= total * 2 / 3.0 AS INTEGER) AS own
+  FROM ended JOIN placed_days USING (date)),
+held AS (SELECT own AS fold, date, max(finish) + 10 AS upto FROM folded GROUP BY own, date),
+parted AS (
+  SELECT f.fold, r.ticker, r.date,
+         CASE WHEN own = f.fold THEN 'test'
+              WHEN EXISTS (SELECT 1 FROM held h WHERE h.fold = f.fold AND r.date <= h.upto AND h.date <= r.finish) THEN 'purged'
+              ELSE 'train' END AS part
+  FROM folded r, (SELECT DISTINCT fold FROM held) f),
+"""
+
+_WORD_MODEL = """
+spoken AS (SELECT seq, unnest(regexp_extract_all(lower(title), '[a-zà-ÿ]+')) AS w FROM headlines),
+counted_words AS (SELECT seq, substr(md5(w), 1, 4) AS bucket, count(*) AS n FROM spoken GROUP BY ALL),
+told AS (SELECT seq, label, substr(md5(CAST(seq AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3', '4') AS held FROM headlines WHERE seq IN (SELECT doc_id FROM labels)),
+seen_words AS (SELECT label, bucket, sum(n) AS c FROM counted_words JOIN told USING (seq) WHERE NOT held GROUP BY ALL),
+label_totals AS (
+  SELECT label, ln(count(*) / CAST((SELECT count(*) FROM told WHERE NOT held) AS DOUBLE)) AS prior,
+         ln(coalesce((SELECT sum(c) FROM seen_words s WHERE s.label = t.label), 0) + 65536) AS norm
+  FROM told t WHERE NOT held GROUP BY label),
+evidence AS (
+  SELECT h.seq, l.label,
+         prior + coalesce(sum(n * (coalesce(ln(c + 1), 0) - norm)), 0) AS score
+  FROM headlines h CROSS JOIN label_totals l
+  LEFT JOIN counted_words w ON w.seq = h.seq LEFT JOIN seen_words s ON s.label = l.label AND s.bucket = w.bucket
+  GROUP BY h.seq, l.label, prior),
+verdicts AS (
+  SELECT seq, arg_min(label, place) AS label, max(score) FILTER (place = 1) - max(score) FILTER (place = 2) AS log_odds
+  FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, label) AS place FROM evidence) GROUP BY seq),
+"""
+
+
 def _sql(body: str, *parts: str) -> str:
     return "WITH RECURSIVE " + (BASE + "".join(parts)).strip().rstrip(",") + "\n" + body.strip()
 
@@ -270,6 +322,59 @@ ORACLES = {
     ),
     "code_map_scan": _sql("SELECT corp_code, ticker FROM code_map"),
     "code_map_build": _sql("SELECT corp_code, ticker FROM code_map"),
+    "landed_statements": _sql(
+        """SELECT ticker, "year", account, amount_raw, NULL AS reason, CAST(NULL AS BIGINT) AS documents
+        FROM statements JOIN landed USING (ticker, "year") WHERE NOT regexp_matches(ticker, '[37]$')
+        UNION ALL
+        SELECT NULL, "year", NULL, NULL, CASE WHEN ticker LIKE '%3' THEN 'broken' ELSE 'status 013' END, count(*)
+        FROM landed WHERE regexp_matches(ticker, '[37]$') GROUP BY "year", 5""",
+        _DOCUMENTS,
+    ),
+    "code_map_round_trip": _sql(
+        """SELECT CASE WHEN CAST(ticker AS BIGINT) % 3 = 0 THEN corp_code || ',A'
+                       WHEN CAST(ticker AS BIGINT) % 5 = 0 THEN '"' || corp_code || '"' ELSE corp_code END AS corp_code, ticker
+        FROM code_map"""
+    ),
+    "merged_providers": _sql(
+        """, shipped AS (
+          SELECT lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS ticker, CAST(l_shipdate AS DATE) AS date,
+            CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE)
+              / CAST(sum(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) AS close,
+            CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
+          FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)
+        SELECT ticker, date, coalesce(a.close, b.close) AS close, coalesce(a.volume, b.volume) AS volume,
+          CASE WHEN a.close IS NULL THEN 'all' ELSE 'shipped' END AS provider,
+          CASE WHEN a.close IS NULL THEN 1 ELSE 2 END AS n_providers, CASE WHEN a.close IS NULL THEN 'shipped' ELSE '' END AS missing,
+          coalesce(abs(a.close - b.close) > CAST(0.01 AS DOUBLE) * abs(a.close), false) AS conflict
+        FROM bars b LEFT JOIN shipped a USING (ticker, date)"""
+    ),
+    "point_in_time": _sql(
+        f""", published AS (
+          SELECT p.*, make_date(CAST("year" + 1 AS INTEGER), 3, 1) + CAST(CAST(ticker AS BIGINT) % 90 AS INTEGER) AS published FROM pivoted p)
+        SELECT b.ticker, b.date, {_r(3, "net_income", "total_equity")}
+        FROM bars b ASOF LEFT JOIN published p ON b.ticker = p.ticker AND b.date >= p.published"""
+    ),
+    "tick_features": _sql(
+        f"""SELECT t.ticker, moment,
+          round(close / nullif(lag(close, 20) OVER s, 0) - 1, 4) + 0.0 AS ret_20, round(close / nullif(lag(close, 60) OVER s, 0) - 1, 4) + 0.0 AS ret_60,
+          round(CASE WHEN count(close) OVER m = 20 THEN stddev_samp(close) OVER m / nullif(avg(close) OVER m, 0) END, 4) + 0.0 AS vol_20,
+          {_r(4, "rsi_14")}, {_r(3, "macd", "macd_hist", "macd_signal")},
+          CAST(coalesce(lead(close, 20) OVER s / nullif(close, 0) > CAST(1.05 AS DOUBLE), false) AS INTEGER) AS target
+        FROM numbered_ticks t JOIN indicators j ON j.ticker = t.ticker AND j.i = t.i
+        WINDOW s AS (PARTITION BY t.ticker ORDER BY moment),
+               m AS (PARTITION BY t.ticker ORDER BY moment ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+        _TICKS,
+        indicators("numbered_ticks"),
+    ),
+    "purged_folds": _sql(
+        'SELECT fold, part, count(*) AS rows, min(date) AS "first", max(date) AS "last" FROM parted GROUP BY fold, part', _TIME_FOLDS
+    ),
+    "headline_bayes": _sql("SELECT seq, label, round(log_odds, 4) + 0.0 AS log_odds FROM verdicts", _WORD_MODEL),
+    "headline_accuracy": _sql(
+        """SELECT t.label, count(*) AS rows, count(*) FILTER (t.label = v.label) AS "right"
+        FROM told t JOIN verdicts v USING (seq) WHERE held GROUP BY t.label""",
+        _WORD_MODEL,
+    ),
     "union_sources": _sql(
         "SELECT ticker, date, close, volume FROM ("
         + " UNION ALL ".join(
@@ -330,7 +435,7 @@ ORACLES = {
         indicators("numbered"),
     ),
     "macd": _sql(
-        f"SELECT ticker, date, {_r(4, 'macd', 'macd_signal', 'macd_hist')} "
+        f"SELECT ticker, date, {_r(3, 'macd', 'macd_signal', 'macd_hist')} "
         "FROM numbered JOIN indicators USING (ticker, i)",
         NUMBERED,
         indicators("numbered"),
@@ -440,19 +545,6 @@ ORACLES = {
         UNION ALL SELECT target, true, many - few FROM counted, ends WHERE n = few AND few < many""",
         HISTORY,
     ),
-    "ml_score": _sql("SELECT ticker, true AS is_probability FROM imputed"),
-    "ml_ranking": _sql(
-        "SELECT row_number() OVER () AS final_rank, true AS in_order, true AS in_range, true AS is_probability FROM imputed"
-    ),
-    "forest_search": _sql(
-        """, held AS (SELECT target, CAST(floor(CAST(0.3 AS DOUBLE) * count(*) + 0.5) AS BIGINT) AS n FROM rows_ GROUP BY target),
-        lines AS (
-          SELECT CAST(target AS VARCHAR) AS class, n AS support FROM held
-          UNION ALL SELECT name, (SELECT CAST(sum(n) AS BIGINT) FROM held)
-          FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS line(name))
-        SELECT class, support, true AS in_range, true AS adds_up, true AS is_area FROM lines""",
-        HISTORY,
-    ),
     "dl_trend_score": _sql(
         "SELECT ticker, true AS in_range FROM train_bars GROUP BY ticker HAVING count(close) >= 60"
     ),

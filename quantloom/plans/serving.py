@@ -23,11 +23,7 @@ _NUMERIC = ["last_close", "market_cap_eok", "volume", *_MEASURES]
 
 def latest_features(bars: DataFrame, longest: int | None = None) -> DataFrame:
     """One row per ticker with enough bars: last date, close, volume and all price features."""
-
-    def compute(frame: DataFrame, by) -> DataFrame:
-        return series.with_features(frame, by, series.SERVE_MIN_ROWS)
-
-    featured = series.per_series(bars, compute, longest)
+    featured = series.featured(bars, series.PRICE_FEATURES, longest, series.SERVE_MIN_ROWS)
     return series.latest(featured, ["close", "volume", *series.PRICE_FEATURES]).withColumnRenamed(
         "close", "last_close"
     )

@@ -33,23 +33,20 @@ def feature_history(
 ) -> DataFrame:
     """Every bar of the last three years with its features, ratios and label.
 
-    Instruments without a mapped code, without statements or with a short history are left out. The
-    universe and its amounts are joined by ticker before the windows, which reuse that partitioning.
+    Instruments without a mapped code, without statements or with a short history are left out. Their amounts are joined
+    to each segment of a ticker, so that a long one is spread over tasks from the start.
     """
     window = in_range(bars, days_before(as_of, TRAIN_DAYS), as_of).select("ticker", "date", "close", "volume")
     filled = fund.filled_amounts(window, statements, statement_years(as_of), lag_years)
     universe = (
         fund.with_mapped_code(tradable(listing, excluded), code_map)
         .select("ticker", "shares")
-        .join(fund.amounts_by_ticker(filled), "ticker")
+        .join(fund.amounts_by_segment(filled), "ticker")
     )
-
-    def compute(frame: DataFrame, by) -> DataFrame:
-        return series.with_label(series.with_features(frame, by, series.TRAIN_MIN_ROWS), by)
-
-    joined = fund.with_amounts(fund.join_by_ticker(window, universe))
-    featured = series.per_series(joined, compute, TRAIN_DAYS + 1 if one_bar_a_day else None)
-    return fund.finite_columns(fund.with_history_ratios(featured), FEATURES)
+    joined = fund.with_amounts(fund.join_by_segment(window, universe))
+    longest = TRAIN_DAYS + 1 if one_bar_a_day else None
+    featured = series.featured(joined, [*series.PRICE_FEATURES, LABEL], longest, series.TRAIN_MIN_ROWS)
+    return fund.finite_columns(fund.with_history_ratios(featured.drop("_segment")), FEATURES)
 
 
 def training_rows(history: DataFrame) -> DataFrame:
@@ -57,17 +54,13 @@ def training_rows(history: DataFrame) -> DataFrame:
     return history.dropna(subset=FEATURES).select("ticker", "date", *FEATURES, LABEL)
 
 
-def sequence_samples(
-    bars: DataFrame, tickers: DataFrame | None, as_of: dt.date, one_bar_a_day: bool = False
-) -> DataFrame:
+def sequence_samples(bars: DataFrame, tickers: DataFrame | None, as_of: dt.date) -> DataFrame:
     """Labelled sequences of the last three years, of the given tickers (all without)."""
-    return seq.labelled(sequences(bars, tickers, as_of, one_bar_a_day))
+    return seq.labelled(sequences(bars, tickers, as_of))
 
 
-def sequences(
-    bars: DataFrame, tickers: DataFrame | None, as_of: dt.date, one_bar_a_day: bool = False
-) -> DataFrame:
+def sequences(bars: DataFrame, tickers: DataFrame | None, as_of: dt.date) -> DataFrame:
     window = in_range(bars, days_before(as_of, TRAIN_DAYS), as_of).select("ticker", "date", "close")
     if tickers is not None:
         window = window.join(tickers.select("ticker"), "ticker", "left_semi")
-    return seq.sequences(window, TRAIN_DAYS + 1 if one_bar_a_day else None)
+    return seq.sequences(window)

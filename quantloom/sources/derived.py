@@ -178,3 +178,50 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.lit(0.5) + (F.col("doc_id") % 50) / F.lit(100.0)).alias("score"),
         )
     )
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, date, close): line items as trades of their supplier's region; items of one moment are one trade."""
+    items = _table(spark, sf_dir, "lineitem")
+    suppliers = _table(spark, sf_dir, "supplier")
+    nations = spark.read.schema("n_nationkey int, n_regionkey int").parquet(f"{sf_dir}/nation.parquet")
+    market = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
+    moment = F.unix_date(F.col("l_shipdate").cast("date")) * 86_400_000_000 + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    trades = (
+        items.join(market, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("n_regionkey", moment.alias("moment"))
+        .agg(F.sum(_cents("l_extendedprice")).alias("price"), F.sum(_cents("l_quantity")).alias("quantity"))
+    )
+    return trades.select(
+        F.lpad(F.col("n_regionkey").cast("string"), 10, "0").alias("ticker"),
+        F.timestamp_micros("moment").alias("date"),
+        (F.col("price").cast("double") / F.col("quantity").cast("double")).alias("close"),
+    )
+
+
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, year, published): statements of a year come out in the spring behind it, on a day of the ticker's own."""
+    filed = statements(spark, sf_dir).select("ticker", "year").distinct()
+    late = F.col("ticker").cast("long") % 90
+    return filed.withColumn("published", F.date_add(F.make_date(F.col("year") + 1, F.lit(3), F.lit(1)), late.cast("int")))
+
+
+def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(year, body): `documents`, of which those of tickers ending in 3 are cut in the middle."""
+    docs = documents(spark, sf_dir)
+    ticker = F.get_json_object("body", "$.list[0].stock_code")
+    cut = F.substring("body", F.lit(1), (F.length("body") / 2).cast("int"))
+    return docs.select("year", F.when(ticker.endswith("3"), cut).otherwise(F.col("body")).alias("body"))
+
+
+def quoted_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code map, with a comma in each third code and quotes in each fifth."""
+    key = F.col("ticker").cast("long")
+    code = F.when(key % 3 == 0, F.concat("corp_code", F.lit(",A"))).when(key % 5 == 0, F.concat(F.lit('"'), "corp_code", F.lit('"')))
+    return code_map(spark, sf_dir).select(F.coalesce(code, "corp_code").alias("corp_code"), "ticker")
+
+
+def labelled_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, title, label) of the documents that `labels` covers."""
+    labels = _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "seq").select("seq")
+    return headlines(spark, sf_dir).select("seq", "title", "label").join(labels, "seq", "left_semi")

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The helpers travel with the tasks, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LISTING_SCHEMA = "Code string, Name string, Stocks long"
 BARS_SCHEMA = "ticker string, date date, close double, volume long"
 CODE_MAP_SCHEMA = "corp_code string, ticker string"
@@ -74,6 +81,39 @@ def read_statements(
     return documents_to_rows(docs, accounts)
 
 
+def land_documents(documents: DataFrame, path: str) -> None:
+    """Store documents (year, body) as they are, one on each line, in a folder for each year."""
+    documents.select("year", "body").write.partitionBy("year").text(path)
+
+
+def read_landed(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
+    """(year, status, list, broken): landed documents; `broken` is the text of one that is no statement document.
+
+    Only the folders of `years` are listed and read.
+    """
+    broken = "_broken string"
+    docs = (
+        spark.read.schema(f"{STATEMENT_SCHEMA}, {broken}, year int")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_broken")
+        .json(path)
+    )
+    if years is not None:
+        docs = docs.where(F.col("year").isin(list(years)))
+    return docs.select("year", "status", "list", F.col("_broken").alias("broken"))
+
+
+def quarantined(docs: DataFrame) -> DataFrame:
+    """(year, reason, broken) of the landed documents that give no rows: broken ones, and those without the data status."""
+    reason = (
+        F.when(F.col("broken").isNotNull(), "broken")
+        .when(F.col("status").isNull(), "no status")
+        .when(F.col("status") != STATUS_OK, F.concat(F.lit("status "), "status"))
+        .when(F.col("list").isNull(), "no list")
+    )
+    return docs.select("year", reason.alias("reason"), "broken").where("reason IS NOT NULL")
+
+
 def parse_documents(lines: DataFrame) -> DataFrame:
     """(year, body) with one JSON document in each body, as the columns of a statement document."""
     return lines.select("year", F.from_json("body", STATEMENT_SCHEMA).alias("doc")).select("year", "doc.*")
@@ -100,7 +140,7 @@ def documents_to_rows(docs: DataFrame, accounts: dict[str, str] | None = None) -
 
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     """Filing code per ticker; both stay text, so leading zeros survive."""
-    return spark.read.schema(CODE_MAP_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(CODE_MAP_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
 def parse_code_map(lines: DataFrame) -> DataFrame:
@@ -114,8 +154,21 @@ def build_code_map(companies: DataFrame) -> DataFrame:
     return companies.where(listed).select("corp_code", F.col("stock_code").alias("ticker"))
 
 
-def write_code_map(code_map: DataFrame, path: str) -> None:
-    code_map.select("corp_code", "ticker").write.option("header", True).csv(path)
+def write_code_map(code_map: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """CSV files with a header, values quoted where they need it; on demand with the mark that spreadsheets look for."""
+    columns = ["corp_code", "ticker"]
+    if not byte_order_mark:
+        code_map.select(*columns).write.option("header", True).option("escape", '"').csv(path)
+        return
+    # The mark belongs to the header, so each file's lines are made here and its header put before them.
+    line = F.to_csv(F.struct(*columns), {"escape": '"'}).alias("value")
+    header = "\ufeff" + ",".join(columns)
+    code_map.select(line).mapInPandas(partial(_headed, header), "value string").write.text(path)
+
+
+def _headed(header: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield pd.DataFrame({"value": [header]})
+    yield from batches
 
 
 def read_headlines(spark: SparkSession, path: str) -> DataFrame:
@@ -149,6 +202,43 @@ def days_before(day: dt.date, days: int) -> dt.date:
     return day - dt.timedelta(days=days)
 
 
+def merged_providers(providers: Sequence[DataFrame], names: Sequence[str], tolerance: float = 0.0) -> DataFrame:
+    """One bar per ticker and date from providers in order of precedence, with a record of who disagrees.
+
+    (ticker, date, close, volume, provider, n_providers, missing, conflict): values come whole from the first provider that
+    has a close there, `missing` names the providers without one, `conflict` says that two closes differ by more than
+    `tolerance` of the chosen one. One pre-aggregated pass, no join; a provider that repeats a bar counts with its first
+    close and volume in order.
+    """
+    columns = ["ticker", "date", "close", "volume"]
+    tagged = [p.select(*columns).withColumn("_rank", F.lit(k)) for k, p in enumerate(providers)]
+    value = F.struct("_rank", "close", "volume")
+    merged = (
+        union_sources(*tagged)
+        .where(F.col("close").isNotNull())
+        .groupBy("ticker", "date")
+        .agg(
+            F.min(value).alias("_first"),
+            F.collect_set("_rank").alias("_ranks"),
+            F.min("close").alias("_low"),
+            F.max("close").alias("_high"),
+        )
+    )
+    off = F.greatest(F.col("_high") - F.col("_first.close"), F.col("_first.close") - F.col("_low"))
+    labels = F.array(*[F.lit(n) for n in names])
+    absent = F.filter(labels, lambda _, k: ~F.array_contains("_ranks", k))
+    return merged.select(
+        "ticker",
+        "date",
+        "_first.close",
+        "_first.volume",
+        F.get(labels, F.col("_first._rank")).alias("provider"),
+        F.size("_ranks").alias("n_providers"),
+        F.array_join(absent, ",").alias("missing"),
+        (off > F.lit(tolerance) * F.abs(F.col("_first.close"))).alias("conflict"),
+    )
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Stack frames that arrive from several sources, matching columns by name."""
     first, *rest = frames

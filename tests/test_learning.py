@@ -120,23 +120,80 @@ def test_report_without_predictions_of_a_class(spark):
     assert got["1"] == (0.0, 0.0, 0.0, 1)
 
 
+def _pair_count(y, s):
+    up, down = s[y == 1], s[y == 0]
+    return (up[:, None] > down[None]).mean() + (up[:, None] == down[None]).mean() / 2
+
+
+def _walk(nodes, x):
+    """Mean leaf share over the trees of {tree: {node: row}}, in plain Python."""
+    total = 0.0
+    for tree in nodes.values():
+        at = tree[0]
+        while at.left >= 0:
+            at = tree[at.left if x[at.feature] <= at.bound else at.right]
+        total += at.share
+    return total / len(nodes)
+
+
+def _trees(model):
+    out = {}
+    for row in model.nodes.collect():
+        out.setdefault(row.tree, {})[row.node] = row
+    return out
+
+
 @pytest.mark.parametrize("balance", ["smote", "weight"])
 def test_forest_finds_a_planted_signal(spark, tmp_path, balance):
-    _, df = _rows(spark, 1_500)
+    pdf, df = _rows(spark, 1_500)
     trained = forest.train_forest(
         df, FEATURES, ["key"], n_iter=2, depths=(3, 5), trees=(5, 8), parallelism=2, balance=balance
     )
-    assert trained.cv_auc > 0.8 and trained.auc.first()["auc"] > 0.8
+    assert trained.cv_auc > 0.9 and trained.auc.first()["auc"] > 0.9
     assert trained.report.where("class = 'accuracy'").first()["support"] == trained.holdout.count()
+    assert sorted((r.draw, r.fold) for r in trained.areas.collect()) == [(d, f) for d in range(2) for f in range(3)]
+    held = trained.holdout.toPandas()
+    assert trained.auc.first()["auc"] == pytest.approx(_pair_count(held.target.to_numpy(), held.ml_pred_proba.to_numpy()), abs=1e-12)
     path = str(tmp_path / "model")
-    forest.save_model(trained.model, path)
+    version = forest.save_model(trained.model, path)
     loaded = forest.load_model(path)
-    assert forest.model_features(loaded) == FEATURES
+    assert loaded.features == FEATURES and loaded.depth == trained.model.depth
     instruments = df.withColumnRenamed("key", "ticker")
-    before = forest.score_instruments(trained.model, instruments)
-    assert before.exceptAll(forest.score_instruments(loaded, instruments)).count() == 0
+    scored = {r.ticker: r.ml_pred_proba for r in forest.score_instruments(loaded, instruments).collect()}
+    trees = _trees(trained.model)
+    for row in pdf.itertuples():
+        assert scored[row.key] == pytest.approx(_walk(trees, [row.f0, row.f1, row.f2]), abs=1e-9)
     short = forest.score_instruments(loaded, instruments.drop("f1"))
     assert {r["ml_pred_proba"] for r in short.collect()} == {0.0}
+    # A second version wins; the first can still be named; a version without a marker doesn't exist.
+    other = forest.Forest(trained.model.nodes.where("tree = 0"), FEATURES, trained.model.depth)
+    forest.save_model(other, path)
+    trained.model.nodes.write.parquet(f"{path}/00000009-left-halfway/nodes")
+    assert forest.load_model(path).nodes.select("tree").distinct().count() == 1
+    assert forest.load_model(path, version).nodes.count() == trained.model.nodes.count()
+
+
+def test_walk_equals_the_fitted_model(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    _, df = _rows(spark, 800)
+    rows = forest._assembled(df, FEATURES)
+    fitted = forest._classifier("target", 5, {"numTrees": 12, "maxDepth": 7}).fit(rows)
+    want = fitted.transform(rows).select("key", vector_to_array("probability")[1].alias("p"), F.col("prediction").cast("int").alias("c")).collect()
+    got = {r.key: r for r in forest.predict(forest.forest_of(fitted, FEATURES), df, ["key"]).collect()}
+    for row in want:
+        assert got[row.key].ml_pred_proba == pytest.approx(row.p, abs=1e-12) and got[row.key].prediction == row.c
+
+
+def test_areas_of_groups_equal_pair_counting(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"draw": rng.integers(0, 3, 900), "fold": rng.integers(0, 2, 900), "target": rng.integers(0, 2, 900), "score": rng.integers(0, 40, 900) / 7})
+    pdf.loc[(pdf.draw == 2) & (pdf.fold == 1), "target"] = 1
+    got = {(r.draw, r.fold): r.auc for r in metrics.roc_areas(spark.createDataFrame(pdf), ["draw", "fold"]).collect()}
+    assert len(got) == 6 and got.pop((2, 1)) is None
+    for (d, f), area in got.items():
+        part = pdf[(pdf.draw == d) & (pdf.fold == f)]
+        assert area == pytest.approx(_pair_count(part.target.to_numpy(), part.score.to_numpy()), abs=1e-12)
 
 
 def test_missing_model_is_an_error(spark, tmp_path):

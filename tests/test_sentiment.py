@@ -1,4 +1,9 @@
 import datetime as dt
+import hashlib
+import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +94,36 @@ def test_one_busy_ticker(spark):
     got = sentiment.latest_headlines(heads, AS_OF).groupBy("ticker").agg(F.max("seq").alias("m"), F.count("*").alias("n"))
     hot = got.where("ticker = 'HOT'").first()
     assert (hot["m"], hot["n"]) == (12, 5)
+
+
+def _bayes(told, titles):
+    """Multinomial Bayes over hashed words, in plain Python."""
+    bucket = lambda w: hashlib.md5(w.encode()).hexdigest()[:4]
+    words = lambda t: [bucket(w) for w in re.findall("[a-zà-ÿ]+", (t or "").lower())]
+    counts, rows = {}, Counter(label for _, label in told)
+    for title, label in told:
+        counts.setdefault(label, Counter()).update(words(title))
+    out = []
+    for title in titles:
+        scores = []
+        for label in rows:
+            total = sum(counts[label].values()) + sentiment.TOKEN_BUCKETS
+            scores.append((math.log(rows[label] / len(told)) + sum(math.log((counts[label][b] + 1) / total) for b in words(title)), label))
+        scores.sort(key=lambda s: (-s[0], s[1]))
+        out.append((scores[0][1], scores[0][0] - scores[1][0]))
+    return out
+
+
+def test_learned_words_equal_plain_bayes(spark):
+    rng = random.Random(3)
+    draw = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    good, bad, other = ["up", "gain", "höher", "the"], ["down", "loss", "the"], ["report", "the", "on"]
+    told = [(draw(w, rng.randint(1, 12)).title(), label) for w, label in [(good, "positive"), (bad, "negative"), (other, "neutral")] * 30]
+    told += [(None, "neutral"), ("", "neutral")]
+    titles = [draw(good + bad + other, rng.randint(1, 9)) for _ in range(40)] + [None, "", "unheard of words", "the " * 500]
+    model = sentiment.learn_words(spark.createDataFrame(told, "title string, label string"))
+    asked = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
+    got = {r.seq: (r.label, r.log_odds) for r in sentiment.judged(asked, model).collect()}
+    for i, (label, odds) in enumerate(_bayes(told, titles)):
+        assert got[i][0] == label and got[i][1] == pytest.approx(odds, abs=1e-9)
+    assert sentiment.judged(asked.limit(0), model).count() == 0

@@ -55,18 +55,14 @@ def _expected(close):
     return pd.DataFrame({**out, "macd": macd, "macd_signal": signal, "macd_hist": macd - signal, "target": target})
 
 
-def _compute(frame, by):
-    return series.with_label(series.with_features(frame, by), by)
+COLUMNS = [*series.PRICE_FEATURES, "target"]
 
 
-@pytest.mark.parametrize(
-    "sizes",
-    [{}, {"segment_rows": 1_024, "plain_rows": 100}],
-    ids=["one window per ticker", "segments"],
-)
-def test_features_equal_recursion(spark, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"segment_days": 100, "block_rows": 32}, {"segment_days": 7, "block_rows": 5}, {"segment_days": 5_000}])
+@pytest.mark.parametrize("longest", [None, 3_500])
+def test_features_equal_recursion(spark, sizes, longest):
     pdf, bars = _bars(spark, {"A": 3_500, "B": 61, "C": 15, "D": 1_100, "E": 1})
-    got = series.per_series(bars, _compute, **sizes).toPandas().sort_values(["ticker", "date"])
+    got = series.featured(bars, COLUMNS, longest, **sizes).toPandas().sort_values(["ticker", "date"])
     assert len(got) == len(pdf)
     for ticker, part in got.groupby("ticker"):
         want = _expected(pdf.loc[pdf["ticker"] == ticker, "close"].to_numpy())
@@ -76,48 +72,98 @@ def test_features_equal_recursion(spark, sizes):
             )
 
 
-def test_segments_give_the_same_sequences(spark):
-    _, bars = _bars(spark, {"A": 2_600, "B": 90, "C": 79})
-    plain = seq.labelled(seq.sequences(bars)).select("ticker", "date", "sequence", "target")
-    cut = seq.labelled(seq.sequences(bars, segment_rows=1_024, plain_rows=100)).select(
-        "ticker", "date", "sequence", "target"
-    )
-    counts = {r["ticker"]: r["count"] for r in plain.groupBy("ticker").count().collect()}
-    assert counts == {"A": 2_600 - 79, "B": 11}
-    assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
-
-
-@pytest.mark.parametrize("sizes", [{}, {"segment_rows": 1_024, "plain_rows": 50}])
-def test_history_gate(spark, sizes):
+def test_twenty_thousand_rows_of_one_series_in_sparse_and_dense_segments(spark):
+    """One series far beyond a window of weights: five rows a day, then one a year."""
+    rng = np.random.default_rng(8)
+    start = dt.datetime(1990, 1, 1)
+    times = [start + dt.timedelta(hours=4 * i) for i in range(20_000)] + [dt.datetime(2010 + k, 5, 5) for k in range(40)]
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, len(times))))
+    bars = spark.createDataFrame([("A", t, float(c)) for t, c in zip(times, close, strict=True)], "ticker string, date timestamp, close double")
+    got = series.featured(bars.repartition(6), COLUMNS).toPandas().sort_values("date")
+    want = _expected(close)
+    for c in want.columns:
+        np.testing.assert_allclose(got[c].to_numpy(dtype=float), want[c].to_numpy(dtype=float), rtol=1e-6, atol=1e-9, err_msg=c)
+
+
+def test_sequences_do_not_depend_on_the_segments(spark):
+    pdf, bars = _bars(spark, {"A": 2_600, "B": 90, "C": 79})
+    found = seq.labelled(seq.sequences(bars, segment_days=100)).select("ticker", "date", "sequence", "target").toPandas()
+    assert found.groupby("ticker").size().to_dict() == {"A": 2_600 - 79, "B": 11}
+    found = found.set_index(["ticker", "date"])
+    for ticker, part in pdf.groupby("ticker"):
+        close = part.close.to_numpy()
+        scaled = (close - close.min()) / (close.max() - close.min())
+        for i in range(59, len(close) - 20):
+            row = found.loc[(ticker, part.date.iloc[i])]
+            np.testing.assert_allclose(row.sequence, scaled[i - 59 : i + 1], atol=1e-12)
+            assert row.target == int(scaled[i + 20] > scaled[i])
+
+
+def test_history_gate(spark):
     _, bars = _bars(spark, {"A": 60, "B": 61, "C": 119, "D": 120, "E": 2_100})
     for minimum, kept in ((61, "BCDE"), (120, "DE")):
-        gated = series.per_series(bars, lambda f, by, m=minimum: series.history_gate(f, m, by), **sizes)
-        rows = {r["ticker"]: r["count"] for r in gated.groupBy("ticker").count().collect()}
-        assert sorted(rows) == list(kept) and rows.get("E") == 2_100
+        for gated in (series.history_gate(bars, minimum), series.featured(bars, ["ret_20"], min_rows=minimum, segment_days=50)):
+            rows = {r["ticker"]: r["count"] for r in gated.groupBy("ticker").count().collect()}
+            assert sorted(rows) == list(kept) and rows.get("E") == 2_100
 
 
-def test_features_share_one_exchange(spark):
+def test_bars_are_exchanged_by_segment_only(spark):
+    """Rows move by (ticker, segment); by ticker alone move summaries."""
     _, bars = _bars(spark, {"A": 200, "B": 200})
-    plan = series.with_features(bars)._jdf.queryExecution().executedPlan().toString()
-    initial = plan.split("== Initial Plan ==")[-1]
-    assert initial.count("Exchange hashpartitioning") == 1
-    assert initial.count("Sort [") == 1
+    plan = series.featured(bars, COLUMNS, 200)._jdf.queryExecution().executedPlan().toString()
+    by_ticker = [line for line in plan.splitlines() if "Exchange hashpartitioning(ticker" in line and "_segment" not in line]
+    moved = [line for line in plan.splitlines() if "Sort [ticker" in line and "date" in line and "_segment" not in line]
+    assert by_ticker and not moved
 
 
-def test_long_gaps_are_bridged_by_segments(spark):
-    """Closes missing for longer than the rows copied around a segment: both ways still agree."""
+@pytest.mark.parametrize("segment_days", [100, 2_048])
+def test_long_gaps_are_bridged(spark, segment_days):
+    """Closes missing for many segments: returns use the last known close, indicators wait for the next move."""
     rng = np.random.default_rng(4)
-    rows = []
-    for ticker, gap in (("A", range(1_300, 3_700)), ("B", range(0)), ("C", range(5, 2_500))):
+    rows, want = [], {}
+    for ticker, gap in (("A", range(1_300, 3_700)), ("B", range(0)), ("C", range(5, 2_500)), ("D", range(0, 400))):
         close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 3_900)))
-        rows += [(ticker, DAY + dt.timedelta(days=i), None if i in gap else float(c)) for i, c in enumerate(close)]
+        values = [None if i in gap else float(c) for i, c in enumerate(close)]
+        rows += [(ticker, DAY + dt.timedelta(days=i), c) for i, c in enumerate(values)]
+        want[ticker] = _with_gaps(values)
     bars = spark.createDataFrame(rows, "ticker string, date date, close double").repartition(5)
-    plain = series.per_series(bars, _compute).toPandas().sort_values(["ticker", "date"])
-    cut = series.per_series(bars, _compute, segment_rows=1_024, plain_rows=100).toPandas().sort_values(["ticker", "date"])
-    for c in [*series.PRICE_FEATURES, "target"]:
-        np.testing.assert_allclose(
-            cut[c].to_numpy(dtype=float), plain[c].to_numpy(dtype=float), rtol=1e-7, atol=1e-9, err_msg=c
-        )
+    got = series.featured(bars, COLUMNS, segment_days=segment_days, block_rows=64).toPandas().sort_values(["ticker", "date"])
+    for ticker, part in got.groupby("ticker"):
+        for c in want[ticker].columns:
+            np.testing.assert_allclose(
+                part[c].to_numpy(dtype=float), want[ticker][c].to_numpy(dtype=float), rtol=1e-7, atol=1e-9, err_msg=f"{ticker} {c}"
+            )
+
+
+def _with_gaps(values):
+    """Plain loops over a series with missing closes; a stretch without a move leaves the last RSI standing."""
+    n = len(values)
+    raw = np.array([np.nan if v is None else v for v in values])
+    padded = pd.Series(raw).ffill().to_numpy()
+    out = {c: np.full(n, np.nan) for c in ("ret_20", "ret_60", "rsi_14", "macd", "macd_signal")}
+    fast = slow = signal = 0.0
+    up = down = 0.0
+    known, last = 0, np.nan
+    for i in range(n):
+        for back in (20, 60):
+            if i >= back:
+                out[f"ret_{back}"][i] = padded[i] / padded[i - back] - 1
+        move = raw[i] - raw[i - 1] if i else np.nan
+        up, down = up * 13 / 14, down * 13 / 14
+        if not np.isnan(move):
+            up, down, known = up + max(move, 0.0), down + max(-move, 0.0), known + 1
+            last = 100 * up / (up + down)
+        if known >= 14:
+            out["rsi_14"][i] = last
+        if not np.isnan(padded[i]):
+            fast = fast + padded[i] / 12 if i <= 11 else fast * 11 / 13 + padded[i] * 2 / 13
+            slow = slow + padded[i] / 26 if i <= 25 else slow * 25 / 27 + padded[i] * 2 / 27
+            if i >= 25:
+                out["macd"][i] = fast - slow
+                signal = signal + (fast - slow) / 9 if i <= 33 else signal * 0.8 + (fast - slow) * 0.2
+            if i >= 33:
+                out["macd_signal"][i] = signal
+    return pd.DataFrame(out)
 
 
 def test_range_of_a_long_series(spark):
@@ -131,20 +177,20 @@ def test_a_wrong_bound_is_an_error(spark):
     rows = [("A", DAY + dt.timedelta(days=i), float(1 + i % 9)) for i in range(5_000)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
     with pytest.raises(Exception, match="longer than the bound"):
-        series.per_series(bars, series.with_macd, longest=1_000).collect()
+        series.featured(bars, ["macd"], longest=1, segment_days=30).collect()
 
 
 def test_label_tail_is_zero(spark):
     rows = [("A", DAY + dt.timedelta(days=i), 100 * 1.1**i) for i in range(25)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
-    got = [r["target"] for r in series.with_label(bars).orderBy("date").collect()]
+    got = [r["target"] for r in series.featured(bars, ["target"]).orderBy("date").collect()]
     assert got == [1] * 5 + [0] * 20
 
 
 def test_gap_is_padded_for_returns_only(spark):
     rows = [("A", DAY + dt.timedelta(days=i), None if i == 25 else 100.0 + i) for i in range(50)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
-    got = series.with_volatility(series.with_returns(bars)).orderBy("date").collect()
+    got = series.featured(bars, ["ret_20", "vol_20"], segment_days=10).orderBy("date").collect()
     want = pd.Series([r[2] for r in rows]).ffill().pct_change(20)
     np.testing.assert_allclose([r["ret_20"] for r in got[20:]], want[20:])
     assert [r["vol_20"] is None for r in got] == [True] * 19 + [False] * 6 + [True] * 20 + [False] * 5
@@ -153,7 +199,7 @@ def test_gap_is_padded_for_returns_only(spark):
 def test_constant_series(spark):
     rows = [("A", DAY + dt.timedelta(days=i), 5.0) for i in range(70)]
     bars = spark.createDataFrame(rows, "ticker string, date date, close double")
-    last = series.with_features(bars).orderBy("date").collect()[-1]
+    last = series.featured(bars).orderBy("date").collect()[-1]
     assert (last["rsi_14"], last["vol_20"], last["ret_20"]) == (None, 0.0, 0.0)
     assert seq.with_scaled_close(bars).agg({"scaled": "max"}).first()[0] == 0.0
 
