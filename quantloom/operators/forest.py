@@ -33,6 +33,8 @@ FOLDS = 3
 # Training rows of a fit at most (in expectation): what the neighbour search and a driver-side forest are sized for.
 # Larger training parts are thinned by a hash of the key; every row is still split, held out and scored.
 FIT_ROWS = 16_000_000
+# Rows of one task in a fit: each level of all trees is a job, so a small training part wants few tasks.
+TASK_ROWS = 65_536
 
 
 _NODES = "tree int, node int, feature int, bound double, left int, right int, share double"
@@ -114,6 +116,10 @@ def _assembled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
 
 
+def _tasks(train: DataFrame) -> int:
+    return -(-train.count() // TASK_ROWS) or 1
+
+
 def _classifier(label: str, seed: int, params: dict) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="sqrt", seed=seed, **params)
 
@@ -133,7 +139,7 @@ def search_areas(
     The out-of-fold predictions of all draws go into one long table; all areas come from one grouped pass over it.
     """
     columns = [label, "_fold", *fixed.values()]
-    rows = _assembled(train, features).select("features", *columns)
+    rows = _assembled(train, features).select("features", *columns).coalesce(_tasks(train))
     path = new_path(train.sparkSession, "out-of-fold")
 
     def judge(draw: int, fold: int) -> None:
@@ -199,7 +205,7 @@ def train_forest(
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "target", seed: int = SEED, **params) -> Forest:
     """One forest with the given parameters, as a table."""
-    fitted = _classifier(label, seed, params).fit(_assembled(train, features))
+    fitted = _classifier(label, seed, params).fit(_assembled(train, features).coalesce(_tasks(train)))
     return forest_of(fitted, features)
 
 

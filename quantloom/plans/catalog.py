@@ -513,7 +513,7 @@ def smote_balance(i: Inputs) -> DataFrame:
 
 
 # Rows that the searched forest is fitted on at most (in expectation): the search makes 31 fits on them.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
 _searched: dict[tuple[str, str], tuple[forest.Trained, str]] = {}
 
 
@@ -604,17 +604,27 @@ def tail_split(i: Inputs) -> DataFrame:
     )
 
 
-@query
-def dl_trend_score(i: Inputs) -> DataFrame:
-    """Trend score of every instrument; the classifier learns from the 50 largest ones."""
+def trend_model(i: Inputs) -> tuple[object, DataFrame]:
+    """The sequence classifier of the 50 largest instruments, and its stored samples, the last tenth of them held out."""
     window = i.bars_since(readers.TRAIN_DAYS)
     closes = series.latest(window, ["close"]).withColumnRenamed("close", "last_close")
     chosen = seq.top_by_market_cap(i.tradable, closes)
-    samples = training.sequence_samples(window, chosen, i.as_of)
-    placed = materialise(seq.tail_split(samples), "samples")
-    model = seq.train_sequence_model(placed.where(~F.col("is_tail")), epochs=20)
-    scored = seq.trend_scores(model, seq.newest_sequences(window))
-    return scored.select("ticker", F.coalesce(F.col("dl_trend_score").between(0, 100), F.lit(False)).alias("in_range"))
+    placed = materialise(seq.tail_split(training.sequence_samples(window, chosen, i.as_of)), "samples")
+    return seq.train_sequence_model(placed.where(~F.col("is_tail")), epochs=20), placed
+
+
+@query
+def dl_trend_score(i: Inputs) -> DataFrame:
+    """Trend score of every instrument; the classifier learns from the 50 largest ones."""
+    model, _ = trend_model(i)
+    return seq.trend_scores(model, seq.newest_sequences(i.bars_since(readers.TRAIN_DAYS)))
+
+
+@query
+def trend_accuracy(i: Inputs) -> DataFrame:
+    """Share of right predictions on the held-out tail of the samples."""
+    model, placed = trend_model(i)
+    return seq.sequence_accuracy(model, placed.where("is_tail"))
 
 
 # --- news --------------------------------------------------------------------------------------

@@ -545,9 +545,6 @@ ORACLES = {
         UNION ALL SELECT target, true, many - few FROM counted, ends WHERE n = few AND few < many""",
         HISTORY,
     ),
-    "dl_trend_score": _sql(
-        "SELECT ticker, true AS in_range FROM train_bars GROUP BY ticker HAVING count(close) >= 60"
-    ),
     "top_market_cap": _sql(_LAST_CLOSES),
     "minmax_by_ticker": _sql(f"SELECT ticker, date, {_r(6, 'scaled')} FROM scaled_bars", SAMPLES),
     "sequences_60": _sql(

@@ -15,12 +15,16 @@ def con():
     return connect(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+# What is learned has no SQL: tests/test_learned_queries.py recomputes it in plain Python.
+LEARNED = {"forest_search", "forest_holdout", "ml_score", "ml_ranking", "dl_trend_score", "trend_accuracy"}
+
+
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - LEARNED == set(ORACLES)
     assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     got = QUERIES[name](spark, SF_DIR).toPandas()
     assert differences(got, con.execute(ORACLES[name]).df()) == ""
