@@ -8,19 +8,22 @@ Three steps, each grouping by the full content beside its digest:
    documents share is spread over `salts` tasks;
 3. the winners of the salts, at most `salts` rows for a text, are combined for the whole corpus.
 
-A document finds its group again by (digest, second hash, length, salt), never by the digest alone: that join is as
-spread as step 2. No text is collected, and no list of ids is built.
+In `exact_groups` a document then looks up its group by (digest, second hash, length, salt): a lookup, not a combining
+stage, as spread as step 2. `deduplicated` first counts hashes of texts (8 bytes each) and marks those that occur twice in
+a bit map of fixed size; only marked rows go through the steps above, which carry the winner's row along, and all other
+rows stay where they are. No text is collected, and no list of ids is built.
 
 Defined cases: a NULL id never wins against another id (all rows of a group stay when every id is NULL); rows that
-repeat the winner's id are all marked as kept, and `deduplicated` returns one of them; an empty table gives no rows;
-other columns of the input never clash with the operator's own, for they travel in a struct or not at all.
+repeat the winner's id are all marked as kept, and `deduplicated` returns one of them, always the same; an empty table
+gives no rows; two hashes on one bit only cost work; other columns of the input never clash with the operator's own, for they travel in a struct or not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm.marks import marks_of, with_mark
 from quantloom.llm.text import one_spaced, packed
 
 SALTS = 64
@@ -70,16 +73,28 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
+def _hash(text: Column) -> Column:
+    return F.xxhash64(one_spaced(text))
+
+
 def deduplicated(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one per text, that with the smallest id."""
-    groups = exact_groups(docs, salts)
-    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"))
-    rows = docs.select(
-        packed(docs.columns, "row"),
-        F.col("doc_id").alias("row_id"),
-        F.sha2(one_spaced(F.col("text")), 256).alias("digest"),
-    )
-    found = rows.join(
-        kept, F.col("row_id").eqNullSafe(F.col("kept_id")) & (rows["digest"] == kept["digest"]), "left_semi"
+    counted = docs.groupBy(_hash(F.col("text")).alias("hashed")).agg(F.count("*").alias("n"))
+    marks = marks_of(counted.where("n > 1"), "hashed")
+    met = with_mark(docs.select(packed(docs.columns, "row")), _hash(F.col("row.text")), marks)
+    single = met.where(~F.col("marked")).select("row.*")
+
+    body = one_spaced(F.col("row.text"))
+    same = F.coalesce(F.col("row.text") == F.col("body"), F.lit(False))
+    # The text travels once where it is its own normal form.
+    rest = F.struct(*[(F.when(~same, F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    first = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.xxhash64("row").alias("tie"))
+    candidates = (
+        met.where("marked")
+        .select("row", body.alias("body"))
+        .select("body", F.sha2("body", 256).alias("digest"), F.pmod(F.xxhash64("row.doc_id"), F.lit(salts)).alias("salt"), first.alias("first"), F.struct(rest.alias("rest"), same.alias("same")).alias("kept"))
     )
-    return found.dropDuplicates(["row_id", "digest"]).select("row.*")
+    winner = lambda df, *key: df.groupBy("digest", *key, "body").agg(F.min_by("kept", "first").alias("kept"), F.min("first").alias("first"))
+    whole = winner(winner(candidates, "salt"))
+    columns = [(F.when(F.col("kept.same"), F.col("body")).otherwise(F.col("kept.rest.text")) if c == "text" else F.col(f"kept.rest.`{c}`")).alias(c) for c in docs.columns]
+    return single.unionByName(whole.select(*columns))
