@@ -42,7 +42,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return found.select("row.doc_id", *counts, "base_failed", F.round("ratio", 6).alias("ratio"), "kept")
+    return found.select("row.doc_id", *counts, "base_failed", (F.round("ratio", 6) + F.lit(0.0)).alias("ratio"), "kept")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

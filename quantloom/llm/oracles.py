@@ -6,22 +6,36 @@ from quantloom.llm.licenses import KEYWORDS, RULES, SENTENCES
 
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"""
 
-#: Word and pair counts in hashed buckets, trusted against all, and the base counts by plain relations.
+#: CRC-32 by its table: of `w`, whose bytes are read from the hexadecimal digits of its UTF-8 form.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT i FROM range(256) AS r(i)))"""
+_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+#: Word and pair counts in hashed buckets, trusted (without the judged text) against all, and the base counts by plain relations.
 OP2 = rf"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+WITH {_CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 word AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM docs),
-hashed AS (SELECT r, i, w, ('0x' || substr(md5(w), 1, 4))::BIGINT AS h FROM word),
-paired AS (SELECT *, lead(h) OVER p AS h2, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM hashed WINDOW p AS (PARTITION BY r ORDER BY i)),
+spelt AS (SELECT w, {_CRC} % 65536 AS h FROM (SELECT DISTINCT w FROM word), crc_table),
+tongue AS (SELECT w AS lang, {_CRC} % 4096 AS tongue FROM (SELECT DISTINCT lang AS w FROM docs), crc_table),
+paired AS (
+  SELECT r, i, word.w, h, lead(h) OVER p AS h2, lead(word.w, 1) OVER p AS w2, lead(word.w, 2) OVER p AS w3
+  FROM word JOIN spelt USING (w) WINDOW p AS (PARTITION BY r ORDER BY i)),
 gram AS (SELECT r, h AS b FROM paired UNION ALL SELECT r, (h * 31 + h2) % 65536 + 65536 FROM paired WHERE h2 IS NOT NULL),
-trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-counted AS (
-  SELECT b, count(*) AS raw, count(t.doc_id) AS target
-  FROM gram JOIN docs USING (r) LEFT JOIN trusted t ON docs.doc_id = t.doc_id GROUP BY b),
-total AS (SELECT coalesce(sum(raw), 0)::BIGINT AS raw, coalesce(sum(target), 0)::BIGINT AS target FROM counted),
-weight AS (
-  SELECT b, ln((c.target * (t.raw + 131072)::DOUBLE / (c.raw + 1) + 131072.0) / (t.target + 131072.0)) AS v
-  FROM counted c, total t),
-ratio AS (SELECT r, sum(v) / count(*) AS ratio FROM gram JOIN weight USING (b) GROUP BY r),
+trusted AS (SELECT DISTINCT r FROM docs JOIN labels USING (doc_id) WHERE quality = 1),
+own AS (SELECT r, b, count(*) AS c, t.r IS NOT NULL AS is_target FROM gram LEFT JOIN trusted t USING (r) GROUP BY ALL),
+counted AS (SELECT b, sum(c) AS raw, coalesce(sum(c) FILTER (is_target), 0) AS target FROM own GROUP BY b),
+total AS (SELECT coalesce(sum(raw), 0)::DOUBLE AS raw, coalesce(sum(target), 0)::DOUBLE AS target FROM counted),
+length AS (SELECT r, sum(c) AS n FROM own GROUP BY r),
+weight AS (SELECT b, c.raw, c.target, ln((c.target / greatest(t.target, 1) * t.raw / c.raw + 0.1) / 1.1) AS v FROM counted c, total t),
+means AS (
+  SELECT tongue, sum(c * v) / sum(c) AS mean
+  FROM own JOIN weight USING (b) JOIN docs USING (r) JOIN tongue USING (lang) GROUP BY tongue),
+ratio AS (
+  SELECT r, sum(c * CASE WHEN is_target THEN ln(((w.target - c) / greatest(t.target - n, 1) * t.raw / w.raw + 0.1) / 1.1) ELSE v END) / any_value(n) AS ratio
+  FROM own JOIN weight w USING (b) JOIN length USING (r), total t GROUP BY r),
 window3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM paired WHERE w3 IS NOT NULL),
 repeated AS (
   SELECT r, count(DISTINCT i + k) AS n FROM window3, (VALUES (0), (1), (2)) AS step(k) WHERE n > 1 GROUP BY r),
@@ -30,11 +44,11 @@ dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_match
 base AS (
   SELECT docs.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(ratio, 0) AS ratio
-  FROM docs LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN ratio USING (r)),
+    coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(ratio - mean, 0) AS ratio
+  FROM docs JOIN tongue USING (lang) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN ratio USING (r) LEFT JOIN means USING (tongue)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(ratio, 6) AS ratio,
-  NOT base_failed AND ratio >= -0.2 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(ratio, 6) + 0.0 AS ratio,
+  NOT base_failed AND ratio >= -0.25 AS kept
 FROM judged
 """
 
@@ -144,12 +158,6 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM body JOIN same USING (b)
 """
 
-#: CRC-32 by its table: of `w`, whose bytes are read from the hexadecimal digits of its UTF-8 form.
-_CRC_TABLE = """crc_table AS (
-  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM (SELECT i FROM range(256) AS r(i)))"""
-_CRC = """xor(list_reduce([4294967295] || list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT),
-  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
 _PLAIN_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
