@@ -1,15 +1,16 @@
 """License scans by sentence-rule recognition, on built-in functions only.
 
-A text is cut into pieces at line ends and behind closing punctuation. Pieces that one sentence was wrapped into are
-joined: a sentence ends with closing punctuation, at a line without ASCII letters and digits, and before a line that opens
+A text is cut into pieces at line ends and behind closing punctuation (but not behind the colon of a license tag or the
+point of "v. 2.0"). Pieces that one sentence was wrapped into are joined: a sentence ends with closing punctuation, at a line without ASCII letters and digits, and before a line that opens
 a known sentence. What may speak of a license is normalised and mapped to known identifiers. A joined sentence that is
 known counts as one, unless a piece of it is known as something else; else its pieces count each. The identifiers of a document, in order, are matched against ordered
 rules: a rule that finds its sequence takes those identifiers out and adds its license, so that longer rules win
-over the shorter ones behind them. All of it happens inside the row: no shuffle, no join.
+over the shorter ones behind them. A license tag gives one identifier for each license of its expression, whatever joins them. All of it happens inside the row: no shuffle, no join.
 
 Defined cases: NULL and empty texts have no sentences and no license; a sentence that speaks of a license but is not
 known counts as unknown and breaks sequences; each license is named once, in rule order; repeated rows get the same
-result; an empty table gives no rows.
+result; an empty table gives no rows; a very long text is cut and matched inside its row, a text without any keyword not at
+all; of overlapping rules the first in order takes its identifiers; extra columns are ignored under any name.
 """
 
 from __future__ import annotations
@@ -25,11 +26,6 @@ KEYWORDS = "licen[cs]|copyright|warrant|redistribut|permission|public domain|spd
 #: Identifier and the pattern of the whole normalised sentence; the first that fits counts.
 SENTENCES = [
     ("copyright", r"(?:c )?copyright .*|.*all rights reserved"),
-    ("spdx-mit", r"spdx license identifier mit"),
-    ("spdx-apache-2.0", r"spdx license identifier apache 2 0"),
-    ("spdx-bsd-3", r"spdx license identifier bsd 3 clause"),
-    ("spdx-gpl-2.0", r"spdx license identifier gpl 2 0(?: only)?"),
-    ("spdx-gpl-3.0", r"spdx license identifier gpl 3 0(?: only)?"),
     ("mit-name", r"(?:(?:this .* is )?(?:released|licensed|distributed|available) under )?the mit license"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy .*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included .*"),
@@ -69,19 +65,14 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-2-name", "apache-2-comply"]),
     ("Apache-2.0", ["apache-2-name"]),
-    ("Apache-2.0", ["spdx-apache-2.0"]),
     ("MIT", ["mit-name"]),
-    ("MIT", ["spdx-mit"]),
-    ("BSD-3-Clause", ["spdx-bsd-3"]),
     ("GPL-2.0-or-later", ["gpl-2-later"]),
     ("GPL-3.0-or-later", ["gpl-3-later"]),
     ("LGPL-2.1", ["lgpl-2.1"]),
     ("LGPL-3.0", ["lgpl-3"]),
     ("AGPL-3.0", ["agpl-3"]),
     ("GPL-2.0", ["gpl-2"]),
-    ("GPL-2.0", ["spdx-gpl-2.0"]),
     ("GPL-3.0", ["gpl-3"]),
-    ("GPL-3.0", ["spdx-gpl-3.0"]),
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -122,6 +113,29 @@ MORE_SENTENCES = [
     ("gpl-copy", r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with this (?:program|library|software).*"),
     ("gpl-address", r"if not (?:see|write to) .*"),
     ("bsd-endorse", r"nor the names? of .* may be used to endorse .*"),  # behind "Neither the name of X Inc."
+    ("no-liability", r"in no event will the authors? be held liable .*"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications .*"),
+    ("mit-name", r"(?:.* )?(?:released|licensed|distributed|available) under (?:the terms of )?the mit license(?: mit)?(?: see .*)?"),
+    ("mit-name", r"(?:the )?mit license see .*"),
+    ("apache-2-name", r"(?:or|and)(?: at your option)? the apache license version 2 0"),
+    ("apache-2-name", r"(?:.* )?(?:released|licensed|distributed|available) under (?:the terms of )?(?:the )?apache (?:license )?(?:version |v )?2 0(?: license)?(?: see .*)?"),
+    ("cc-by-sa-4", r"(?:.*licensed under )?(?:a |the )?creative commons attribution sharealike 4 0(?: international)?(?: public)?(?: license)?"),
+    ("cc-by-nc-4", r"(?:.*licensed under )?(?:a |the )?creative commons attribution noncommercial 4 0(?: international)?(?: public)?(?: license)?"),
+    ("cc-by-4", r"(?:.*licensed under )?(?:a |the )?creative commons attribution 4 0(?: international)?(?: public)?(?: license)?"),
+    ("lgpl-3-later", r"(?:.* )?gnu lesser general public license v ?3(?: 0)? or later"),
+    ("agpl-3-later", r"(?:.* )?gnu affero general public license v ?3(?: 0)? or later"),
+    ("gpl-2-later", r"(?:.* )?gnu general public license v ?2(?: 0)? or later"),
+    ("gpl-3-later", r"(?:.* )?gnu general public license v ?3(?: 0)? or later"),
+    ("lgpl-2.1", r"(?:.* )?gnu lesser general public license v ?2 1(?: only)?"),
+    ("lgpl-3", r"(?:.* )?gnu lesser general public license v ?3(?: 0)?(?: only)?"),
+    ("agpl-3", r"(?:.* )?gnu affero general public license v ?3(?: 0)?(?: only)?"),
+    ("gpl-2", r"(?:.* )?gnu general public license v ?2(?: 0)?(?: only)?"),
+    ("gpl-3", r"(?:.* )?gnu general public license v ?3(?: 0)?(?: only)?"),
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license (?:v |v|version )2 0"),
+    ("epl-2", r".*eclipse public license (?:v |v|version )?2 0.*"),
+    ("epl-1", r".*eclipse public license (?:v |v|version )?1 0.*"),
+    ("boost-name", r"(?:.* )?boost software license version 1 0.*"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("liability-theory", r"or business interruption however caused and on any theory of liability .*"),
 ]
 
@@ -139,23 +153,70 @@ MORE_RULES = [
     ("BSD-3-Clause", ["bsd-3-name"]),
     ("BSD-2-Clause", ["bsd-2-name"]),
     ("ISC", ["isc-name"]),
+    ("Zlib", ["as-is", "no-liability", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("EPL-2.0", ["epl-2"]),
+    ("EPL-1.0", ["epl-1"]),
+    ("BSL-1.0", ["boost-name"]),
+    ("Unlicense", ["unlicense"]),
 ]
 
+#: Licenses that a tag may name, under names of their own.
+SPDX = (
+    "0BSD AFL-3.0 Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 "
+    "CC0-1.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 ISC MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL "
+    "PostgreSQL Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1 AGPL-3.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0"
+).split()
+#: Of these a tag says `-only` (or nothing), or `-or-later` (or +).
+LATER = ("AGPL-", "GPL-", "LGPL-")
+#: Lower-case names in tags, and the license that each stands for.
+TAGS = {
+    name.lower(): license_name
+    for base in SPDX
+    for name, license_name in (
+        [(base, base), (f"{base}-only", base), (f"{base}-or-later", f"{base}-or-later"), (f"{base}+", f"{base}-or-later")]
+        if base.startswith(LATER)
+        else [(base, base), (f"{base}+", base)]
+    )
+}
+TAG_RULES = [(license_name, [f"spdx-{name}"]) for name, license_name in TAGS.items()]
+ALL_RULES = RULES + MORE_RULES + TAG_RULES
+
 #: What a normalised line begins with if a sentence of its own begins there.
 OPENINGS = (
-    r"(?:c )?copyright (?!notice|holder|owner|law|licen|and |or |statement)|permission (?:is hereby granted|to use copy)|"
+    r"permission (?:is hereby granted|to use copy)|"
     r"(?:[0-9] )?redistributions? (?:and use in source|of source code|in binary form)|(?:[0-9] )?neither the name of|"
     r"the above copyright notice and this permission notice|(?:this|the) software is provided|in no event shall|spdx license|"
     r"all rights reserved|unless required by applicable law|(?:this .* is )?(?:released|licensed|distributed|available) under (?:the (?:mit|apache|gnu|mozilla)|a |cc )"
 )
 
+#: How a line of a copyright begins, and what is none for all that.
+COPYRIGHT, NO_COPYRIGHT = r"(?:c )?copyright ", r"(?:c )?copyright (?:notice|holder|owner|law|licen|and |or |statement)"
+
+#: A license tag, the expression behind it, an exception in that, and what joins its licenses.
+TAG = r"(?i)spdx-license-identifier"
+EXPRESSION = TAG + r"[: \t]+([A-Za-z0-9.+() -]+)"
+EXCEPTION, JOINT = r"(?i)\s+with\s+[A-Za-z0-9.-]+", r"(?i)\s+(?:and|or)\s+|[()\s]+"
+#: What isn't cut: the colon of a tag, the point of an abbreviated version.
+UNCUT = ((TAG + r":[ \t]*", "SPDX-License-Identifier "), (r"\b([vV]|[vV]ers?)\.[ \t]+([0-9])", "{1} {2}"))
+
 UNKNOWN = "unknown"
 #: Before a piece that begins a sentence, and before one that goes on with it.
 BEGINS, GOES_ON = "\x01", "\x02"
 
 
 def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(whole(text), r"([.!?;:])[ \t]+", "$1\n"), "\n")
+    kept = whole(text)
+    for pattern, whole_form in UNCUT:
+        kept = F.regexp_replace(kept, pattern, whole_form.format("", "$1", "$2"))
+    return F.split(F.regexp_replace(kept, r"([.!?;:])[ \t]+", "$1\n"), "\n")
+
+
+def _tagged(sentence: Column) -> Column:
+    """Identifiers of the licenses in a tag's expression."""
+    names = F.split(F.regexp_replace(F.regexp_extract(sentence, EXPRESSION, 1), EXCEPTION, ""), JOINT)
+    known = F.create_map(*[F.lit(x) for name in TAGS for x in (name, f"spdx-{name}")])
+    return F.transform(F.array_remove(names, ""), lambda n: F.coalesce(F.try_element_at(known, F.lower(n)), F.lit(UNKNOWN)))
 
 
 def normalised(sentence: Column) -> Column:
@@ -181,6 +242,7 @@ def _marked(pieces: str) -> Column:
             | ~before.rlike("[a-zA-Z0-9]")
             | ~piece.rlike("[a-zA-Z0-9]")
             | normalised(piece).rlike(f"^(?:{OPENINGS})")
+            | (normalised(piece).rlike(f"^{COPYRIGHT}") & ~normalised(piece).rlike(f"^{NO_COPYRIGHT}"))
         )
         return F.concat(F.when(begins, BEGINS).otherwise(GOES_ON), F.translate(piece, BEGINS + GOES_ON, "  "))
 
@@ -201,7 +263,7 @@ def _identifiers(sentence: Column) -> Column:
         fits = F.forall(b["each"], lambda i: i.isin(UNKNOWN, "copyright") | (i == b["known"]) | (F.concat(i, F.lit("-later")) == b["known"]))
         return F.when(~b["known"].isin(UNKNOWN, "copyright") & fits, F.array(b["known"])).otherwise(b["each"])
 
-    return F.flatten(F.transform(both, chosen))
+    return F.when(joined.rlike(TAG), _tagged(joined)).otherwise(F.flatten(F.transform(both, chosen)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -212,7 +274,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     spoken = F.filter(F.split("marked", BEGINS), lambda s: F.translate(s, GOES_ON, " ").rlike(f"(?i){KEYWORDS}"))
     found = marked.select("doc_id", F.flatten(F.transform(spoken, _identifiers)).alias("sentence_ids"))
     rules = F.array(
-        *[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in RULES + MORE_RULES]
+        *[F.struct(F.lit(name).alias("license"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids")) for name, ids in ALL_RULES]
     )
     start = F.struct(
         F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">")))).alias("left"),

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from quantloom.llm.licenses import KEYWORDS, RULES, SENTENCES
+from quantloom.llm.licenses import (
+    ALL_RULES,
+    COPYRIGHT,
+    EXCEPTION,
+    EXPRESSION,
+    JOINT,
+    KEYWORDS,
+    MORE_SENTENCES,
+    NO_COPYRIGHT,
+    OPENINGS,
+    SENTENCES,
+    TAG,
+    TAGS,
+    UNCUT,
+)
 
 _WORDS = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"""
 
@@ -90,21 +104,48 @@ SELECT doc_id, any_value(n) AS n_shingles, min(c) AS component_id, coalesce(any_
 FROM sized JOIN reach ON id = doc_id LEFT JOIN links ON x = doc_id GROUP BY doc_id
 """
 
-_IDENTIFIER = "CASE " + " ".join(f"WHEN regexp_full_match(s, '(?:{p})') THEN '{i}'" for i, p in SENTENCES) + " ELSE 'unknown' END"
+_IDENTIFIER = "CASE " + " ".join(f"WHEN regexp_full_match({{s}}, '(?:{p})') THEN '{i}'" for i, p in SENTENCES + MORE_SENTENCES) + " ELSE 'unknown' END"
 _RULE_ROWS = ", ".join(
-    f"({k}, '{name}', '{''.join(f'<{i}>' for i in ids)}')" for k, (name, ids) in enumerate(RULES, start=1)
+    f"({k}, '{name}', '{''.join(f'<{i}>' for i in ids)}')" for k, (name, ids) in enumerate(ALL_RULES, start=1)
 )
+_NORMAL = "trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+_UNCUT = "coalesce(text, '')"
+for _pattern, _form in UNCUT:
+    _UNCUT = f"regexp_replace({_UNCUT}, '{_pattern}', '{_form.format('', chr(92) + '1', chr(92) + '2')}', 'g')"
+_TAGS = ", ".join(f"'{name}'" for name in TAGS)
 
+#: Pieces as rows, sentences as runs of pieces, each named as a whole or piece by piece.
 OP6 = rf"""
 WITH RECURSIVE cut AS (
-  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS ss
+  SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace({_UNCUT}, '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS ss
   FROM documents),
-spoken AS (
-  SELECT r, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s
-  FROM (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM cut) WHERE regexp_matches(s, '(?i){KEYWORDS}')),
-named AS (SELECT r, i, {_IDENTIFIER} AS id FROM spoken),
+piece AS (SELECT r, unnest(ss) AS p, generate_subscripts(ss, 1) AS i FROM cut),
+beside AS (SELECT *, lag(p) OVER (PARTITION BY r ORDER BY i) AS before, {_NORMAL.format(s="p")} AS plain FROM piece),
+begun AS (
+  SELECT *, before IS NULL OR regexp_matches(before, '[.!?;:]["'')\]]*[ \t\r]*$') OR NOT regexp_matches(before, '[a-zA-Z0-9]')
+      OR NOT regexp_matches(p, '[a-zA-Z0-9]') OR regexp_matches(plain, '^(?:{OPENINGS})')
+      OR (regexp_matches(plain, '^{COPYRIGHT}') AND NOT regexp_matches(plain, '^{NO_COPYRIGHT}')) AS begins
+  FROM beside),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY r ORDER BY i) AS s FROM begun),
+sentence AS (SELECT r, s, string_agg(p, ' ' ORDER BY i) AS whole, count(*) AS pieces FROM numbered GROUP BY r, s),
+spoken AS (SELECT *, {_NORMAL.format(s="whole")} AS plain, regexp_matches(whole, '{TAG}') AS is_tag FROM sentence WHERE regexp_matches(whole, '(?i){KEYWORDS}')),
+known AS (SELECT r, s, CASE WHEN pieces > 1 THEN {_IDENTIFIER.format(s="plain")} ELSE 'unknown' END AS known, is_tag FROM spoken),
+each AS (
+  SELECT n.r, n.s, i, {_IDENTIFIER.format(s="plain")} AS id
+  FROM numbered n JOIN known k ON k.r = n.r AND k.s = n.s WHERE NOT is_tag AND regexp_matches(p, '(?i){KEYWORDS}')),
+fitting AS (
+  SELECT k.r, k.s, known NOT IN ('unknown', 'copyright') AND coalesce(bool_and(id IN ('unknown', 'copyright', known) OR id || '-later' = known), true) AS fits
+  FROM known k LEFT JOIN each e ON e.r = k.r AND e.s = k.s WHERE NOT is_tag GROUP BY k.r, k.s, known),
+tag AS (
+  SELECT r, s, unnest(names) AS name, generate_subscripts(names, 1) AS i FROM (
+    SELECT r, s, list_filter(regexp_split_to_array(regexp_replace(regexp_extract(whole, '{EXPRESSION}', 1), '{EXCEPTION}', '', 'g'), '{JOINT}'), lambda x: x <> '') AS names
+    FROM spoken WHERE is_tag)),
+named AS (
+  SELECT k.r, k.s, 0 AS i, known AS id FROM known k JOIN fitting f ON f.r = k.r AND f.s = k.s WHERE fits
+  UNION ALL SELECT e.r, e.s, i, id FROM each e JOIN fitting f ON f.r = e.r AND f.s = e.s WHERE NOT fits
+  UNION ALL SELECT r, s, i, CASE WHEN lower(name) IN ({_TAGS}) THEN 'spdx-' || lower(name) ELSE 'unknown' END FROM tag),
 sequence AS (
-  SELECT r, string_agg(id, ',' ORDER BY i) AS ids, string_agg('<' || id || '>', '' ORDER BY i) AS tags, count(*) FILTER (id = 'unknown') AS n_unknown
+  SELECT r, string_agg(id, ',' ORDER BY s, i) AS ids, string_agg('<' || id || '>', '' ORDER BY s, i) AS tags, count(*) FILTER (id = 'unknown') AS n_unknown
   FROM named GROUP BY r),
 rule(k, license, pattern) AS (VALUES {_RULE_ROWS}),
 tried(r, k, tags, found) AS (
@@ -114,7 +155,7 @@ tried(r, k, tags, found) AS (
     CASE WHEN contains(t.tags, pattern) AND NOT list_contains(found, license) THEN list_append(found, license) ELSE found END
   FROM tried t JOIN rule ON rule.k = t.k + 1)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses, coalesce(n_unknown, 0)::BIGINT AS n_unknown
-FROM cut LEFT JOIN sequence USING (r) LEFT JOIN (SELECT * FROM tried WHERE k = {len(RULES)}) USING (r)
+FROM cut LEFT JOIN sequence USING (r) LEFT JOIN (SELECT * FROM tried WHERE k = {len(ALL_RULES)}) USING (r)
 """
 
 OP8 = r"""
