@@ -8,6 +8,17 @@ slots vary: content, unless they stand in a part of the page that is no article
 notices, comments and so on). Pages of layouts that have too few pages of their own are aligned with one reference for
 the whole host, and for these a leaf must recur in most pages of the host.
 
+Chrome is named by the markup: by tag and role, or by a class or id of which the whole token says so (`site-nav`,
+`cookie-notice`, `related-posts`; not `has-sidebar`, `ad-hoc` or `share-title`). Paragraphs, headings and items inside an
+article are never chrome by a class, nothing that holds an article or main element is, and neither is a form or a named
+part that holds most of a page whose other text is next to nothing. Of several articles the one with most of their text
+counts alone.
+
+Lists of children are aligned in bounded memory: equal subtrees at both ends match, subtrees that occur once on both sides
+anchor the rest, and what lies between anchors is aligned by dynamic programming with one byte for each cell, up to
+`CELLS` cells; a larger stretch between two anchors is matched in order, kind by kind. So a page takes memory in proportion
+to its size, and time but for `CELLS` cells for each stretch; what isn't matched is merely no template, no text is lost.
+
 First pass: each page gets its layout and is stored with it. Second pass: each page is aligned and says which leaves
 of the reference it repeats; copies of a page count once, so a group of equal pages can't turn its article into
 template. Third pass: pages that have a template are aligned again and lose it. The join with the references is a
@@ -17,7 +28,8 @@ large host.
 Defined cases: NULL or empty html, and pages without any text, give an empty text, are no reference and don't count as
 pages of their host; a NULL or unreadable url puts the page with the other pages
 without a host; a NULL page_id is an ordinary row and is taken as reference last; hosts with fewer than `LEAST_PAGES`
-different pages have no template; repeated rows get the same text; an empty table gives no rows.
+different pages have no template; repeated rows get the same text; an empty table gives no rows; very long pages, pages of
+very many siblings or levels and broken or endless tags are read in one pass; extra columns are ignored under any name.
 """
 
 from __future__ import annotations
@@ -27,7 +39,9 @@ import html as entities
 import re
 import sys
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -43,6 +57,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SMALL_BYTES = 64 << 20
 #: Different pages of a layout or host from which a template is induced, and the share of them that must repeat a leaf.
 LEAST_PAGES, SHARE = 5, 0.8
+#: Cells of a table of child lists at most.
+CELLS = 1 << 20
 #: Stands for the whole host in the place of a layout.
 ANY_LAYOUT = 0
 
@@ -52,7 +68,7 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-SILENT = set("script style title textarea noscript template iframe object svg canvas math select button audio video".split())
+SILENT = set("script style title textarea noscript template iframe object svg canvas select button audio video".split())
 #: Start tags that end an open element of one of these kinds.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 HOLDERS = set("table ul ol dl td th div section article body".split())
@@ -65,34 +81,87 @@ CHROME_WORDS = set(
     "signup login comment comments disqus respond related recommended share sharing social widget pagination pager toolbar".split()
 )
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Parts of a name before which a chrome word says what the element has, not what it is.
+HAVING = set("has no with without is not".split())
+#: Last parts of a name that make its first part say what the element is.
+HOLDING = set(
+    "area bar block box buttons button container content feed form group header holder icons inner items links list panel posts row "
+    "section slot stories text unit wrap wrapper zone".split()
+)
+#: Elements of running text: inside an article no class makes them chrome.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
+
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 NAMING = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-CUT_TAG = re.compile(r"<[a-zA-Z/!][^>]*\Z")
+_MARKS = re.compile(r"""[>"']""")
 
 
 class Node:
     """A block-level element, or a run of text without a tag of its own (tag `#text`)."""
 
-    __slots__ = ("tag", "chrome", "children", "text", "place", "template")
+    __slots__ = ("tag", "chrome", "children", "text", "place", "template", "mark", "weight")
 
     def __init__(self, tag: str, chrome: bool = False):
         self.tag, self.chrome, self.children, self.text, self.place, self.template = tag, chrome, [], "", -1, False
+        self.mark, self.weight = 0, 0.0
+
+
+def _names_chrome(token: str) -> bool:
+    parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower())
+    if not parts or parts[0] in HAVING:
+        return False
+    return parts[-1] in CHROME_WORDS or (parts[0] in CHROME_WORDS and parts[-1] in HOLDING)
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
-    words: set[str] = set()
+    names: list[str] = []
     for kind, *values in NAMING.findall(attributes):
-        found = set(re.findall(r"[a-z]+", "".join(values).lower()))
         if kind.lower() == "role":
-            if found & CHROME_ROLES:
+            if set("".join(values).lower().split()) & CHROME_ROLES:
                 return True
         else:
-            words |= found
+            names += "".join(values).split()
     if tag == "article":
-        return in_article and "comment" in words
-    return tag in CHROME_TAGS or (tag == "header" and not in_article) or bool(words & CHROME_WORDS)
+        return in_article and any("comment" in n.lower() for n in names)
+    if tag in CHROME_TAGS or (tag == "header" and not in_article):
+        return True
+    return not (in_article and tag in TEXTUAL) and any(map(_names_chrome, names))
+
+
+class _Tags:
+    """Tags of a page one after the other, in one pass however broken they are."""
+
+    def __init__(self, page: str):
+        self.page, self.unquoted = page, set()
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, `/` of an end tag, name, attributes) of the first tag from `at` on; comments have no name."""
+        found = START.search(self.page, at)
+        if found is None:
+            return None
+        begin, inside = found.start(), found.end()
+        if found[2] is None:
+            comment = self.page.startswith("<!--", begin)
+            end = self.page.find("-->" if comment else ">", inside)
+            return begin, len(self.page) if end < 0 else end + (3 if comment else 1), "", "", ""
+        end = self._end(inside)
+        return begin, end, found[1], found[2].lower(), self.page[inside : end - 1]
+
+    def _end(self, at: int) -> int:
+        """Behind the tag's `>`, which isn't one between quotes, unless a quote is never closed; an open tag ends the page."""
+        now = at
+        while True:
+            mark = _MARKS.search(self.page, now)
+            if mark is None:
+                return len(self.page) + 1
+            if mark[0] == ">":
+                return mark.end()
+            closing = -1 if mark[0] in self.unquoted else self.page.find(mark[0], mark.end())
+            if closing < 0:
+                self.unquoted.add(mark[0])  # none is closed from here on
+            now = mark.end() if closing < 0 else closing + 1
 
 
 def parse(page: str) -> Node:
@@ -100,8 +169,8 @@ def parse(page: str) -> Node:
     root = Node("#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]
     holder, run = root, []
-    articles = 0
-    page = CUT_TAG.sub("", page)
+    open_tags: Counter[str] = Counter()
+    tags = _Tags(page)
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(run)).split())
@@ -112,29 +181,29 @@ def parse(page: str) -> Node:
             holder.children.append(leaf)
 
     def close(depth: int) -> None:
-        nonlocal holder, articles
+        nonlocal holder
         flush()
         while len(stack) > depth:
-            articles -= stack.pop()[0] in ("article", "main")
+            open_tags[stack.pop()[0]] -= 1
         holder = next(node for _, node in reversed(stack) if node is not None)
 
     at = 0
     while at < len(page):
-        found = TAG.search(page, at)
+        found = tags.next(at)
         if found is None:
             run.append(page[at:])
             break
-        run.append(page[at : found.start()])
-        at = found.end()
-        if not found[2]:
+        begin, end, slash, tag, attributes = found
+        run.append(page[at:begin])
+        at = end
+        if not tag or end > len(page):
             continue
-        tag = found[2].lower()
-        if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+        if slash:
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 name, node = stack[depth]
                 if name == tag:
                     if node is None:
-                        stack.pop(depth)
+                        open_tags[stack.pop(depth)[0]] -= 1
                     else:
                         close(depth)
                     break
@@ -146,16 +215,17 @@ def parse(page: str) -> Node:
         if tag in VOID and tag not in BLOCKS:
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            silent = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = silent.end() if silent else len(page)
             continue
-        chrome = _is_chrome(tag, found[3], articles > 0)
+        chrome = _is_chrome(tag, attributes, open_tags["article"] + open_tags["main"] > 0)
         if tag not in BLOCKS and not chrome:
             stack.append((tag, None))
+            open_tags[tag] += 1
             continue
         flush()
         closing = ENDS.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if any(open_tags[c] for c in closing) else ():
             name = stack[depth][0]
             if name in closing:
                 close(depth)
@@ -168,28 +238,53 @@ def parse(page: str) -> Node:
         node = Node(tag, chrome)
         holder.children.append(node)
         stack.append((tag, node))
-        articles += tag in ("article", "main")
+        open_tags[tag] += 1
         holder = node
     flush()
     _settle(root)
     return root
 
 
-def _settle(node: Node) -> None:
-    """Fold single text runs and whole chrome parts into leaves, drop empty nodes, number the leaves."""
-    stack = [(node, False)]
+def _upwards(root: Node) -> list[Node]:
+    """All nodes, each behind its children."""
+    found, stack = [], [root]
     while stack:
-        now, ready = stack.pop()
-        if not ready:
-            stack.append((now, True))
-            stack.extend((c, False) for c in now.children)
-            continue
+        now = stack.pop()
+        found.append(now)
+        stack.extend(now.children)
+    found.reverse()
+    return found
+
+
+def _unfold_holders(nodes: list[Node], root: Node) -> None:
+    """What holds an article or main element is no chrome, nor is a named part that holds the text of a page without another."""
+    size, plain, holds = {}, {}, set()
+    for node in nodes:
+        size[id(node)] = len(node.text) + sum(size[id(c)] for c in node.children)
+        if (node.tag in ("article", "main") and not node.chrome) or any(id(c) in holds for c in node.children):
+            holds.add(id(node))
+            node.chrome = False
+        plain[id(node)] = 0 if node.chrome else len(node.text) + sum(plain[id(c)] for c in node.children)
+    whole = size[id(root)]
+    if 10 * plain[id(root)] < whole:
+        for node in nodes:
+            if node.chrome and 2 * size[id(node)] > whole and (node.tag == "form" or node.tag not in CHROME_TAGS):
+                node.chrome = False
+
+
+def _settle(root: Node) -> None:
+    """Fold single text runs and whole chrome parts into leaves, drop empty nodes, mark and weigh subtrees, number the leaves."""
+    nodes = _upwards(root)
+    _unfold_holders(nodes, root)
+    for now in nodes:
         now.children = [c for c in now.children if c.children or c.text]
         if now.chrome:
             now.text, now.children = " ".join(c.text for c in now.children), []
         elif len(now.children) == 1 and now.children[0].tag == "#text":
             now.text, now.children = now.children[0].text, []
-    for place, leaf in enumerate(leaves(node)):
+        now.mark = hash((now.tag, now.chrome, now.text, tuple([c.mark for c in now.children])))
+        now.weight = 1.0 + sum([c.weight for c in now.children]) if now.children else 1.5
+    for place, leaf in enumerate(leaves(root)):
         leaf.place = place
 
 
@@ -204,62 +299,141 @@ def leaves(node: Node) -> Iterator[Node]:
             yield now
 
 
+def _kind(node: Node) -> tuple[str, bool, bool]:
+    return node.tag, node.chrome, bool(node.children)
+
+
+def _stretches(left: list[Node], right: list[Node]) -> tuple[list[tuple[Node, Node]], list[tuple[list[Node], list[Node]]]]:
+    """Equal subtrees that match for certain or by anchors, and the stretches between them."""
+    low, m, n = 0, len(left), len(right)
+    while low < min(m, n) and left[low].mark == right[low].mark:
+        low += 1
+    while m > low and n > low and left[m - 1].mark == right[n - 1].mark:
+        m, n = m - 1, n - 1
+    same = list(zip(left[:low], right[:low], strict=True)) + list(zip(left[m:], right[n:], strict=True))
+    left, right = left[low:m], right[low:n]
+    if len(left) * len(right) <= CELLS:
+        return same, [(left, right)] if left and right else []
+    # Anchors: the longest run, in the order of both sides, of subtrees that occur once on each.
+    once = [{mark for mark, k in Counter(x.mark for x in side).items() if k == 1} for side in (left, right)]
+    at = {y.mark: j for j, y in enumerate(right) if y.mark in once[0] & once[1]}
+    ends: list[int] = []
+    tails: list[tuple[int, int]] = []  # place on the left and on the right of the last anchor of each length
+    back: dict[int, int | None] = {}
+    for i, x in enumerate(left):
+        j = at.get(x.mark)
+        if j is None or x.mark not in once[0]:
+            continue
+        k = bisect_left(ends, j)
+        back[i] = tails[k - 1][0] if k else None
+        ends[k : k + 1], tails[k : k + 1] = [j], [(i, j)]
+    anchors, now = [], tails[-1][0] if tails else None
+    while now is not None:
+        anchors.append((now, at[left[now].mark]))
+        now = back[now]
+    stretches, before = [], (-1, -1)
+    for i, j in [*reversed(anchors), (len(left), len(right))]:
+        part = left[before[0] + 1 : i], right[before[1] + 1 : j]
+        if part[0] and part[1]:
+            stretches.append(part)
+        before = (i, j)
+    return same + [(left[i], right[j]) for i, j in anchors], stretches
+
+
+def _in_order(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+    """The first of each kind with the first of that kind, and so on, without crossings."""
+    places: dict[tuple, deque[int]] = {}
+    for j, y in enumerate(right):
+        places.setdefault(_kind(y), deque()).append(j)
+    pairs, last = [], -1
+    for x in left:
+        waiting = places.get(_kind(x), ())
+        while waiting and waiting[0] <= last:
+            waiting.popleft()
+        if waiting:
+            last = waiting.popleft()
+            pairs.append((x, right[last]))
+    return pairs
+
+
+def _matched(left: list[Node], right: list[Node], score: Callable[[Node, Node], float]) -> tuple[float, list[tuple[Node, Node]]]:
+    """The best order-preserving matching: its score and its pairs, with one byte for each cell."""
+    n = len(right)
+    above, turns = [0.0] * (n + 1), []
+    for x in left:
+        row, turn = [0.0], bytearray(n)
+        for j, y in enumerate(right):
+            best = above[j] + score(x, y)
+            if above[j + 1] >= best:
+                best = above[j + 1]
+                turn[j] = 1
+            if row[j] >= best:
+                best = row[j]
+                turn[j] = 2
+            row.append(best)
+        above = row
+        turns.append(turn)
+    pairs, i, j = [], len(left), n
+    while i and j:
+        turn = turns[i - 1][j - 1]
+        if turn == 0:
+            pairs.append((left[i - 1], right[j - 1]))
+        i, j = i - (turn != 2), j - (turn != 1)
+    return above[-1], pairs
+
+
 def align(page: Node, reference: Node) -> list[tuple[Node, Node]]:
     """Leaves of the page with the leaves of the reference that simple tree matching gives them."""
-    known: dict[tuple[int, int], tuple[float, list]] = {}
+    known: dict[tuple[int, int], tuple[float, list[tuple[Node, Node]]]] = {}
+    cut: dict[tuple[int, int], tuple[list, list]] = {}
 
     def score(a: Node, b: Node) -> float:
         """Matched nodes; the same text counts a half more, so that equal texts are preferred."""
-        if a.tag != b.tag or a.chrome != b.chrome:
+        if _kind(a) != _kind(b):
             return 0.0
-        if not a.children and not b.children:
-            return 1.5 if a.text == b.text else 1.0
+        if a.mark == b.mark:
+            return a.weight
+        if not a.children:
+            return 1.0
         return known[(id(a), id(b))][0]
 
     # Pairs below a pair are scored before it, on a stack of its own: pages may be nested deeper than Python can call.
-    stack = [(page, reference, False)] if page.tag == reference.tag and page.chrome == reference.chrome else []
+    stack = [(page, reference, False)] if _kind(page) == _kind(reference) and page.children else []
     while stack:
         a, b, ready = stack.pop()
+        if (id(a), id(b)) in known:
+            continue
         if not ready:
-            if a.children or b.children:
-                stack.append((a, b, True))
-                stack.extend((x, y, False) for x in a.children for y in b.children if x.tag == y.tag and x.chrome == y.chrome and (x.children or y.children))
+            if a.mark == b.mark:
+                continue  # every node matches its like
+            cut[(id(a), id(b))] = _stretches(a.children, b.children)
+            stack.append((a, b, True))
+            for left, right in cut[(id(a), id(b))][1]:
+                if len(left) * len(right) <= CELLS:
+                    stack.extend((x, y, False) for x in left if x.children for y in right if _kind(x) == _kind(y))
+                else:
+                    stack.extend((x, y, False) for x, y in _in_order(left, right) if x.children)
             continue
-        rows = [[0.0] * (len(b.children) + 1)]
-        each = []
-        for x in a.children:
-            above, row, scores = rows[-1], [0.0], []
-            for j, y in enumerate(b.children):
-                s = score(x, y)
-                scores.append(s)
-                best = above[j] + s
-                if above[j + 1] > best:
-                    best = above[j + 1]
-                if row[j] > best:
-                    best = row[j]
-                row.append(best)
-            rows.append(row)
-            each.append(scores)
-        known[(id(a), id(b))] = (1 + rows[-1][-1], [rows, each])
-
-    pairs: list[tuple[Node, Node]] = []
-    todo = [(page, reference)] if score(page, reference) else []
+        same, stretches = cut.pop((id(a), id(b)))
+        total, pairs = 1.0 + sum(score(x, y) for x, y in same), same
+        for left, right in stretches:
+            if len(left) * len(right) <= CELLS:
+                more, found = _matched(left, right, score)
+            else:
+                found = _in_order(left, right)
+                more = sum(score(x, y) for x, y in found)
+            total, pairs = total + more, pairs + found
+        known[(id(a), id(b))] = (total, pairs)
+
+    found: list[tuple[Node, Node]] = []
+    todo = [(page, reference)] if _kind(page) == _kind(reference) else []
     while todo:
         a, b = todo.pop()
-        if not a.children and not b.children:
-            pairs.append((a, b))
-            continue
-        rows, each = known[(id(a), id(b))][1]
-        i, j = len(a.children), len(b.children)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((a.children[i], b.children[j]))
-    return pairs
+        if a.children:
+            todo.extend(zip(a.children, b.children, strict=True) if a.mark == b.mark else known[(id(a), id(b))][1])
+        else:
+            found.append((a, b))
+    return found
 
 
 def content(page: Node) -> str:
@@ -273,6 +447,10 @@ def content(page: Node) -> str:
             roots.append(now)
         else:
             stack.extend(reversed(now.children))
+    if len(roots) > 1:
+        sizes = [sum(len(leaf.text) for leaf in leaves(root)) for root in roots]
+        if 2 * max(sizes) > sum(sizes):
+            roots = [roots[sizes.index(max(sizes))]]
     kept = []
     for root in roots or [page]:
         kept += [leaf.text for leaf in leaves(root) if not leaf.chrome and not leaf.template]

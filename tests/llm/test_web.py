@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +131,80 @@ def test_pages_of_rare_layouts_use_the_host(spark, monkeypatch):
     assert texts == {i: f"own one {i}\nExtra {i}" for i in range(12)}
     monkeypatch.setattr(wrapper, "SMALL_BYTES", 0)
     assert {r.page_id: r.text for r in wrapper.main_texts(pages).collect()} == texts
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>a</p></article></div>', "a"),
+        ('<div id="page" class="hfeed no-sidebar"><main><p>a</p></main></div>', "a"),
+        ('<form id="aspnetForm"><div><article><p>a</p></article></div></form>', "a"),
+        ('<form id="aspnetForm"><p>the whole page in one form, as it is</p><input></form><nav>x</nav>', "the whole page in one form, as it is"),
+        ('<article><p class="first alert">a</p><h2 class="share-title">b</h2><div class="ad-hoc">c</div><p class="related-work">d</p></article>', "a\nb\nc\nd"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p></article>", "if x=2 then"),
+        ('<article><p>t</p></article><article><p>the story itself is the long one</p></article><article><p>u</p></article>', "the story itself is the long one"),
+        ("<article><p>one</p></article><article><p>two</p></article>", "one\ntwo"),
+        ('<div class="cookie-notice">x</div><div class="siteHeader nav-bar">y</div><div id="related-posts">z</div><div><p>kept</p></div>', "kept"),
+        ('<article><p>a</p><div class="comment-list"><p>bad</p></div><article class="comment">bad</article></article>', "a"),
+        ('<article><div role="complementary">x</div><p title="a > b">q</p></article>', "q"),
+        ('<p>a <b title="never closed>b</b> c</p>', "a b c"),
+    ],
+)
+def test_common_layouts(page, text):
+    assert wrapper.content(wrapper.parse(page)) == text
+
+
+def test_alignment_of_lists_equals_the_full_table():
+    """The best matching by a full table, against trimmed ends, anchors and one byte for each cell."""
+    rng = random.Random(4)
+    for _ in range(60):
+        sides = []
+        for _ in range(2):
+            tags = [rng.choice(["p", "h2", "li"]) for _ in range(rng.randint(0, 9))]
+            sides.append("".join(f"<{t}>{rng.choice('abc')}</{t}>" for t in tags) + "<p>end</p>")
+        a, b = (wrapper.parse(f"<div>{side}<table><tr><td>x</td></tr></table></div>") for side in sides)
+        pairs = wrapper.align(a, b)
+        x, y = list(wrapper.leaves(a)), list(wrapper.leaves(b))
+        best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                s = (1.5 if p.text == q.text else 1.0) if p.tag == q.tag else 0.0
+                best[i + 1][j + 1] = max(best[i][j] + s, best[i][j + 1], best[i + 1][j])
+        assert sum(1.5 if p.text == q.text else 1.0 for p, q in pairs) == best[-1][-1]
+        order = sorted((p.place, q.place) for p, q in pairs)
+        assert all(q1 < q2 for (_, q1), (_, q2) in zip(order, order[1:]))
+
+
+def test_very_many_siblings_and_broken_tags_take_seconds_and_little_memory():
+    pages = [
+        wrapper.parse("<div><p>menu</p>" + "".join(f"<div><p>{word} {i}</p></div>" if i % 7 else f"<p>ad {i % 3}</p>" for i in range(20_000)) + "<p>foot</p></div>")
+        for word in ("own", "other")
+    ]
+    tracemalloc.start()
+    begin = time.perf_counter()
+    pairs = wrapper.align(*pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {"menu", "foot"} <= {a.text for a, b in pairs if a.text == b.text}
+    assert time.perf_counter() - begin < 30 and peak < 200 << 20
+    for broken in ("<a" * 500_000, "<a <" * 250_000, '<a "' * 250_000 + ">", "<a '>" * 200_000, "<b>" * 300_000 + "</i>" * 100_000, "<!--" * 200_000, "<p>x" * 100_000):
+        begin = time.perf_counter()
+        wrapper.content(wrapper.parse("<p>kept</p>" + broken))
+        assert time.perf_counter() - begin < 20, broken[:10]
+
+
+def test_templates_decide_where_the_markup_tells_nothing(spark):
+    """Pages without articles and telling names: what recurs goes, and with induction switched off it stays."""
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(2)
+    rows, want = [], {}
+    for i in range(60):
+        story = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))) for _ in range(rng.randint(1, 5))]
+        extra = "<div><p>Members get more</p></div>" if i % 2 else ""
+        body = "".join(f"<p>{s}</p>" for s in story)
+        rows.append((i, f"http://h{i % 2}.org/{i}", f"<div><ul><li>Home</li><li>About us</li></ul></div><div>{extra}{body}</div><div><p>Imprint of h{i % 2}</p></div>"))
+        want[i] = "\n".join(story)
+    pages = spark.createDataFrame(rows, PAGES).withColumns({"host": F.lit("x"), "layout": F.lit(1), "text": F.lit("y")})
+    assert {r.page_id: r.text for r in wrapper.main_texts(pages).collect()} == want
+    off = {r.page_id: r.text for r in wrapper.main_texts(pages, least_pages=10**9).collect()}
+    assert all("Home" in off[i] and "Imprint" in off[i] for i in want)
