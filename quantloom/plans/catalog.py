@@ -513,7 +513,7 @@ def smote_balance(i: Inputs) -> DataFrame:
 
 
 # Rows that the searched forest is fitted on at most (in expectation): the search makes 31 fits on them.
-FIT_ROWS = 2_000
+FIT_ROWS = 1_000
 _searched: dict[tuple[str, str], tuple[forest.Trained, str]] = {}
 
 
