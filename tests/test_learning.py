@@ -185,6 +185,17 @@ def test_walk_equals_the_fitted_model(spark):
         assert got[row.key].ml_pred_proba == pytest.approx(row.p, abs=1e-12) and got[row.key].prediction == row.c
 
 
+def test_walk_takes_no_forest_along_with_the_rows(spark):
+    """Rows meet the forest as arrays in the task; a missing value goes right, an equal one left."""
+    nodes = [(0, 0, 0, 1.0, 1, 2, 0.5), (0, 1, -1, None, -1, -1, 0.25), (0, 2, 1, -2.0, 3, 4, 0.5), (0, 3, -1, None, -1, -1, 0.0), (0, 4, -1, None, -1, -1, 1.0), (1, 0, -1, None, -1, -1, 0.5)]
+    model = forest.Forest(spark.createDataFrame(nodes, forest._NODES), ["a", "b"], 2)
+    rows = [(1, 1.0, 0.0), (2, 1.5, -2.0), (3, 1.5, None), (4, None, -3.0), (5, None, None), (6, float("nan"), -1.0)]
+    scored = forest.predict(model, spark.createDataFrame(rows, "key int, a double, b double"), ["key"])
+    assert {r.key: r.ml_pred_proba for r in scored.collect()} == {1: 0.375, 2: 0.25, 3: 0.75, 4: 0.25, 5: 0.75, 6: 0.75}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "lambda" not in plan
+
+
 def test_areas_of_groups_equal_pair_counting(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"draw": rng.integers(0, 3, 900), "fold": rng.integers(0, 2, 900), "target": rng.integers(0, 2, 900), "score": rng.integers(0, 40, 900) / 7})
