@@ -95,11 +95,10 @@ def model_classifier(
 TOKEN_BUCKETS = 1 << 16
 
 
-def token_counts(headlines: DataFrame, *keep: str) -> DataFrame:
-    """(keep.., bucket, n): how often each bucket of words occurs in a headline; a missing title has none."""
+def token_buckets(headlines: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., bucket): the bucket of every word of a headline; a missing title has none."""
     words = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("([a-zà-ÿ]+)"), 1)
-    tokens = headlines.select(*keep, F.explode(words).alias("word"))
-    return tokens.groupBy(*keep, F.substring(F.md5("word"), 1, 4).alias("bucket")).agg(F.count("*").alias("n"))
+    return headlines.select(*keep, F.explode(words).alias("word")).select(*keep, F.substring(F.md5("word"), 1, 4).alias("bucket"))
 
 
 def learn_words(labelled: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def learn_words(labelled: DataFrame) -> DataFrame:
     The row of a label without a bucket holds its log prior and the evidence of an unseen bucket (`unseen`), any other row
     what its bucket adds to that. Counts are combined before they are shuffled; the model is bounded by the buckets.
     """
-    counts = token_counts(labelled, "label").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = token_buckets(labelled, "label").groupBy("label", "bucket").agg(F.count("*").alias("n"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     priors = labelled.groupBy("label").agg(F.count("*").alias("rows"))
     all_rows = priors.agg(F.sum("rows").alias("all"))
@@ -123,19 +122,23 @@ def learn_words(labelled: DataFrame) -> DataFrame:
 def judged(headlines: DataFrame, model: DataFrame, key: str = "seq") -> DataFrame:
     """(key, label, log_odds): the likeliest label of each headline, and its lead over the next in log odds.
 
-    Built-in functions only: the counted words of a headline meet the model (its size is bounded, so it is broadcast), and
-    their evidence is added up label by label where the words are. Ties go to the first label in order; a headline
+    Built-in functions only: the words of a headline meet the model (its size is bounded, so it is broadcast) and their
+    evidence is added up label by label where the words are, in one pass: only sums are shuffled. Ties go to the first label in order; a headline
     without words is judged by the priors. Labels without a single example are never given.
     """
     heads = model.where("bucket IS NULL").select("label", F.col("evidence").alias("prior"), "unseen")
     labels = heads.agg(F.sort_array(F.collect_list(F.struct("label", "prior", "unseen"))).alias("labels"))  # one entry for each label
     seen = model.where("bucket IS NOT NULL").groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("label", "evidence"))).alias("evidence"))
-    words = token_counts(headlines, key).join(F.broadcast(seen), "bucket", "left")
-    entry = F.explode(F.map_entries(F.coalesce("evidence", F.create_map().cast("map<string,double>")))).alias("e")
-    length = words.groupBy(key).agg(F.sum("n").alias("length"))
-    told = words.select(key, "n", entry).groupBy(key, F.col("e.key").alias("label")).agg(F.sum(F.col("n") * F.col("e.value")).alias("told"))
-    told = told.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "told"))).alias("told"))
-    met = headlines.select(key).join(length, key, "left").join(told, key, "left").crossJoin(F.broadcast(labels))
+    words = token_buckets(headlines, key).join(F.broadcast(seen), "bucket", "left")
+    # The entry without a label counts the words, so that one pass gives both.
+    length = F.struct(F.lit(None).cast("string").alias("key"), F.lit(1.0).alias("value"))
+    entry = F.explode(F.concat(F.array(length), F.map_entries(F.coalesce("evidence", F.create_map().cast("map<string,double>"))))).alias("e")
+    told = words.select(key, entry).groupBy(key, F.col("e.key").alias("label")).agg(F.sum("e.value").alias("told"))
+    told = told.groupBy(key).agg(
+        F.max(F.when(F.col("label").isNull(), F.col("told"))).alias("length"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "told")))).alias("told"),
+    )
+    met = headlines.select(key).join(told, key, "left").crossJoin(F.broadcast(labels))
     known = F.coalesce("told", F.create_map().cast("map<string,double>"))
     total = F.transform(
         "labels",
