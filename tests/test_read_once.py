@@ -24,6 +24,15 @@ def _counted(spark, df, column, kind):
     return df.withColumn(column, F.udf(pass_on, kind)(column)), seen
 
 
+def test_split_computes_its_rows_once(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [(f"T{i % 7}", day + dt.timedelta(days=i), int(i % 3 == 0)) for i in range(300)]
+    counted, seen = _counted(spark, spark.createDataFrame(rows, "ticker string, date date, target int"), "target", "int")
+    got = {(r.target, r.is_test): r.rows for r in catalog.stratified_split_sizes(SimpleNamespace(training_rows=counted)).collect()}
+    assert got == {(0, True): 60, (0, False): 140, (1, True): 30, (1, False): 70}
+    assert seen.value == 300
+
+
 def test_ticks_are_built_once_and_cut_into_short_segments(spark, monkeypatch):
     start = dt.datetime(2020, 1, 1)
     rows = [("A" if i % 3 else "B", start + dt.timedelta(hours=7 * i), 100.0 + (i * 37) % 11) for i in range(600)]
