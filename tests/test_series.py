@@ -116,6 +116,13 @@ def test_bars_are_exchanged_by_segment_only(spark):
     assert by_ticker and not moved
 
 
+def test_no_window_over_bars(spark):
+    """What lies around a segment is joined to one row for each segment: no bar goes through a sort by date or a window."""
+    _, bars = _bars(spark, {"A": 200, "B": 200})
+    plan = series.featured(bars, COLUMNS, 200)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if ("Sort [" in line or "Window [" in line) and "date#" in line]
+
+
 @pytest.mark.parametrize("segment_days", [100, 2_048])
 def test_long_gaps_are_bridged(spark, segment_days):
     """Closes missing for many segments: returns use the last known close, indicators wait for the next move."""
