@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import forest, metrics, sampling
+from quantloom.operators import forest, metrics, neighbours, sampling
 from quantloom.operators import sequences as seq
 from quantloom.operators.neighbours import nearest
 
@@ -40,6 +40,33 @@ def test_time_split_holds_out_the_last_dates(spark):
     assert test.count() == 300 and test.agg(F.min("date")).first()[0] > train.agg(F.max("date")).first()[0]
 
 
+class _Counted(list):
+    """A list that counts how often an element is read."""
+
+    reads = 0
+
+    def __getitem__(self, at):
+        self.reads += 1
+        return super().__getitem__(at)
+
+
+def test_cells_in_reach_are_found_without_comparing_all():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=20_000), np.exp(2 * rng.normal(size=20_000)), rng.integers(0, 3, 20_000)])
+    nodes = neighbours._cut_space(x[:5_000], 1_000)
+    cell = neighbours._cell_of(nodes, x)
+    names = np.unique(cell[cell != 7])  # one cell stays empty
+    low, high = (np.array([f(x[cell == c], axis=0) for c in names]) for f in (np.min, np.max))
+    lows, highs = neighbours._boxes_of(nodes, names, low, high)
+    points, radius = x[:300], np.concatenate([[np.inf], np.full(299, 0.01)])
+    gap = (np.maximum(0, np.maximum(low - points[:, None], points[:, None] - high)) ** 2).sum(axis=2)
+    want = {(r, int(names[c])) for r, c in zip(*np.nonzero(gap <= radius[:, None]), strict=True)}
+    assert set(zip(*(v.tolist() for v in neighbours._reached(nodes, lows, highs, points, radius)), strict=True)) == want
+    counted = _Counted(nodes)
+    row, _ = neighbours._reached(counted, lows, highs, points[1:2], radius[1:2])
+    assert 0 < len(row) <= counted.reads < len(names) / 5
+
+
 @pytest.mark.parametrize("cell_rows", [10_000, 60])
 def test_neighbours_equal_brute_force(spark, cell_rows):
     rng = np.random.default_rng(7)
