@@ -212,6 +212,30 @@ def test_walk_equals_the_fitted_model(spark):
         assert got[row.key].ml_pred_proba == pytest.approx(row.p, abs=1e-12) and got[row.key].prediction == row.c
 
 
+def test_a_fit_wraps_no_tree_in_python(spark, monkeypatch):
+    from pyspark.ml import classification
+
+    class Counted(classification.DecisionTreeClassificationModel):
+        made = 0
+
+        def __init__(self, *args):
+            Counted.made += 1
+            super().__init__(*args)
+
+    monkeypatch.setattr(classification, "DecisionTreeClassificationModel", Counted)
+    rows = forest._assembled(_rows(spark, 300)[1], FEATURES).coalesce(1)
+    params = {"numTrees": 9, "maxDepth": 4}
+    fitted = forest._classifier("target", 5, params).fit(rows)
+    stored = forest.forest_of(fitted, FEATURES)
+    assert fitted.transform(rows).count() == 300 and Counted.made == 0
+    assert len(fitted.trees) == 9 and Counted.made == 9
+    assert stored.depth == max(t.depth for t in fitted.trees)
+    # Where the rows of a small training part are is kept; a large one's trees travel instead. Both give the same forest.
+    plain = forest._classifier("target", 5, params, tasks=2)
+    assert fitted.getCacheNodeIds() and not plain.getCacheNodeIds()
+    assert plain.fit(rows).toDebugString.splitlines()[1:] == fitted.toDebugString.splitlines()[1:]
+
+
 def test_walk_takes_no_forest_along_with_the_rows(spark):
     """Rows meet the forest as arrays in the task; a missing value goes right, an equal one left."""
     nodes = [(0, 0, 0, 1.0, 1, 2, 0.5), (0, 1, -1, None, -1, -1, 0.25), (0, 2, 1, -2.0, 3, 4, 0.5), (0, 3, -1, None, -1, -1, 0.0), (0, 4, -1, None, -1, -1, 1.0), (1, 0, -1, None, -1, -1, 0.5)]
