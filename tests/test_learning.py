@@ -247,6 +247,26 @@ def test_walk_takes_no_forest_along_with_the_rows(spark):
     assert "Join" not in plan and "lambda" not in plan
 
 
+class _Taken(np.ndarray):
+    """An array that may not be indexed by an array, only taken from."""
+
+    def __getitem__(self, at):
+        assert not isinstance(at, np.ndarray)
+        return super().__getitem__(at)
+
+
+def test_walk_takes_from_the_nodes_and_ends_at_each_leaf():
+    kinds = {"feature": np.int32, "bound": float, "left": np.int32, "right": np.int32, "share": float}
+    columns = [[0, -1, 1, -1, -1], [1.0, np.nan, -2.0, np.nan, np.nan], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.5, 0.25, 0.5, 0.0, 1.0]]
+    tree = {c: np.array(v, dtype=k).view(_Taken) for (c, k), v in zip(kinds.items(), columns, strict=True)}
+    lone = {c: np.array(v[1:2], dtype=k).view(_Taken) for (c, k), v in zip(kinds.items(), columns, strict=True)}
+    nan = np.nan
+    x = np.array([[1.0, 0.0], [1.5, -2.0], [1.5, nan], [nan, -3.0], [nan, nan], [2.0, 5.0]])
+    for order in "CF":
+        assert forest._shares([tree], np.asarray(x, order=order)).tolist() == [0.25, 0.0, 1.0, 0.0, 1.0, 1.0]
+    assert forest._shares([tree, lone], x[:2]).tolist() == [0.25, 0.125] and len(forest._shares([tree], x[:0])) == 0
+
+
 def test_areas_of_groups_equal_pair_counting(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"draw": rng.integers(0, 3, 900), "fold": rng.integers(0, 2, 900), "target": rng.integers(0, 2, 900), "score": rng.integers(0, 40, 900) / 7})
